@@ -121,7 +121,7 @@ def study_cohort(source, subjects: DataFrame, removal: str = "literal") -> DataF
         "uniquepid",
         F.col("patienthealthsystemstayid").alias("hadmid"),
         STAY,
-        scores.numeric_age("age", reg.CAPPED_AGE).alias("age"),
+        scores.numeric_age("age", reg.CAPPED_AGE).cast("double").alias("age"),
         "gender",
         F.col("unittype").alias("icutype"),
         "apache_iv",
@@ -147,15 +147,34 @@ def study_cohort(source, subjects: DataFrame, removal: str = "literal") -> DataF
         variants = lambda n: co.keys_with_variant_count(treated, STAY, "treatmentstring", n, STAY)
         listed = co.union_keys(variants(2), co.exclude(variants(1), removed, STAY))
         kept = subject_join(treated, listed, STAY, "left_semi")
-    minutes = F.col(INDEX_TS)
-    return kept.withColumns(
-        {
-            "treatmentoffset_hour": round_to(minutes / 60, 2),
-            "treatmentoffset_day": round_to(minutes / 60 / 24, 2),
-            "hosp_dischargeoffseth": round_to(F.col("hospitaldischargeoffset") / 60, 2),
-            "unit_dischargeoffseth": round_to(F.col("unitdischargeoffset") / 60, 2),
-            "first_icu": F.lit(1),
-        }
+    hours = round_to(F.col(INDEX_TS) / 60, 2)
+    return kept.withColumns({"treatmentoffset_hour": hours, "first_icu": F.lit(1)})
+
+
+def cohort_view(cohort: DataFrame) -> DataFrame:
+    return cohort.select(
+        "uniquepid",
+        "hadmid",
+        STAY,
+        "age",
+        "gender",
+        "icutype",
+        "apache_iv",
+        "admissionweight",
+        "admissionheight",
+        "dischargeweight",
+        "icu_los_hours",
+        "treatmentid",
+        "treatmentyear",
+        INDEX_TS,
+        "treatmentoffset_hour",
+        "treatmentstring",
+        "active",
+        "first_icu",
+        "unit_mort",
+        "hosp_mort",
+        "hospitaldischargeoffset",
+        "unitdischargeoffset",
     )
 
 
@@ -376,8 +395,7 @@ def history(source, wide: DataFrame, diagnoses: DataFrame) -> DataFrame:
 def history_view(hist: DataFrame) -> DataFrame:
     basic = ["age", "gender", "apache_iv", *_BASIC[2:]]
     bands = ["group_plt", "group2_plt", "nadir", "bmi"]
-    carried = [c for c in _COVARIATES if c != "transfusion_time"]
-    return hist.select(STAY, *basic, INDEX_TS, *carried, "transfusion_time", *bands, *reg.HISTORY_FLAGS)
+    return hist.select(STAY, *basic, INDEX_TS, *_COVARIATES, *bands, *reg.HISTORY_FLAGS)
 
 
 def nadir_lookback(source, hist: DataFrame, profile: DataFrame) -> DataFrame:
@@ -565,7 +583,7 @@ class ClinicalStudy:
 
 RESULTS = {
     "subject_detail": lambda s: s.subjects,
-    "cohort": lambda s: s.cohort,
+    "cohort": lambda s: cohort_view(s.cohort),
     "cohort_stays": lambda s: s.index.select(STAY),
     "index_baseline": lambda s: baseline_view(s.baseline),
     "covariates": lambda s: covariates_view(s.wide),

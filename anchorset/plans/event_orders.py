@@ -111,7 +111,7 @@ def pattern_similar_text(spark, sf_dir):
 
 def pattern_within(spark, sf_dir):
     """Readings by name, restricted to listed subjects, with a value."""
-    subjects = _events(spark, sf_dir, "error").filter("value > 30").select(USER)
+    subjects = _events(spark, sf_dir, "error").filter("value > 120").select(USER)
     rows = co.match_rule(
         _events(spark, sf_dir), "event_type", like("%i%"), subjects, USER, "value"
     )
@@ -177,7 +177,7 @@ def baseline_threshold(spark, sf_dir):
 
 
 def exclude_by_flag(spark, sf_dir):
-    high = _events(spark, sf_dir, "error").filter("value > 60")
+    high = _events(spark, sf_dir, "error").filter("value > 150")
     return co.exclude(_index(spark, sf_dir).select(USER, "index_value"), high, USER)
 
 
@@ -296,14 +296,14 @@ def _flagged_onset(spark, sf_dir, times):
 
 
 def first_event_after(spark, sf_dir):
-    errors = _events(spark, sf_dir, "error").filter("value > 25")
+    errors = _events(spark, sf_dir, "error").filter("value > 60")
     return _flagged_onset(
         spark, sf_dir, tl.first_event_after(errors, _index(spark, sf_dir), USER, TS, INDEX_TS)
     )
 
 
 def new_onset(spark, sf_dir):
-    errors = _events(spark, sf_dir, "error").filter("value > 25")
+    errors = _events(spark, sf_dir, "error").filter("value > 60")
     return _flagged_onset(
         spark, sf_dir, tl.new_onset(errors, _index(spark, sf_dir), USER, TS, INDEX_TS)
     )
@@ -388,10 +388,10 @@ def ever_flag(spark, sf_dir):
 def timed_flags(spark, sf_dir):
     error, signup = F.col("event_type") == "error", F.col("event_type") == "signup"
     rules = {
-        "error_before": (error & (F.col("value") > 15), "before"),
-        "error_from": (error & (F.col("value") > 40), "from"),
+        "error_before": (error & (F.col("value") > 60), "before"),
+        "error_from": (error & (F.col("value") > 120), "from"),
         "signup_until": (signup, "until"),
-        "signup_ever": (signup & (F.col("value") > 60), None),
+        "signup_ever": (signup & (F.col("value") > 150), None),
     }
     index = _index(spark, sf_dir)
     rows = fl.timed_flag_rows(_events(spark, sf_dir), index, USER, TS, INDEX_TS, rules)
@@ -448,8 +448,8 @@ def _feature_wide(spark, sf_dir) -> DataFrame:
     readings = tl.measure_rows(_events(spark, sf_dir), "event_type", MEASURES)
     profile = tl.measure_profile(readings, index, USER, TS, "value", INDEX_TS, "event_id")
     high = {
-        "error_time": (F.col("event_type") == "error") & (F.col("value") > 25),
-        "signup_time": (F.col("event_type") == "signup") & (F.col("value") > 25),
+        "error_time": (F.col("event_type") == "error") & (F.col("value") > 60),
+        "signup_time": (F.col("event_type") == "signup") & (F.col("value") > 60),
     }
     onsets = tl.onset_times(_events(spark, sf_dir), index, USER, TS, INDEX_TS, high, ["error_time"])
     customer = _table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_acctbal")
@@ -528,7 +528,7 @@ def pipeline(spark, sf_dir):
             "late_signup": F.col("signup_time").isNotNull().cast("int"),
         }
     )
-    excluded = _events(spark, sf_dir, "error").filter("value > 90")
+    excluded = _events(spark, sf_dir, "error").filter("value > 150")
     return co.exclude(wide, excluded, USER).select(
         USER,
         micros(INDEX_TS).alias("index_us"),

@@ -73,13 +73,13 @@ REL_DROP = rounded("(last_value - min_value) / nullif(last_value, 0)", 4)
 def _onset(prior: bool) -> str:
     banned = (
         " AND e.user_id NOT IN (SELECT e2.user_id FROM events e2 JOIN idx i2 ON e2.user_id = i2.user_id"
-        " WHERE e2.event_type = 'error' AND e2.value > 25 AND e2.ts < i2.index_ts)"
+        " WHERE e2.event_type = 'error' AND e2.value > 60 AND e2.ts < i2.index_ts)"
         if prior
         else ""
     )
     return (
         f"WITH {INDEX}, hits AS (SELECT e.user_id, e.ts FROM events e JOIN idx i ON e.user_id = i.user_id"
-        f" WHERE e.event_type = 'error' AND e.value > 25 AND e.ts >= i.index_ts{banned})"
+        f" WHERE e.event_type = 'error' AND e.value > 60 AND e.ts >= i.index_ts{banned})"
         " SELECT user_id, CASE WHEN user_id IN (SELECT user_id FROM hits) THEN 1 ELSE 0 END AS flag,"
         " (SELECT epoch_us(min(h.ts)) FROM hits h WHERE h.user_id = idx.user_id) AS first_us FROM idx"
     )
@@ -103,10 +103,10 @@ _WIDE = (
         f" LEFT JOIN ({_extreme(k, 'max')}) x_{k} ON x_{k}.user_id = idx.user_id"
         for k in KINDS
     )
-    + f" LEFT JOIN (SELECT user_id, min(ts) AS t FROM {_seen('error', '>=')} WHERE value > 25"
-    f" AND user_id NOT IN (SELECT user_id FROM {_seen('error', '<')} WHERE value > 25) GROUP BY user_id) e1"
+    + f" LEFT JOIN (SELECT user_id, min(ts) AS t FROM {_seen('error', '>=')} WHERE value > 60"
+    f" AND user_id NOT IN (SELECT user_id FROM {_seen('error', '<')} WHERE value > 60) GROUP BY user_id) e1"
     " ON e1.user_id = idx.user_id"
-    f" LEFT JOIN (SELECT user_id, min(ts) AS t FROM {_seen('signup', '>=')} WHERE value > 25 GROUP BY user_id) e2"
+    f" LEFT JOIN (SELECT user_id, min(ts) AS t FROM {_seen('signup', '>=')} WHERE value > 60 GROUP BY user_id) e2"
     " ON e2.user_id = idx.user_id)"
 )
 
@@ -175,7 +175,7 @@ ORACLES = {
     "pattern_within": """
         SELECT user_id, event_id, event_type, value FROM events
         WHERE event_type LIKE '%i%' AND value IS NOT NULL
-          AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 30)""",
+          AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 120)""",
     "cohort": f"""
         WITH {TREATMENTS}
         SELECT l_orderkey AS o_orderkey, l_linenumber, p_name, o_custkey, c_acctbal
@@ -254,12 +254,12 @@ ORACLES = {
     "timed_flags": f"WITH {INDEX} SELECT user_id, "
     + ", ".join(
         [
-            _flag("error_before", f"user_id IN (SELECT user_id FROM {_seen('error', '<')} WHERE value > 15)"),
-            _flag("error_from", f"user_id IN (SELECT user_id FROM {_seen('error', '>=')} WHERE value > 40)"),
+            _flag("error_before", f"user_id IN (SELECT user_id FROM {_seen('error', '<')} WHERE value > 60)"),
+            _flag("error_from", f"user_id IN (SELECT user_id FROM {_seen('error', '>=')} WHERE value > 120)"),
             _flag("signup_until", f"user_id IN (SELECT user_id FROM {_seen('signup', '<=')})"),
             _flag(
                 "signup_ever",
-                "user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 60)",
+                "user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 150)",
             ),
         ]
     )
@@ -308,7 +308,7 @@ ORACLES = {
     "lookback_readings": f"WITH {INDEX}, {NADIR}, {PRIOR}, {RECENT} SELECT user_id, event_id, value FROM recent",
     "exclude_by_flag": f"""
         WITH {INDEX} SELECT user_id, index_value FROM idx
-        WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 60)""",
+        WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)""",
     "ratio_series": f"WITH {INDEX}, {RATIOS} SELECT user_id, event_id, ratio, hour_offset, day_offset FROM ratios",
     "daily_coverage": f"""
         WITH {INDEX}, {RATIOS} SELECT day_offset, count(*) AS subjects
@@ -322,7 +322,7 @@ ORACLES = {
           CASE WHEN signup_time IS NULL THEN 0 ELSE 1 END AS ls
           FROM wide w LEFT JOIN mw ON mw.user_id = w.user_id LEFT JOIN mp ON mp.user_id = w.user_id
           WHERE last_view IS NOT NULL AND min_view IS NOT NULL AND w.user_id NOT IN
-            (SELECT user_id FROM events WHERE event_type = 'error' AND value > 90))
+            (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150))
         SELECT user_id, epoch_us(index_ts) AS index_us, index_value, c_mktsegment, last_view, min_view,
           drop_ AS "drop", {_bands("drop_", [0.25, 0.5, 0.75], "left", [1, 2, 3, 4], 0)} AS drop_band,
           last_click, max_click, {rounded("(max_click - last_click) / nullif(last_click, 0)", 4)} AS click_rise,
