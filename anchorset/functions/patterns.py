@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _REGEX_OPERATORS = set("|()*+?{}[]")
@@ -110,10 +110,12 @@ class Rule:
     lower: bool = True
     none_of: tuple[str, ...] = field(default=())
 
-    def matches(self, text: Column | str) -> Column:
+    def matches(self, text: Column | str, folded: Column | None = None) -> Column:
+        """Condition on a text column; ``folded`` is its lower-case form if the
+        caller has it already."""
         col = F.col(text) if isinstance(text, str) else text
         if self.lower:
-            col = F.lower(col)
+            col = F.lower(col) if folded is None else folded
         hit = self._similar(col) if self.similar else _like(col, self.pattern)
         for pattern in self.none_of:
             hit = hit & ~_like(col, pattern)
@@ -145,3 +147,24 @@ def like(pattern: str, lower: bool = True, none_of: Iterable[str] = ()) -> Rule:
 
 def similar(pattern: str, lower: bool = True, none_of: Iterable[str] = ()) -> Rule:
     return Rule(pattern, similar=True, lower=lower, none_of=tuple(none_of))
+
+
+_FOLDED = "_folded"
+
+
+def fold_rules(df: DataFrame, text: str, rules: dict[str, Rule]) -> tuple[DataFrame, dict[str, Column]]:
+    """Conditions of many rules over one text, which is lower-cased once per row
+    in an extra column instead of once per rule."""
+    if any(rule.lower for rule in rules.values()):
+        df = df.withColumn(_FOLDED, F.lower(text))
+    return df, {name: rule.matches(text, F.col(_FOLDED)) for name, rule in rules.items()}
+
+
+def tag_rows(df: DataFrame, name: str, conditions: dict[str, Column]) -> DataFrame:
+    """One row per input row and condition it meets, named in column ``name``.
+
+    The array is exploded whole and filtered afterwards: dropping the NULLs
+    inside the array would take a lambda, which Spark does not compile.
+    """
+    marks = F.array(*[F.when(cond, F.lit(tag)) for tag, cond in conditions.items()])
+    return df.withColumn(name, F.explode(marks)).filter(F.col(name).isNotNull()).drop(_FOLDED)

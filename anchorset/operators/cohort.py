@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import Rule
-from .joins import keys, subject_join, within
+from .joins import fits_broadcast, keys, subject_join, within
 
 
 def one_per_key(df: DataFrame, key: str | Sequence[str], **values: Column) -> DataFrame:
@@ -21,11 +21,18 @@ def subject_detail(
     subjects: DataFrame,
     dims: Sequence[tuple[DataFrame, str | Sequence[str]]] = (),
     derived: dict[str, Column] | None = None,
+    own: Sequence[tuple[DataFrame, str | Sequence[str]]] = (),
 ) -> DataFrame:
-    """Left-join dimensions (one row per key each) and add derived columns."""
+    """Left-join dimensions (one row per key each) and add derived columns.
+
+    ``dims`` are shared by many subjects; ``own`` tables are keyed by the
+    subject itself, so their join cannot be skewed.
+    """
     out = subjects
     for dim, key in dims:
-        out = out.join(dim, keys(key), "left")
+        out = subject_join(out, dim, key, "left")
+    for table, key in own:
+        out = out.join(table, keys(key), "left")
     return out.withColumns(derived or {})
 
 
@@ -77,7 +84,10 @@ def exclude(df: DataFrame, listed: DataFrame, key: str, null_aware: bool = False
     NULL key stays only if the list is empty. The list is read through an
     aggregate of two counters, so it never has to fit one task.
     """
-    out = subject_join(df, listed.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    keys_only = listed.select(key).filter(F.col(key).isNotNull())
+    if not fits_broadcast(keys_only):
+        keys_only = keys_only.distinct()
+    out = subject_join(df, keys_only, key, "left_anti")
     if not null_aware:
         return out
     total = listed.agg(F.count(F.lit(1))).scalar()

@@ -9,30 +9,29 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import Rule, any_of
+from ..functions.patterns import Rule, any_of, fold_rules, tag_rows
 from .joins import attach_index, on_side, within
 
 
 def flag_rows(
     df: DataFrame,
     key: str,
-    rules: dict[str, Column],
+    text: str,
+    rules: dict[str, Rule],
     subjects: DataFrame | None = None,
 ) -> DataFrame:
-    """(key, flag) rows for every condition a row meets; one scan per source.
+    """(key, flag) rows for every rule a row's text matches; one scan per source.
 
     ``subjects`` restricts to listed keys, which keeps other rows out of the
-    shuffle when the list can be broadcast.
+    shuffle.
     """
-    rows = df.filter(any_of(rules.values()))
+    rows, hits = fold_rules(df, text, rules)
     if subjects is not None:
-        rows = within(rows, subjects, key)
-    marks = F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()])
-    tags = F.explode(F.filter(marks, lambda m: m.isNotNull()))
-    return rows.select(key, tags.alias("flag"))
+        rows = within(rows, subjects, key, any_of(hits.values()))
+    return tag_rows(rows, "flag", hits).select(key, "flag")
 
 
 def timed_flag_rows(
@@ -41,16 +40,18 @@ def timed_flag_rows(
     key: str,
     ts: str,
     index_ts: str,
-    rules: dict[str, tuple[Column, str | None]],
+    text: str,
+    rules: dict[str, tuple[Rule, str | None]],
 ) -> DataFrame:
-    """The same with a time bound per flag: ``rules`` maps a flag to its
-    condition and a side of the index (see ``on_side``), or None for any time."""
-    rows = attach_index(df.filter(any_of(cond for cond, _ in rules.values())), index, key, index_ts)
+    """The same with a time bound per flag: ``rules`` maps a flag to its rule
+    and a side of the index (see ``on_side``), or None for any time."""
+    rows, hits = fold_rules(df, text, {name: rule for name, (rule, _) in rules.items()})
+    rows = attach_index(rows, index, key, index_ts, any_of(hits.values()))
     bound = {
-        name: cond if side is None else cond & on_side(ts, index_ts, side)
-        for name, (cond, side) in rules.items()
+        name: cond if rules[name][1] is None else cond & on_side(ts, index_ts, rules[name][1])
+        for name, cond in hits.items()
     }
-    return flag_rows(rows, key, bound)
+    return tag_rows(rows, "flag", bound).select(key, "flag")
 
 
 def pivot_flags(sources: Iterable[DataFrame], key: str, names: Sequence[str]) -> DataFrame:

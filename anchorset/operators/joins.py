@@ -78,16 +78,35 @@ def subject_join(
     return left.drop(_PARTS).join(right.drop(_PARTS), [*on, _SALT], how).drop(_SALT)
 
 
-def within(facts: DataFrame, subjects: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Facts of the listed subjects only."""
-    return subject_join(facts, subjects.select(*keys(key)).distinct(), key, "left_semi")
+def within(
+    facts: DataFrame, subjects: DataFrame, key: str | Sequence[str], only: Column | None = None
+) -> DataFrame:
+    """Facts of the listed subjects; see ``attach_index`` for ``only``."""
+    listed = subjects.select(*keys(key))
+    if not fits_broadcast(listed):
+        listed = listed.distinct()
+        facts = facts if only is None else facts.filter(only)
+    return subject_join(facts, listed, key, "left_semi")
 
 
 def attach_index(
-    facts: DataFrame, index: DataFrame, key: str, index_ts: str, *more: str
+    facts: DataFrame,
+    index: DataFrame,
+    key: str,
+    index_ts: str,
+    only: Column | None = None,
 ) -> DataFrame:
-    """Add the subject's index time (and further index columns) to its facts."""
-    return subject_join(facts, index.select(key, index_ts, *more), key)
+    """Add the subject's index time to its facts.
+
+    ``only`` is a condition that every fact of interest meets and that is checked
+    later on anyway. It is applied up front where the facts have to be shuffled.
+    Where the index is broadcast, looking up the subject is cheaper than
+    matching texts and drops most rows, so it comes first.
+    """
+    subjects = index.select(key, index_ts)
+    if only is not None and not fits_broadcast(subjects):
+        facts = facts.filter(only)
+    return subject_join(facts, subjects, key)
 
 
 def on_side(ts: str, index_ts: str, side: str) -> Column:

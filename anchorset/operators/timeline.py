@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import later_first
-from ..functions.patterns import Rule, any_of
-from .joins import attach_index, on_side, subject_join
+from ..functions.patterns import Rule, any_of, fold_rules, tag_rows
+from .joins import attach_index, fits_broadcast, on_side, subject_join
 
 
 def order_of(ts: str, tie: str | Sequence[str]) -> Column:
@@ -97,15 +97,14 @@ def extreme_time(df: DataFrame, ts: str, value: str, which: str) -> Column:
 
 
 def measure_rows(df: DataFrame, text: str, measures: dict[str, Rule]) -> DataFrame:
-    """One row per reading and measure whose rule its name matches; other
-    readings are dropped at the scan."""
-    hit = {name: rule.matches(text) for name, rule in measures.items()}
-    rows = df.filter(any_of(hit.values()))
-    marks = [F.when(cond, F.lit(name)) for name, cond in hit.items()]
-    if all(r.exact for r in measures.values()) and len({r.lower for r in measures.values()}) == 1:
-        return rows.withColumn("measure", F.coalesce(*marks))
-    tags = F.filter(F.array(*marks), lambda m: m.isNotNull())
-    return rows.withColumn("measure", F.explode(tags))
+    """One row per reading and measure whose rule its name matches."""
+    if all(rule.exact and not rule.lower for rule in measures.values()):
+        # Plain equalities exclude one another and can be pushed into the scan.
+        names = {rule.pattern: name for name, rule in measures.items()}
+        marks = [F.when(F.col(text) == p, F.lit(n)) for p, n in names.items()]
+        return df.filter(F.col(text).isin(list(names))).withColumn("measure", F.coalesce(*marks))
+    df, hits = fold_rules(df, text, measures)
+    return tag_rows(df, "measure", hits)
 
 
 def measure_profile(
@@ -116,6 +115,8 @@ def measure_profile(
     value: str,
     index_ts: str,
     tie: str | Sequence[str],
+    text: str,
+    measures: dict[str, Rule],
 ) -> DataFrame:
     """Baseline and extremes of every measure in one pass over the readings.
 
@@ -124,7 +125,11 @@ def measure_profile(
     group key includes the measure, so the plan does not widen with their
     number and one subject's readings spread over several tasks.
     """
-    seen = attach_index(readings.filter(F.col(value).isNotNull()), index, key, index_ts)
+    known = readings.filter(F.col(value).isNotNull())
+    if fits_broadcast(index.select(key, index_ts)):
+        seen = measure_rows(attach_index(known, index, key, index_ts), text, measures)
+    else:
+        seen = attach_index(measure_rows(known, text, measures), index, key, index_ts)
     before, after = on_side(ts, index_ts, "until"), on_side(ts, index_ts, "from")
     return seen.groupBy(key, "measure").agg(
         F.max_by(value, F.when(before, order_of(ts, tie))).alias("last_value"),
@@ -162,7 +167,7 @@ def onset_times(
     ``new_only`` are new-onset events: a subject with such an event strictly
     before the index gets no time. Subjects without any time are left out.
     """
-    seen = attach_index(events.filter(any_of(rules.values())), index, key, index_ts)
+    seen = attach_index(events, index, key, index_ts, any_of(rules.values()))
     before, after = on_side(ts, index_ts, "before"), on_side(ts, index_ts, "from")
     aggs = []
     for name, cond in rules.items():

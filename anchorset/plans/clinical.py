@@ -73,7 +73,7 @@ def subject_detail(source) -> DataFrame:
         "icu_los_hours": whole_quotient("unitdischargeoffset", 60),
     }
     out = co.subject_detail(
-        patient, [(region, "hospitalid"), (score, "patientunitstayid")], derived
+        patient, [(region, "hospitalid")], derived, [(score, "patientunitstayid")]
     )
     return out.select(
         "uniquepid",
@@ -103,14 +103,8 @@ def subject_detail(source) -> DataFrame:
     )
 
 
-def study_cohort(source, subjects: DataFrame, removal: str = "literal") -> DataFrame:
-    """Index treatments of adults in the first unit stay of a hospital stay.
-
-    ``removal`` decides on stays with a removal text. ``literal`` keeps stays
-    with no removal at all, which is what the published definition computes.
-    ``intent`` counts the text variants per stay, as its comments describe: it
-    keeps stays with two variants, and stays with one that is no removal.
-    """
+def treated_stays(source, subjects: DataFrame) -> DataFrame:
+    """Index treatments of adults in the first unit stay of a hospital stay."""
     stays = subjects.withColumnRenamed("patientunitstayid", STAY)
     first = co.first_per(
         stays,
@@ -137,15 +131,27 @@ def study_cohort(source, subjects: DataFrame, removal: str = "literal") -> DataF
         "ethnicity",
     )
     treatments = _read(source, "treatment").withColumnRenamed("activeupondischarge", "active")
-    treated = co.select_cohort(
+    return co.select_cohort(
         treatments, adults, STAY, "treatmentstring", reg.INDEX_TREATMENT, "age", reg.MIN_AGE
     )
+
+
+def study_cohort(treated: DataFrame, removal: str = "literal") -> DataFrame:
+    """Treated stays without a removal.
+
+    ``literal`` keeps stays with no removal text at all, which is what the
+    published definition computes. ``intent`` counts the text variants per stay,
+    as its comments describe: it keeps stays with two variants, and stays with
+    one that is no removal.
+    """
     removed = fl.ever_flag(treated, STAY, "treatmentstring", reg.INDEX_REMOVAL)
     if removal == "literal":
         kept = co.exclude(treated, removed, STAY)
     else:
-        variants = lambda n: co.keys_with_variant_count(treated, STAY, "treatmentstring", n, STAY)
-        listed = co.union_keys(variants(2), co.exclude(variants(1), removed, STAY))
+        one, two = (
+            co.keys_with_variant_count(treated, STAY, "treatmentstring", n, STAY) for n in (1, 2)
+        )
+        listed = co.union_keys(two, co.exclude(one, removed, STAY))
         kept = subject_join(treated, listed, STAY, "left_semi")
     hours = round_to(F.col(INDEX_TS) / 60, 2)
     return kept.withColumns({"treatmentoffset_hour": hours, "first_icu": F.lit(1)})
@@ -215,25 +221,36 @@ def index_table(source, cohort: DataFrame) -> DataFrame:
     return first.join(by_stay, STAY, "left")
 
 
-def lab_rows(source, measures: dict | None = None) -> DataFrame:
-    return tl.measure_rows(_read(source, "lab"), "labname", measures or reg.LABS)
+def lab_rows(source, measure: str) -> DataFrame:
+    """Readings of one measure."""
+    return co.match_rule(_read(source, "lab"), "labname", reg.LABS[measure])
 
 
 def lab_profile(source, index: DataFrame) -> DataFrame:
     """Baseline, lowest and highest value of all laboratory measures."""
     return tl.measure_profile(
-        lab_rows(source), index, STAY, "labresultoffset", "labresult", INDEX_TS, "labresult"
+        _read(source, "lab"),
+        index,
+        STAY,
+        "labresultoffset",
+        "labresult",
+        INDEX_TS,
+        "labresult",
+        "labname",
+        reg.LABS,
     )
 
 
 def diagnosis_rows(source, index: DataFrame) -> DataFrame:
     """(stay, flag) pairs of all diagnosis rules."""
-    rules = {
-        name: (rule.matches("diagnosisstring"), side)
-        for name, (rule, side) in reg.DIAGNOSES.items()
-    }
     rows = fl.timed_flag_rows(
-        _read(source, "diagnosis"), index, STAY, "diagnosisoffset", INDEX_TS, rules
+        _read(source, "diagnosis"),
+        index,
+        STAY,
+        "diagnosisoffset",
+        INDEX_TS,
+        "diagnosisstring",
+        reg.DIAGNOSES,
     )
     return rows.distinct()
 
@@ -355,8 +372,7 @@ def history(source, wide: DataFrame, diagnoses: DataFrame) -> DataFrame:
     stays = wide.select(STAY)
 
     def rows(name: str, text: str, rules: dict) -> DataFrame:
-        hits = {flag: rule.matches(text) for flag, rule in rules.items()}
-        return fl.flag_rows(_read(source, name), STAY, hits, stays)
+        return fl.flag_rows(_read(source, name), STAY, text, rules, stays)
 
     sources = [
         diagnoses,
@@ -405,7 +421,7 @@ def nadir_lookback(source, hist: DataFrame, profile: DataFrame) -> DataFrame:
         .select(STAY, F.col("min_value").alias("nadir_hgb"), F.col("min_ts").alias("min_hgb_time"))
         .join(hist.select(STAY), STAY, "left_semi")
     )
-    readings = lab_rows(source, {"hgb": reg.LABS["hgb"]})
+    readings = lab_rows(source, "hgb")
     prior = tl.prior_window_extreme(
         readings, nadir, STAY, "labresultoffset", "labresult", "min_hgb_time", reg.LOOKBACK_MINUTES
     )
@@ -501,7 +517,7 @@ def platelet_ratios(source, hist: DataFrame) -> DataFrame:
     """Every platelet reading from the index on, over its baseline, with the day
     counted from unit admission."""
     series = tl.ratio_series(
-        lab_rows(source, {"platelet": reg.LABS["platelet"]}),
+        lab_rows(source, "platelet"),
         hist,
         STAY,
         "labresultoffset",
@@ -534,9 +550,13 @@ class ClinicalStudy:
     def subjects(self) -> DataFrame:
         return subject_detail(self.source)
 
+    @cached_property
+    def treated(self) -> DataFrame:
+        return self.store.border("treated", treated_stays(self.source, self.subjects))
+
     @cached_property
     def cohort(self) -> DataFrame:
-        return study_cohort(self.source, self.subjects, self.removal)
+        return study_cohort(self.treated, self.removal)
 
     @cached_property
     def index(self) -> DataFrame:
@@ -552,7 +572,7 @@ class ClinicalStudy:
 
     @cached_property
     def baseline(self) -> DataFrame:
-        return index_baseline(self.index, self.profile)
+        return self.store.border("baseline", index_baseline(self.index, self.profile))
 
     @cached_property
     def wide(self) -> DataFrame:

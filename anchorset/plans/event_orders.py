@@ -235,13 +235,16 @@ def extreme_after_max(spark, sf_dir):
     return rows.select(USER, "max_value", micros("extreme_ts").alias("extreme_us"))
 
 
-MEASURES = {name: like(name) for name in ("view", "click", "error", "signup")}
+MEASURES = {name: like(name, lower=False) for name in ("view", "click", "error", "signup")}
 
 
 def _profile(spark, sf_dir) -> DataFrame:
-    readings = tl.measure_rows(_events(spark, sf_dir), "event_type", MEASURES)
+    return _profile_at(spark, sf_dir, _index(spark, sf_dir))
+
+
+def _profile_at(spark, sf_dir, index) -> DataFrame:
     return tl.measure_profile(
-        readings, _index(spark, sf_dir), USER, TS, "value", INDEX_TS, "event_id"
+        _events(spark, sf_dir), index, USER, TS, "value", INDEX_TS, "event_id", "event_type", MEASURES
     )
 
 
@@ -373,9 +376,9 @@ DOCUMENT_RULES = {
 
 def history_flags(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    rules = {name: rule.matches("text") for name, rule in DOCUMENT_RULES.items()}
-    flags = fl.pivot_flags([fl.flag_rows(docs, "doc_id", rules)], "doc_id", list(rules))
-    return fl.add_flags(docs.select("doc_id"), flags, "doc_id", list(rules))
+    names = list(DOCUMENT_RULES)
+    flags = fl.pivot_flags([fl.flag_rows(docs, "doc_id", "text", DOCUMENT_RULES)], "doc_id", names)
+    return fl.add_flags(docs.select("doc_id"), flags, "doc_id", names)
 
 
 def ever_flag(spark, sf_dir):
@@ -386,15 +389,15 @@ def ever_flag(spark, sf_dir):
 
 
 def timed_flags(spark, sf_dir):
-    error, signup = F.col("event_type") == "error", F.col("event_type") == "signup"
     rules = {
-        "error_before": (error & (F.col("value") > 60), "before"),
-        "error_from": (error & (F.col("value") > 120), "from"),
-        "signup_until": (signup, "until"),
-        "signup_ever": (signup & (F.col("value") > 150), None),
+        "error_before": (like("error"), "before"),
+        "error_from": (similar("err%|fail%"), "from"),
+        "signup_until": (like("sign%"), "until"),
+        "click_ever": (like("click"), None),
     }
     index = _index(spark, sf_dir)
-    rows = fl.timed_flag_rows(_events(spark, sf_dir), index, USER, TS, INDEX_TS, rules)
+    events = _events(spark, sf_dir).filter("value > 60")
+    rows = fl.timed_flag_rows(events, index, USER, TS, INDEX_TS, "event_type", rules)
     flags = fl.pivot_flags([rows], USER, list(rules))
     return fl.add_flags(index.select(USER), flags, USER, list(rules))
 
@@ -445,8 +448,7 @@ def _feature_wide(spark, sf_dir) -> DataFrame:
         columns[f"last_{name}"] = (name, "last_value")
         columns[f"min_{name}"] = (name, "min_value")
         columns[f"max_{name}"] = (name, "max_value")
-    readings = tl.measure_rows(_events(spark, sf_dir), "event_type", MEASURES)
-    profile = tl.measure_profile(readings, index, USER, TS, "value", INDEX_TS, "event_id")
+    profile = _profile_at(spark, sf_dir, index)
     high = {
         "error_time": (F.col("event_type") == "error") & (F.col("value") > 60),
         "signup_time": (F.col("event_type") == "signup") & (F.col("value") > 60),

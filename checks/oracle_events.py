@@ -255,12 +255,9 @@ ORACLES = {
     + ", ".join(
         [
             _flag("error_before", f"user_id IN (SELECT user_id FROM {_seen('error', '<')} WHERE value > 60)"),
-            _flag("error_from", f"user_id IN (SELECT user_id FROM {_seen('error', '>=')} WHERE value > 120)"),
-            _flag("signup_until", f"user_id IN (SELECT user_id FROM {_seen('signup', '<=')})"),
-            _flag(
-                "signup_ever",
-                "user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 150)",
-            ),
+            _flag("error_from", f"user_id IN (SELECT user_id FROM {_seen('error', '>=')} WHERE value > 60)"),
+            _flag("signup_until", f"user_id IN (SELECT user_id FROM {_seen('signup', '<=')} WHERE value > 60)"),
+            _flag("click_ever", "user_id IN (SELECT user_id FROM events WHERE event_type = 'click' AND value > 60)"),
         ]
     )
     + " FROM idx",

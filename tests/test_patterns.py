@@ -1,0 +1,99 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from anchorset.functions.patterns import like, similar, similar_to_regex
+from anchorset.plans import registry
+
+CASES = [
+    # pattern, matching text, text that does not match
+    ("%tia\\(s%", "notes/tia(s)/multiple", "notes/tias"),
+    ("%chest pain \\/ ashd\\|chest pain%", "x|chest pain / ashd|chest pain", "chest pain / ashd chest pain"),
+    ("%a%|%b%", "xxbxx", "xxcxx"),
+    ("a|b", "b", "ab"),
+    ("(red|blue) ring", "blue ring", "a blue ring"),
+    ("%(acute mi|mi admitted)%", "non-operative|mi admitted > 24h", "mi"),
+    ("pt%inr", "pt - inr", "x pt - inr"),
+    ("gi_mo", "gizmo", "gimo"),
+    ("a.c", "a.c", "abc"),
+    ("^a$", "^a$", "a"),
+    ("[a-c]x+", "bxxx", "dx"),
+    ("[^a]b", "cb", "ab"),
+    ("ab{2}", "abb", "abbb"),
+    ("%one%", "line\none\nline", "line\ntwo"),
+    ("one", "one", "one\n"),
+    ("100\\%", "100%", "1000"),
+    ("a\\_b", "a_b", "axb"),
+    ("%", "", None),
+]
+
+
+@pytest.mark.parametrize("pattern,hit,miss", CASES)
+def test_similar_matches_whole_strings(spark, pattern, hit, miss):
+    df = spark.createDataFrame([(hit, miss)], "hit string, miss string")
+    rule = similar(pattern, lower=False)
+    got = df.select(rule.matches("hit").alias("hit"), rule.matches("miss").alias("miss")).first()
+    assert got["hit"] is True
+    assert got["miss"] in ((None,) if miss is None else (False,))
+
+
+@pytest.mark.parametrize("pattern,hit,miss", CASES)
+def test_regex_form_agrees_with_python(pattern, hit, miss):
+    regex = re.compile(similar_to_regex(pattern).replace("\\z", "\\Z"))
+    assert regex.search(hit)
+    assert miss is None or not regex.search(miss)
+
+
+def test_trailing_escape_is_refused():
+    with pytest.raises(ValueError):
+        similar_to_regex("abc\\")
+
+
+def test_like_without_wildcard_is_equality(spark):
+    df = spark.createDataFrame([("Hgb",), ("hgb ",), (None,)], "t string")
+    got = [r[0] for r in df.select(like("hgb").matches("t")).collect()]
+    assert got == [True, False, None]
+    assert like("hgb").exact and not like("%hgb%").exact and not similar("a|b").exact
+
+
+def test_null_text_passes_neither_pattern_nor_exclusion(spark):
+    df = spark.createDataFrame([("a x",), ("a y",), (None,)], "t string")
+    rule = like("%a%", none_of=("%y%",))
+    assert [r[0] for r in df.filter(rule.matches("t")).collect()] == ["a x"]
+
+
+def test_case_folding_is_per_rule(spark):
+    df = spark.createDataFrame([("CABG alone",), ("cabg alone",)], "t string")
+    assert df.filter(like("%CABG%", lower=False).matches("t")).count() == 1
+    assert df.filter(like("%cabg%").matches("t")).count() == 2
+
+
+def _patterns():
+    tables = (
+        registry.PAST_HISTORY,
+        registry.ADMISSION,
+        registry.TREATMENT_DRUGS,
+        registry.MEDICATION_DRUGS,
+        registry.INFUSION_DRUGS,
+        registry.ONSETS,
+        registry.LABS,
+        {k: v[0] for k, v in registry.DIAGNOSES.items()},
+    )
+    return [rule for table in tables for rule in table.values()]
+
+
+@pytest.mark.parametrize("rule", _patterns(), ids=lambda r: r.pattern[:40])
+def test_every_registry_pattern_compiles_and_matches_itself(spark, rule):
+    """Each alternative, with wildcards filled in, is matched."""
+    body = rule.pattern
+    text = re.sub(r"\(([^()|]*)\|[^()]*\)", r"\1", body.replace("\\|", "\0").replace("\\(", "\1"))
+    text = text.split("|")[0].replace("\0", "|").replace("\1", "(").replace("\\/", "/").replace("%", " ")
+    if rule.exact:
+        text = text.strip()
+    df = spark.createDataFrame([(text,), ("#none#",)], "t string")
+    got = [r[0] for r in df.select(F.coalesce(rule.matches("t"), F.lit(False))).collect()]
+    if rule.pattern.startswith("%"):
+        assert got == [True, False]
+    else:
+        assert got[1] is False

@@ -1,0 +1,186 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from anchorset.functions.patterns import like
+from anchorset.operators import timeline as tl
+
+READINGS = "k int, off int, name string, v double, id int"
+
+
+def _index(spark, *rows):
+    return spark.createDataFrame(list(rows), "k int, at int")
+
+
+@pytest.fixture(params=["broadcast", "shuffle"])
+def session(request, spark):
+    """Both join paths of every operator."""
+    return request.getfixturevalue("no_broadcast") if request.param == "shuffle" else spark
+
+
+def test_index_event_ties_and_nulls(spark, as_rows):
+    events = spark.createDataFrame([(1, 5, 9, "b"), (1, 5, 3, "a"), (1, None, 1, "n"), (2, None, 1, "n")], "k int, off int, id int, c string")
+    assert as_rows(tl.index_event(events, "k", "off", "id", ["c"])) == [(1, 5, "a")]
+
+
+BOUNDARY = [
+    (1, 100, "x", 5.0, 1),  # exactly at the index
+    (2, 99, "x", 4.0, 2),  # one minute before
+    (3, 101, "x", 3.0, 3),  # one minute after
+    (4, 50, "x", None, 4),
+    (4, 40, "x", 8.0, 5),
+    (4, 60, "x", 9.0, 6),
+    (4, 60, "x", 7.0, 7),  # tie in time: the higher id wins
+]
+
+
+@pytest.mark.parametrize("method", ["aggregate", "window"])
+def test_last_before_boundaries(session, as_rows, method):
+    readings = session.createDataFrame(BOUNDARY, READINGS)
+    index = _index(session, (1, 100), (2, 100), (3, 100), (4, 100), (5, 100))
+    args = (readings, index, "k", "off", "v", "at", "id")
+    assert as_rows(tl.last_before(*args, out_ts="t", method=method)) == [(1, 5.0, 100), (2, 4.0, 99), (4, 7.0, 60)]
+    strict = tl.last_before(*args, inclusive=False, method=method)
+    assert as_rows(strict) == [(2, 4.0), (4, 7.0)]
+
+
+def test_extreme_after_boundaries(session, as_rows):
+    readings = session.createDataFrame(
+        [*BOUNDARY, (1, 200, "x", 5.0, 8), (1, 150, "x", 9.0, 9), (1, 160, "x", 9.0, 10)], READINGS
+    )
+    index = _index(session, (1, 100), (2, 100), (3, 100), (4, 100))
+    args = (readings, index, "k", "off", "v", "at")
+    assert as_rows(tl.extreme_after(*args, "min", out_ts="t")) == [(1, 5.0, 100), (3, 3.0, 101)]
+    assert as_rows(tl.extreme_after(*args, "max", out_ts="t")) == [(1, 9.0, 150), (3, 3.0, 101)]
+    assert as_rows(tl.extreme_after(*args, "min", inclusive=False)) == [(1, 5.0), (3, 3.0)]
+
+
+def test_measures_may_overlap(spark, as_rows):
+    df = spark.createDataFrame([(1, "Troponin - T"), (1, "troponin - i"), (1, "PT"), (1, "PT - INR"), (1, "x"), (1, None)], "k int, name string")
+    rules = {"i": like("troponin%i%"), "t": like("troponin%t%"), "pt": like("pt"), "inr": like("pt%inr")}
+    got = as_rows(tl.measure_rows(df, "name", rules), "name", "measure")
+    assert got == [("PT", "pt"), ("PT - INR", "inr"), ("Troponin - T", "t"), ("troponin - i", "i")]
+    both = {"a": like("%pt%"), "b": like("%inr%")}
+    assert as_rows(tl.measure_rows(df, "name", both), "name", "measure") == [
+        ("PT", "a"),
+        ("PT - INR", "a"),
+        ("PT - INR", "b"),
+    ]
+
+
+def test_exact_measures_are_equalities(spark, as_rows):
+    df = spark.createDataFrame([(1, "a"), (1, "A"), (1, "b"), (1, None)], "k int, name string")
+    rules = {"first": like("a", lower=False), "second": like("b", lower=False)}
+    assert as_rows(tl.measure_rows(df, "name", rules), "name", "measure") == [("a", "first"), ("b", "second")]
+
+
+def _random_readings(spark, seed, n=4000):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        k = 0 if rng.random() < 0.33 else rng.randrange(1, 40)
+        value = None if rng.random() < 0.05 else float(rng.randrange(0, 60))
+        rows.append((k, rng.randrange(0, 200), rng.choice(["a", "b", "c"]), value, i))
+    return rows, spark.createDataFrame(rows, READINGS).repartition(7)
+
+
+def test_profile_agrees_with_brute_force(session, as_rows):
+    rows, readings = _random_readings(session, 1)
+    at = {k: 20 + 4 * k for k in range(0, 40, 2)}
+    index = _index(session, *at.items())
+    rules = {"a": like("a"), "bc": like("%"), "none": like("zzz")}
+    got = tl.measure_profile(readings, index, "k", "off", "v", "at", "id", "name", rules)
+    expected = []
+    for k, t in at.items():
+        for m, accept in (("a", lambda n: n == "a"), ("bc", lambda n: True)):
+            own = [r for r in rows if r[0] == k and r[3] is not None and accept(r[2])]
+            before = [r for r in own if r[1] <= t]
+            after = [r for r in own if r[1] >= t]
+            if not own:
+                continue
+            last = max(before, key=lambda r: (r[1], r[4])) if before else None
+            low = min(after, key=lambda r: (r[3], r[1])) if after else None
+            expected.append(
+                (
+                    k,
+                    m,
+                    last and last[3],
+                    last and last[1],
+                    low and low[1],
+                    low and low[3],
+                    max((r[3] for r in after), default=None),
+                )
+            )
+    order = ("k", "measure", "last_value", "last_ts", "min_ts", "min_value", "max_value")
+    assert as_rows(got, *order) == sorted(expected, key=lambda t: [(v is not None, v) for v in t])
+
+
+def test_aggregate_and_window_agree(session, as_rows):
+    _, readings = _random_readings(session, 2)
+    index = _index(session, *[(k, 100) for k in range(40)])
+    args = (readings, index, "k", "off", "v", "at", "id")
+    assert as_rows(tl.last_before(*args)) == as_rows(tl.last_before(*args, method="window"))
+
+
+def test_result_does_not_depend_on_partitions(spark, as_rows):
+    rows, _ = _random_readings(spark, 3, 1500)
+    index = _index(spark, *[(k, 90) for k in range(40)])
+    results = []
+    for seed, parts in ((1, 1), (2, 13)):
+        shuffled = rows[:]
+        random.Random(seed).shuffle(shuffled)
+        readings = spark.createDataFrame(shuffled, READINGS).repartition(parts)
+        results.append(as_rows(tl.last_before(readings, index, "k", "off", "v", "at", "id")))
+    assert results[0] == results[1]
+
+
+def test_first_event_and_new_onset(session, as_rows):
+    events = session.createDataFrame(
+        [(1, 50), (2, 150), (2, 130), (3, 50), (3, 150), (4, 100), (6, 500)], "k int, off int"
+    )
+    index = _index(session, *[(k, 100) for k in range(1, 6)])
+    assert as_rows(tl.first_event_after(events, index, "k", "off", "at")) == [(2, 130), (3, 150), (4, 100)]
+    assert as_rows(tl.new_onset(events, index, "k", "off", "at")) == [(2, 130), (4, 100)]
+
+
+def test_onsets_of_several_kinds_in_one_pass(session, as_rows):
+    events = session.createDataFrame(
+        [(1, 50, "v"), (1, 150, "v"), (1, 160, "r"), (2, 120, "v"), (3, 10, "r")], "k int, off int, t string"
+    )
+    index = _index(session, (1, 100), (2, 100), (3, 100))
+    rules = {"vent": F.col("t") == "v", "rbc": F.col("t") == "r"}
+    got = tl.onset_times(events, index, "k", "off", "at", rules, ["vent"])
+    assert as_rows(got) == [(1, None, 160), (2, 120, None)]
+
+
+def test_merged_sources_collapse_equal_rows(spark, as_rows):
+    a = spark.createDataFrame([(1, 5, 1.0), (1, 5, None)], "k int, off int, v double")
+    b = spark.createDataFrame([(1, 5, 1.0), (1, 6, 2.0)], "k int, off int, v double")
+    assert as_rows(tl.merge_sources([a, b], "v")) == [(1, 5, 1.0), (1, 6, 2.0)]
+    assert tl.merge_sources([a, b], "v", distinct=False).count() == 3
+
+
+def test_lookback_bounds(session, as_rows):
+    m = 10_000
+    readings = session.createDataFrame(
+        [(1, m - 4321, 9.0), (1, m - 4320, 7.0), (1, m - 1, 6.0), (1, m, 99.0), (1, m + 1, 98.0)]
+        + [(2, m - 4321, 5.0), (3, m, 1.0), (1, m - 10, None), (1, m - 4000, 7.0)],
+        "k int, off int, v double",
+    )
+    anchor = session.createDataFrame([(1, m), (2, m), (3, m)], "k int, at int")
+    got = tl.prior_window_extreme(readings, anchor, "k", "off", "v", "at", 4320)
+    assert as_rows(got) == [(1, 7.0, m - 4320, 9.0, m - 4321), (2, None, None, 5.0, m - 4321)]
+
+
+def test_coverage_counts_subjects_per_day(spark, as_rows):
+    series = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (1, 2), (2, 1)], "k int, day int")
+    got = [tuple(r) for r in tl.daily_coverage(series, "k", "day").collect()]
+    assert got == [(0, 2), (1, 1), (2, 1)]
+
+
+def test_ratio_series_starts_at_the_index(session, as_rows):
+    readings = session.createDataFrame([(1, 99, 1.0), (1, 100, 2.0), (1, 101, None), (2, 500, 3.0)], "k int, off int, v double")
+    base = session.createDataFrame([(1, 100, 4.0)], "k int, at int, base double")
+    got = tl.ratio_series(readings, base, "k", "off", "v", "at", "base")
+    assert as_rows(got, "k", "off", "v", "base") == [(1, 100, 2.0, 4.0)]
