@@ -1,4 +1,4 @@
-"""Stage borders of a pipeline: written tables, or plain lazy DataFrames."""
+"""Stage borders of a pipeline: tables written to a shared folder."""
 
 from __future__ import annotations
 
@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 class StageStore:
     """Where a pipeline keeps its stage tables.
 
-    With a folder, each stage is written there as Parquet (overwriting what an
-    earlier run left) and read back. The lineage ends at a table that outlives
-    any executor, and Spark knows the exact size of what it joins next. Without
-    a folder the stages stay lazy and nothing is written.
+    Each stage is written as Parquet (overwriting what an earlier run left) and
+    read back: it is computed once, its lineage ends at a table that outlives
+    any executor, and Spark knows the exact size of what it joins next.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.folder = spark, folder.rstrip("/") if folder else None
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
 
     @classmethod
     def for_session(cls, spark: SparkSession) -> StageStore:
@@ -28,21 +27,19 @@ class StageStore:
         (``spark.checkpoint.dir``).
 
         Where that is unset, a local session gets a temporary folder that goes
-        away with the process; a cluster gets no folder, because its executors
-        share no local disk.
+        away with the process. A cluster has to name a folder, because its
+        executors share no local disk.
         """
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared:
             return cls(spark, f"{shared.rstrip('/')}/stages-{uuid.uuid4().hex}")
         if not spark.conf.get("spark.master", "").startswith("local"):
-            return cls(spark)
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="stages-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         return cls(spark, folder)
 
     def border(self, name: str, df: DataFrame) -> DataFrame:
-        if self.folder is None:
-            return df
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
