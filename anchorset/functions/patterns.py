@@ -89,9 +89,54 @@ def _regex_body(pattern: str) -> str:
     return out
 
 
-def _is_plain(branch: str) -> bool:
-    """True if a SIMILAR TO branch means the same as a LIKE pattern."""
-    return not (_REGEX_OPERATORS | {"\\"}) & set(branch)
+def like_patterns(pattern: str) -> list[str] | None:
+    """LIKE patterns that together accept what the SIMILAR TO pattern accepts,
+    or None if it repeats something or uses a character class.
+
+    Groups of alternatives are multiplied out: ``%(a|b)%`` is ``%a%`` or ``%b%``.
+    """
+    out = []
+    for branch in top_level_branches(pattern):
+        partial, i = [""], 0
+        while i < len(branch):
+            ch = branch[i]
+            if ch == "\\" and i + 1 < len(branch):
+                kept = branch[i : i + 2] if branch[i + 1] in "%_\\" else branch[i + 1]
+                partial, i = [p + kept for p in partial], i + 2
+            elif ch == "(":
+                end = _closing(branch, i)
+                inner = like_patterns(branch[i + 1 : end])
+                if inner is None or branch[end + 1 : end + 2] in ("*", "+", "?", "{"):
+                    return None
+                partial, i = [p + q for p in partial for q in inner], end + 1
+            elif ch in _REGEX_OPERATORS or ch == "\\":
+                return None
+            else:
+                partial, i = [p + ch for p in partial], i + 1
+        if branch[:1] in ("*", "+", "?", "{"):
+            return None
+        out += partial
+    return out
+
+
+def _closing(pattern: str, start: int) -> int:
+    """Position of the bracket that closes the one at ``start``."""
+    depth, i = 0, start
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            i += 1
+        elif pattern[i] in "()":
+            depth += 1 if pattern[i] == "(" else -1
+            if depth == 0:
+                return i
+        i += 1
+    raise ValueError(f"unbalanced brackets in {pattern!r}")
+
+
+def _is_search(pattern: str) -> bool:
+    """True if a LIKE pattern has wildcards at its ends only, so that Spark runs
+    it as an equality, a prefix, a suffix or a substring test."""
+    return not {"%", "_", "\\"} & set(pattern.strip("%"))
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -122,10 +167,16 @@ class Rule:
         return hit
 
     def _similar(self, col: Column) -> Column:
-        branches = top_level_branches(self.pattern)
-        if all(_is_plain(b) for b in branches):
-            return any_of(_like(col, b) for b in branches)
-        return col.rlike(similar_to_regex(self.pattern))
+        """Substring tests for the branches that allow them, which need no
+        regular expression; the others by ``rlike``."""
+        tests = []
+        for branch in top_level_branches(self.pattern):
+            plain = like_patterns(branch)
+            if plain is not None and all(_is_search(p) for p in plain):
+                tests += [_like(col, p) for p in plain]
+            else:
+                tests.append(col.rlike(similar_to_regex(branch)))
+        return any_of(tests)
 
     @property
     def exact(self) -> bool:

@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from anchorset.functions.patterns import like, similar, similar_to_regex
+from anchorset.functions.patterns import like, like_patterns, similar, similar_to_regex
 from anchorset.plans import registry
 
 CASES = [
@@ -97,3 +97,20 @@ def test_every_registry_pattern_compiles_and_matches_itself(spark, rule):
         assert got == [True, False]
     else:
         assert got[1] is False
+
+
+def test_alternatives_are_multiplied_out():
+    assert like_patterns("%(a|b) x(c|d\\|e)%|f") == ["%a xc%", "%a xd|e%", "%b xc%", "%b xd|e%", "f"]
+    assert like_patterns("%tia\\(s%") == ["%tia(s%"]
+    assert like_patterns("100\\%") == ["100\\%"]
+    for pattern in ("(a|b)+", "[ab]", "ab*", "a{2}", "%(a|b?)%"):
+        assert like_patterns(pattern) is None
+    with pytest.raises(ValueError):
+        like_patterns("(a|b")
+
+
+def test_searches_need_no_regular_expression(spark):
+    df = spark.createDataFrame([("x",)], "t string")
+    for rule in _patterns():
+        text = str(df.select(rule.matches("t"))._jdf.queryExecution().optimizedPlan())
+        assert "RLIKE" not in text
