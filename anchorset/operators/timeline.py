@@ -22,17 +22,24 @@ def order_of(ts: str, tie: str | Sequence[str]) -> Column:
 
 
 def index_event(
-    events: DataFrame, key: str, ts: str, tie: str | Sequence[str], carry: Sequence[str] = ()
+    events: DataFrame,
+    key: str,
+    ts: str,
+    tie: str | Sequence[str],
+    carry: Sequence[str] = (),
+    unless: Column | None = None,
 ) -> DataFrame:
     """Earliest event per subject with the columns it carries. Events without a
-    time are no index events."""
-    first = F.min_by(F.struct(ts, *carry), order_of(ts, tie)).alias("_first")
-    return (
-        events.filter(F.col(ts).isNotNull())
-        .groupBy(key)
-        .agg(first)
-        .select(key, *[F.col("_first")[c].alias(c) for c in (ts, *carry)])
-    )
+    time are no index events. Subjects with any event that meets ``unless`` are
+    left out."""
+    order = F.when(F.col(ts).isNotNull(), order_of(ts, tie))
+    aggs = [F.min_by(F.struct(ts, *carry), order).alias("_first")]
+    if unless is not None:
+        aggs.append(F.max(unless.cast("int")).alias("_unless"))
+    first = events.groupBy(key).agg(*aggs).filter(F.col("_first")[ts].isNotNull())
+    if unless is not None:
+        first = first.filter(F.coalesce(F.col("_unless"), F.lit(0)) == 0)
+    return first.select(key, *[F.col("_first")[c].alias(c) for c in (ts, *carry)])
 
 
 def last_before(

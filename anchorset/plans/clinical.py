@@ -131,34 +131,27 @@ def treated_stays(source, subjects: DataFrame) -> DataFrame:
         "ethnicity",
     )
     treatments = _read(source, "treatment").withColumnRenamed("activeupondischarge", "active")
-    return co.select_cohort(
+    treated = co.select_cohort(
         treatments, adults, STAY, "treatmentstring", reg.INDEX_TREATMENT, "age", reg.MIN_AGE
     )
+    return treated.withColumn("treatmentoffset_hour", round_to(F.col(INDEX_TS) / 60, 2))
 
 
-def study_cohort(treated: DataFrame, removal: str = "literal") -> DataFrame:
-    """Treated stays without a removal.
-
-    ``literal`` keeps stays with no removal text at all, which is what the
-    published definition computes. ``intent`` counts the text variants per stay,
-    as its comments describe: it keeps stays with two variants, and stays with
-    one that is no removal.
-    """
+def intended_cohort(treated: DataFrame) -> DataFrame:
+    """Treated stays by the stated intent of the removal rule: stays with two
+    text variants, and stays with one that is no removal."""
     removed = fl.ever_flag(treated, STAY, "treatmentstring", reg.INDEX_REMOVAL)
-    if removal == "literal":
-        kept = co.exclude(treated, removed, STAY)
-    else:
-        one, two = (
-            co.keys_with_variant_count(treated, STAY, "treatmentstring", n, STAY) for n in (1, 2)
-        )
-        listed = co.union_keys(two, co.exclude(one, removed, STAY))
-        kept = subject_join(treated, listed, STAY, "left_semi")
-    hours = round_to(F.col(INDEX_TS) / 60, 2)
-    return kept.withColumns({"treatmentoffset_hour": hours, "first_icu": F.lit(1)})
+    one, two = (
+        co.keys_with_variant_count(treated, STAY, "treatmentstring", n, STAY) for n in (1, 2)
+    )
+    listed = co.union_keys(two, co.exclude(one, removed, STAY))
+    return subject_join(treated, listed, STAY, "left_semi")
 
 
-def cohort_view(cohort: DataFrame) -> DataFrame:
-    return cohort.select(
+def cohort_view(treated: DataFrame, index: DataFrame) -> DataFrame:
+    """All index treatments of the stays in the index table."""
+    kept = subject_join(treated, index.select(STAY), STAY, "left_semi")
+    return kept.withColumn("first_icu", F.lit(1)).select(
         "uniquepid",
         "hadmid",
         STAY,
@@ -184,8 +177,10 @@ def cohort_view(cohort: DataFrame) -> DataFrame:
     )
 
 
-def index_table(source, cohort: DataFrame) -> DataFrame:
-    """First treatment of each stay, with the stay's attributes.
+def index_table(source, treated: DataFrame, skip_removed: bool) -> DataFrame:
+    """First index treatment of each stay, with the stay's attributes.
+
+    ``skip_removed`` leaves out stays with any removal text.
 
     The severity table holds a row per score version; it is reduced to one length
     of stay per stay first, taken from version IV where that has one.
@@ -198,7 +193,7 @@ def index_table(source, cohort: DataFrame) -> DataFrame:
             F.max("actualhospitallos"),
         ),
     )
-    named = cohort.select(
+    named = treated.select(
         STAY,
         "age",
         "gender",
@@ -213,11 +208,12 @@ def index_table(source, cohort: DataFrame) -> DataFrame:
         "hospitaladmitoffset",
         "hospitaldischargeoffset",
         INDEX_TS,
-        "treatmentoffset_hour",
         "treatmentid",
+        "treatmentstring",
     )
-    carry = [c for c in named.columns if c not in (STAY, INDEX_TS, "treatmentid")]
-    first = tl.index_event(named, STAY, INDEX_TS, "treatmentid", carry)
+    carry = [c for c in named.columns if c not in (STAY, INDEX_TS, "treatmentid", "treatmentstring")]
+    removed = reg.INDEX_REMOVAL.matches("treatmentstring") if skip_removed else None
+    first = tl.index_event(named, STAY, INDEX_TS, "treatmentid", carry, removed)
     return first.join(by_stay, STAY, "left")
 
 
@@ -241,18 +237,33 @@ def lab_profile(source, index: DataFrame) -> DataFrame:
     )
 
 
-def diagnosis_rows(source, index: DataFrame) -> DataFrame:
-    """(stay, flag) pairs of all diagnosis rules."""
-    rows = fl.timed_flag_rows(
-        _read(source, "diagnosis"),
-        index,
-        STAY,
-        "diagnosisoffset",
-        INDEX_TS,
-        "diagnosisstring",
-        reg.DIAGNOSES,
-    )
-    return rows.distinct()
+_FLAGS = (*reg.HISTORY_FLAGS, "witness_bleed", "hemo_stroke", "excluding_diagnosis")
+
+
+def stay_flags(source, index: DataFrame) -> DataFrame:
+    """All history, admission, drug and diagnosis flags of the stays with any:
+    one scan per source table and one aggregate for all of them."""
+
+    def rows(name: str, text: str, rules: dict) -> DataFrame:
+        return fl.flag_rows(_read(source, name), STAY, text, rules, index)
+
+    sources = [
+        fl.timed_flag_rows(
+            _read(source, "diagnosis"),
+            index,
+            STAY,
+            "diagnosisoffset",
+            INDEX_TS,
+            "diagnosisstring",
+            reg.DIAGNOSES,
+        ),
+        rows("pasthistory", "pasthistorypath", reg.PAST_HISTORY),
+        rows("admissiondx", "admitdxpath", reg.ADMISSION),
+        rows("treatment", "treatmentstring", reg.TREATMENT_DRUGS),
+        rows("medication", "drugname", reg.MEDICATION_DRUGS),
+        rows("infusiondrug", "drugname", reg.INFUSION_DRUGS),
+    ]
+    return fl.pivot_flags(sources, STAY, _FLAGS)
 
 
 def index_baseline(index: DataFrame, profile: DataFrame) -> DataFrame:
@@ -291,20 +302,25 @@ def pressures(source, index: DataFrame) -> DataFrame:
     return seen.groupBy(STAY).agg(last("sbp").alias("sbp"), last("dbp").alias("last_dbp"))
 
 
-def covariates(source, baseline: DataFrame, profile: DataFrame, diagnoses: DataFrame) -> DataFrame:
-    """About sixty covariates around the index, one row per stay."""
-    columns = {n: s for n, s in reg.LAB_COLUMNS.items() if n not in ("last_plt", "min_plt")}
-    index = baseline.select(STAY, INDEX_TS)
+def onset_table(source, index: DataFrame) -> DataFrame:
+    """First transfusion, ventilation and dialysis at or after the index."""
     treatment = _read(source, "treatment").select(
         STAY, F.col(INDEX_TS).alias("event_offset"), "treatmentstring"
     )
     rules = {name: rule.matches("treatmentstring") for name, rule in reg.ONSETS.items()}
-    onsets = tl.onset_times(treatment, index, STAY, "event_offset", INDEX_TS, rules, reg.NEW_ONSETS)
-    stroke = diagnoses.filter(F.col("flag") == "hemo_stroke").select(STAY, F.lit(1).alias("_stroke"))
+    return tl.onset_times(treatment, index, STAY, "event_offset", INDEX_TS, rules, reg.NEW_ONSETS)
+
+
+def covariates(
+    baseline: DataFrame, profile: DataFrame, onsets: DataFrame, vitals: DataFrame, flags: DataFrame
+) -> DataFrame:
+    """About sixty covariates around the index, one row per stay."""
+    columns = {n: s for n, s in reg.LAB_COLUMNS.items() if n not in ("last_plt", "min_plt")}
+    stroke = flags.select(STAY, F.col("hemo_stroke").alias("_stroke"))
     wide = assemble(
         baseline.withColumnRenamed("dpc", "plt_dpc"),
         STAY,
-        [tl.pivot_profile(profile, STAY, columns), onsets, pressures(source, index), stroke],
+        [tl.pivot_profile(profile, STAY, columns), onsets, vitals, stroke],
     )
     # A haemoglobin pair needs both values, a creatinine pair only its baseline.
     wide = keep_pair(wide, "last_hgb", "min_hgb", "both")
@@ -366,24 +382,10 @@ def covariates_view(wide: DataFrame) -> DataFrame:
     return wide.select(STAY, *_BASIC, INDEX_TS, *_COVARIATES)
 
 
-def history(source, wide: DataFrame, diagnoses: DataFrame) -> DataFrame:
+def history(wide: DataFrame, flags: DataFrame) -> DataFrame:
     """Covariates plus bands, body mass index and thirty history, admission and
     drug flags; stays with the excluding diagnosis are dropped."""
-    stays = wide.select(STAY)
-
-    def rows(name: str, text: str, rules: dict) -> DataFrame:
-        return fl.flag_rows(_read(source, name), STAY, text, rules, stays)
-
-    sources = [
-        diagnoses,
-        rows("pasthistory", "pasthistorypath", reg.PAST_HISTORY),
-        rows("admissiondx", "admitdxpath", reg.ADMISSION),
-        rows("treatment", "treatmentstring", reg.TREATMENT_DRUGS),
-        rows("medication", "drugname", reg.MEDICATION_DRUGS),
-        rows("infusiondrug", "drugname", reg.INFUSION_DRUGS),
-    ]
-    names = [*reg.HISTORY_FLAGS, "witness_bleed", "hemo_stroke", "excluding_diagnosis"]
-    flagged = fl.add_flags(wide, fl.pivot_flags(sources, STAY, names), STAY, names)
+    flagged = fl.add_flags(wide, flags, STAY, _FLAGS)
     kept = flagged.filter(F.col("excluding_diagnosis") == 0)
     stay_minutes = F.col("hospitaldischargeoffset") - F.col("hospitaladmitoffset")
     return (
@@ -541,9 +543,16 @@ def platelet_ratios(source, hist: DataFrame) -> DataFrame:
 class ClinicalStudy:
     """The stages in dependency order. A stage is built when it is first asked
     for, and only with the stages it needs. Stages that several others read are
-    stage borders of the store."""
+    stage borders of the store.
+
+    ``removal`` decides on stays with a removal text among their index
+    treatments. ``literal`` drops every such stay, which is what the published
+    definition computes; ``intent`` follows its comments (``intended_cohort``).
+    """
 
     def __init__(self, source, store: StageStore, removal: str = "literal"):
+        if removal not in ("literal", "intent"):
+            raise ValueError("removal must be 'literal' or 'intent'")
         self.source, self.store, self.removal = source, store, removal
 
     @cached_property
@@ -552,36 +561,45 @@ class ClinicalStudy:
 
     @cached_property
     def treated(self) -> DataFrame:
-        return self.store.border("treated", treated_stays(self.source, self.subjects))
-
-    @cached_property
-    def cohort(self) -> DataFrame:
-        return study_cohort(self.treated, self.removal)
+        return treated_stays(self.source, self.subjects)
 
     @cached_property
     def index(self) -> DataFrame:
-        return self.store.border("index", index_table(self.source, self.cohort))
+        treated = self.treated
+        if self.removal == "intent":
+            treated = intended_cohort(self.store.border("treated", treated))
+        built = index_table(self.source, treated, self.removal == "literal")
+        return self.store.border("index", built)
 
     @cached_property
-    def profile(self) -> DataFrame:
-        return self.store.border("lab_profile", lab_profile(self.source, self.index))
+    def features(self) -> dict[str, DataFrame]:
+        """One table per group of sources, each keyed by the stay."""
+        index = self.index
+        return self.store.borders(
+            {
+                "lab_profile": lab_profile(self.source, index),
+                "flags": stay_flags(self.source, index),
+                "onsets": onset_table(self.source, index),
+                "pressures": pressures(self.source, index),
+            }
+        )
 
-    @cached_property
-    def diagnoses(self) -> DataFrame:
-        return self.store.border("diagnosis_flags", diagnosis_rows(self.source, self.index))
+    @property
+    def profile(self) -> DataFrame:
+        return self.features["lab_profile"]
 
     @cached_property
     def baseline(self) -> DataFrame:
-        return self.store.border("baseline", index_baseline(self.index, self.profile))
+        return index_baseline(self.index, self.profile)
 
     @cached_property
     def wide(self) -> DataFrame:
-        built = covariates(self.source, self.baseline, self.profile, self.diagnoses)
-        return self.store.border("covariates", built)
+        f = self.features
+        return covariates(self.baseline, f["lab_profile"], f["onsets"], f["pressures"], f["flags"])
 
     @cached_property
     def hist(self) -> DataFrame:
-        return self.store.border("history", history(self.source, self.wide, self.diagnoses))
+        return self.store.border("history", history(self.wide, self.features["flags"]))
 
     @cached_property
     def lookback(self) -> DataFrame:
@@ -603,7 +621,7 @@ class ClinicalStudy:
 
 RESULTS = {
     "subject_detail": lambda s: s.subjects,
-    "cohort": lambda s: cohort_view(s.cohort),
+    "cohort": lambda s: cohort_view(s.treated, s.index),
     "cohort_stays": lambda s: s.index.select(STAY),
     "index_baseline": lambda s: baseline_view(s.baseline),
     "covariates": lambda s: covariates_view(s.wide),

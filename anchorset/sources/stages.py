@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,10 @@ class StageStore:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
+
+    def borders(self, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Stages that do not depend on one another, written at the same time so
+        that a short one does not leave the cluster idle."""
+        with ThreadPoolExecutor(len(frames)) as pool:
+            done = {name: pool.submit(self.border, name, df) for name, df in frames.items()}
+            return {name: job.result() for name, job in done.items()}

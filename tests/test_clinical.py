@@ -162,9 +162,12 @@ def test_cohort(study):
     assert by_stay(study.table("cohort"))[2]["age"] == 91.4
 
 
-def test_cohort_by_intent(study):
-    other = clinical.study_cohort(study.treated, "intent").select("icustay_id").distinct()
+def test_cohort_by_intent(study, spark, tmp_path):
+    store = StageStore(spark, str(tmp_path))
+    other = clinical.ClinicalStudy(study.source, store, "intent").table("cohort_stays")
     assert sorted(r[0] for r in other.collect()) == [1, 2, 8, 9, 10, 11, 12]
+    with pytest.raises(ValueError):
+        clinical.ClinicalStudy(study.source, store, "other")
 
 
 def test_baseline(study):
