@@ -540,6 +540,14 @@ def platelet_ratios(source, hist: DataFrame) -> DataFrame:
     )
 
 
+FEATURES = {
+    "lab_profile": lab_profile,
+    "onsets": onset_table,
+    "pressures": pressures,
+    "flags": stay_flags,
+}
+
+
 class ClinicalStudy:
     """The stages in dependency order. A stage is built when it is first asked
     for, and only with the stages it needs. Stages that several others read are
@@ -554,6 +562,7 @@ class ClinicalStudy:
         if removal not in ("literal", "intent"):
             raise ValueError("removal must be 'literal' or 'intent'")
         self.source, self.store, self.removal = source, store, removal
+        self._features: dict[str, DataFrame] = {}
 
     @cached_property
     def subjects(self) -> DataFrame:
@@ -571,22 +580,19 @@ class ClinicalStudy:
         built = index_table(self.source, treated, self.removal == "literal")
         return self.store.border("index", built)
 
-    @cached_property
-    def features(self) -> dict[str, DataFrame]:
-        """One table per group of sources, each keyed by the stay."""
-        index = self.index
-        return self.store.borders(
-            {
-                "lab_profile": lab_profile(self.source, index),
-                "flags": stay_flags(self.source, index),
-                "onsets": onset_table(self.source, index),
-                "pressures": pressures(self.source, index),
-            }
-        )
+    def features(self, *names: str) -> list[DataFrame]:
+        """Feature tables keyed by the stay; those not built yet are written
+        together."""
+        missing = [n for n in names if n not in self._features]
+        if missing:
+            index = self.index
+            plans = {n: FEATURES[n](self.source, index) for n in missing}
+            self._features.update(self.store.borders(plans))
+        return [self._features[n] for n in names]
 
     @property
     def profile(self) -> DataFrame:
-        return self.features["lab_profile"]
+        return self.features("lab_profile")[0]
 
     @cached_property
     def baseline(self) -> DataFrame:
@@ -594,12 +600,12 @@ class ClinicalStudy:
 
     @cached_property
     def wide(self) -> DataFrame:
-        f = self.features
-        return covariates(self.baseline, f["lab_profile"], f["onsets"], f["pressures"], f["flags"])
+        tables = self.features(*FEATURES)
+        return covariates(self.baseline, *tables)
 
     @cached_property
     def hist(self) -> DataFrame:
-        return self.store.border("history", history(self.wide, self.features["flags"]))
+        return self.store.border("history", history(self.wide, *self.features("flags")))
 
     @cached_property
     def lookback(self) -> DataFrame:
@@ -613,10 +619,17 @@ class ClinicalStudy:
         """A result table by name; see ``RESULTS``."""
         return RESULTS[name](self)
 
-    def write(self, folder: str, names=None) -> None:
-        """Write result tables as Parquet, overwriting earlier ones."""
+    def write(self, folder: str | None = None, schema: str | None = None, names=None) -> None:
+        """Write result tables, overwriting earlier ones: as Parquet below a
+        folder, or as tables of a catalog schema."""
+        if (folder is None) == (schema is None):
+            raise ValueError("give either folder or schema")
         for name in names or RESULTS:
-            self.table(name).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+            writer = self.table(name).write.mode("overwrite")
+            if folder is not None:
+                writer.parquet(f"{folder.rstrip('/')}/{name}")
+            else:
+                writer.saveAsTable(f"{schema}.{name}")
 
 
 RESULTS = {

@@ -441,7 +441,8 @@ def bands(spark, sf_dir):
     )
 
 
-def _feature_wide(spark, sf_dir) -> DataFrame:
+def _feature_wide(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The wide table and the profile it was pivoted from."""
     index = _index(spark, sf_dir)
     columns = {}
     for name in MEASURES:
@@ -456,18 +457,20 @@ def _feature_wide(spark, sf_dir) -> DataFrame:
     onsets = tl.onset_times(_events(spark, sf_dir), index, USER, TS, INDEX_TS, high, ["error_time"])
     customer = _table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_acctbal")
     customer = customer.withColumnRenamed("c_custkey", USER)
-    return fe.assemble(index, USER, [customer, tl.pivot_profile(profile, USER, columns), onsets])
+    wide = fe.assemble(index, USER, [customer, tl.pivot_profile(profile, USER, columns), onsets])
+    return wide, profile
 
 
 def feature_matrix(spark, sf_dir):
-    wide = _feature_wide(spark, sf_dir)
+    wide, _ = _feature_wide(spark, sf_dir)
     times = [micros(c).alias(c.replace("_time", "_us")) for c in ("error_time", "signup_time")]
     kept = [c for c in wide.columns if c not in (INDEX_TS, "error_time", "signup_time")]
     return wide.select(*kept, *times)
 
 
 def composite_scores(spark, sf_dir):
-    wide = _feature_wide(spark, sf_dir).withColumns(
+    wide, _ = _feature_wide(spark, sf_dir)
+    wide = wide.withColumns(
         {
             "new_error": F.col("error_time").isNotNull().cast("int"),
             "late_signup": F.col("signup_time").isNotNull().cast("int"),
@@ -517,10 +520,12 @@ def daily_coverage(spark, sf_dir):
 def pipeline(spark, sf_dir):
     """Index, baseline, extremes, onsets, look-back, bands and scores of every
     user with a baseline and a nadir, in one row each."""
-    wide = _feature_wide(spark, sf_dir)
+    wide, profile = _feature_wide(spark, sf_dir)
+    nadir = profile.filter((F.col("measure") == "view") & F.col("min_value").isNotNull())
+    nadir = nadir.select(USER, F.col("min_ts").alias("nadir_ts"))
     wide = wide.filter(F.col("last_view").isNotNull() & F.col("min_view").isNotNull())
     prior = tl.prior_window_extreme(
-        _events(spark, sf_dir, "view"), _nadir(spark, sf_dir), USER, TS, "value", "nadir_ts", _span()
+        _events(spark, sf_dir, "view"), nadir, USER, TS, "value", "nadir_ts", _span()
     ).select(USER, "max_window", "max_prior")
     wide = wide.join(prior, USER, "left").withColumns(
         {

@@ -253,10 +253,29 @@ def test_results_survive_a_second_write(spark, data, tmp_path):
     frames = {n: spark.createDataFrame(rows, SCHEMAS[n]) for n, rows in data.items()}
     for _ in range(2):
         study = clinical.ClinicalStudy(FrameSource(frames), StageStore(spark, str(tmp_path / "stages")))
-        study.write(str(tmp_path / "out"), ["study_table"])
+        study.write(str(tmp_path / "out"), names=["study_table"])
     assert spark.read.parquet(str(tmp_path / "out" / "study_table")).count() == 3
 
 
+def test_catalog_tables_in_and_out(spark, data, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS icu_in LOCATION '{tmp_path}/in'")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS icu_out LOCATION '{tmp_path}/out'")
+    try:
+        for name, rows in data.items():
+            spark.createDataFrame(rows, SCHEMAS[name]).write.saveAsTable(f"icu_in.{name}")
+        study = clinical.ClinicalStudy(TableSource(spark, schema="icu_in"), StageStore(spark, f"{tmp_path}/stages"))
+        for _ in range(2):
+            study.write(schema="icu_out", names=["cohort_stays"])
+        assert spark.table("icu_out.cohort_stays").count() == 6
+        with pytest.raises(ValueError):
+            study.write()
+        with pytest.raises(ValueError):
+            TableSource(spark)
+    finally:
+        spark.sql("DROP DATABASE icu_in CASCADE")
+        spark.sql("DROP DATABASE icu_out CASCADE")
+
+
 def test_all_results_by_name(spark, data, tmp_path):
     frames = {n: spark.createDataFrame(rows, SCHEMAS[n]) for n, rows in data.items()}
     tables = clinical.run_pipeline(FrameSource(frames), StageStore(spark, str(tmp_path)))
