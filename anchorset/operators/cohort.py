@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import Rule
-from .joins import fits_broadcast, keys, subject_join, within
+from .joins import HOT_ROWS, fits_broadcast, keys, subject_join, within
 
 
 def one_per_key(df: DataFrame, key: str | Sequence[str], **values: Column) -> DataFrame:
@@ -76,8 +76,11 @@ def select_cohort(
     return subject_join(match_rule(events, text, rule), adults, key)
 
 
-def exclude(df: DataFrame, listed: DataFrame, key: str, null_aware: bool = False) -> DataFrame:
-    """Rows whose key is not listed.
+def exclude(
+    df: DataFrame, listed: DataFrame, key: str, null_aware: bool = False, unique: bool = False
+) -> DataFrame:
+    """Rows whose key is not listed. ``unique`` states that ``df`` has one row
+    per key, so that no key needs splitting.
 
     By default NULL list entries are ignored. ``null_aware`` gives ``NOT IN``
     as SQL defines it: a NULL in the list removes every row, and a row with a
@@ -87,7 +90,8 @@ def exclude(df: DataFrame, listed: DataFrame, key: str, null_aware: bool = False
     keys_only = listed.select(key).filter(F.col(key).isNotNull())
     if not fits_broadcast(keys_only):
         keys_only = keys_only.distinct()
-    out = subject_join(df, keys_only, key, "left_anti")
+    hot_rows = None if unique else HOT_ROWS
+    out = subject_join(df, keys_only, key, "left_anti", hot_rows)
     if not null_aware:
         return out
     total = listed.agg(F.count(F.lit(1))).scalar()

@@ -45,7 +45,7 @@ def subject_join(
     subjects: DataFrame,
     key: str | Sequence[str],
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Join many fact rows per key with a subject table of few rows per key.
 
@@ -57,10 +57,12 @@ def subject_join(
     hot keys has at most ``total / hot_rows`` rows, which bounds its broadcast;
     the copies are bounded the same way. Every row is kept.
 
-    ``how`` is inner, left, left_semi or left_anti, seen from the facts.
+    ``how`` is inner, left, left_semi or left_anti, seen from the facts. With
+    ``hot_rows`` None the caller states that no key has many facts, and nothing
+    is counted.
     """
     on = keys(key)
-    if fits_broadcast(subjects):
+    if hot_rows is None or fits_broadcast(subjects):
         return facts.join(subjects, on, how)
     hot = (
         facts.groupBy(*on)

@@ -144,7 +144,7 @@ def intended_cohort(treated: DataFrame) -> DataFrame:
     one, two = (
         co.keys_with_variant_count(treated, STAY, "treatmentstring", n, STAY) for n in (1, 2)
     )
-    listed = co.union_keys(two, co.exclude(one, removed, STAY))
+    listed = co.union_keys(two, co.exclude(one, removed, STAY, unique=True))
     return subject_join(treated, listed, STAY, "left_semi")
 
 

@@ -18,6 +18,7 @@ from ..operators import features as fe
 from ..operators import flags as fl
 from ..operators import timeline as tl
 from ..operators.joins import attach_index, on_side, subject_join
+from ..sources.stages import StageStore
 from ..sources.tables import TableSource
 
 USER, TS, INDEX_TS = "user_id", "ts", "index_ts"
@@ -143,7 +144,9 @@ def exclude_ids(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders", "o_custkey", "o_orderpriority", "o_orderstatus")
     listed = orders.filter("o_orderstatus = 'F'").filter(F.col("o_orderpriority").like("1-%"))
     customers = _table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
-    return co.exclude(customers, listed.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return co.exclude(
+        customers, listed.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", unique=True
+    )
 
 
 def not_in_list(spark, sf_dir):
@@ -151,7 +154,7 @@ def not_in_list(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders", "o_custkey", "o_totalprice")
     listed = orders.filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     customers = _table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
-    return co.exclude(customers, listed, "c_custkey", null_aware=True)
+    return co.exclude(customers, listed, "c_custkey", null_aware=True, unique=True)
 
 
 def variant_count(spark, sf_dir):
@@ -169,7 +172,7 @@ def variant_count_literal(spark, sf_dir):
     removed = lines.filter("l_returnflag = 'R'")
     single = co.keys_with_variant_count(lines, group, "l_returnflag", 1, "l_orderkey")
     double = co.keys_with_variant_count(lines, group, "l_returnflag", 2, "l_orderkey")
-    return co.union_keys(co.exclude(single, removed, "l_orderkey"), double)
+    return co.union_keys(co.exclude(single, removed, "l_orderkey", unique=True), double)
 
 
 def baseline_threshold(spark, sf_dir):
@@ -178,7 +181,7 @@ def baseline_threshold(spark, sf_dir):
 
 def exclude_by_flag(spark, sf_dir):
     high = _events(spark, sf_dir, "error").filter("value > 150")
-    return co.exclude(_index(spark, sf_dir).select(USER, "index_value"), high, USER)
+    return co.exclude(_index(spark, sf_dir).select(USER, "index_value"), high, USER, unique=True)
 
 
 # --- index event and readings around it ----------------------------------------
@@ -441,15 +444,14 @@ def bands(spark, sf_dir):
     )
 
 
-def _feature_wide(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The wide table and the profile it was pivoted from."""
-    index = _index(spark, sf_dir)
+def _feature_wide(spark, sf_dir, index=None, profile=None) -> DataFrame:
+    index = _index(spark, sf_dir) if index is None else index
     columns = {}
     for name in MEASURES:
         columns[f"last_{name}"] = (name, "last_value")
         columns[f"min_{name}"] = (name, "min_value")
         columns[f"max_{name}"] = (name, "max_value")
-    profile = _profile_at(spark, sf_dir, index)
+    profile = _profile_at(spark, sf_dir, index) if profile is None else profile
     high = {
         "error_time": (F.col("event_type") == "error") & (F.col("value") > 60),
         "signup_time": (F.col("event_type") == "signup") & (F.col("value") > 60),
@@ -457,20 +459,18 @@ def _feature_wide(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     onsets = tl.onset_times(_events(spark, sf_dir), index, USER, TS, INDEX_TS, high, ["error_time"])
     customer = _table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_acctbal")
     customer = customer.withColumnRenamed("c_custkey", USER)
-    wide = fe.assemble(index, USER, [customer, tl.pivot_profile(profile, USER, columns), onsets])
-    return wide, profile
+    return fe.assemble(index, USER, [customer, tl.pivot_profile(profile, USER, columns), onsets])
 
 
 def feature_matrix(spark, sf_dir):
-    wide, _ = _feature_wide(spark, sf_dir)
+    wide = _feature_wide(spark, sf_dir)
     times = [micros(c).alias(c.replace("_time", "_us")) for c in ("error_time", "signup_time")]
     kept = [c for c in wide.columns if c not in (INDEX_TS, "error_time", "signup_time")]
     return wide.select(*kept, *times)
 
 
 def composite_scores(spark, sf_dir):
-    wide, _ = _feature_wide(spark, sf_dir)
-    wide = wide.withColumns(
+    wide = _feature_wide(spark, sf_dir).withColumns(
         {
             "new_error": F.col("error_time").isNotNull().cast("int"),
             "late_signup": F.col("signup_time").isNotNull().cast("int"),
@@ -519,8 +519,12 @@ def daily_coverage(spark, sf_dir):
 
 def pipeline(spark, sf_dir):
     """Index, baseline, extremes, onsets, look-back, bands and scores of every
-    user with a baseline and a nadir, in one row each."""
-    wide, profile = _feature_wide(spark, sf_dir)
+    user with a baseline and a nadir, in one row each. The index and the profile
+    are stage tables: both have several readers, which then know their size."""
+    store = StageStore.for_session(spark)
+    index = store.border("index", _index(spark, sf_dir))
+    profile = store.border("profile", _profile_at(spark, sf_dir, index))
+    wide = _feature_wide(spark, sf_dir, index, profile)
     nadir = profile.filter((F.col("measure") == "view") & F.col("min_value").isNotNull())
     nadir = nadir.select(USER, F.col("min_ts").alias("nadir_ts"))
     wide = wide.filter(F.col("last_view").isNotNull() & F.col("min_view").isNotNull())
@@ -536,7 +540,7 @@ def pipeline(spark, sf_dir):
         }
     )
     excluded = _events(spark, sf_dir, "error").filter("value > 150")
-    return co.exclude(wide, excluded, USER).select(
+    return co.exclude(wide, excluded, USER, unique=True).select(
         USER,
         micros(INDEX_TS).alias("index_us"),
         "index_value",
