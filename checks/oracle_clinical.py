@@ -35,7 +35,7 @@ _STEPS["detail"] = """
            WHEN contains(lower(hospitaldischargestatus), 'expired') THEN 1 END AS unit_mort,
       CASE WHEN contains(lower(gender), 'female') THEN 0
            WHEN contains(lower(gender), 'male') THEN 1 END AS gender,
-      ethnicity, admissionheight, admissionweight, dischargeweight, unitdischargeoffset // 60 AS icu_los_hours
+      ethnicity, admissionheight, admissionweight, dischargeweight, cast(unitdischargeoffset // 60 AS bigint) AS icu_los_hours
     FROM patient p LEFT JOIN hospital h ON h.hospitalid = p.hospitalid
     LEFT JOIN (SELECT * FROM apachepatientresult WHERE apacheversion = 'IV') a
       ON a.patientunitstayid = p.patientunitstayid"""

@@ -146,10 +146,7 @@ def _bands(col: str, edges, closed: str, labels, default, open_top=True) -> str:
 ORACLES = {
     "subject_detail": f"""
         SELECT c_custkey, r_name AS region, CASE {SEGMENT_CASES} END AS segment_code,
-               cast(trunc(c_acctbal) AS integer) // 60
-                 + CASE WHEN trunc(c_acctbal) < 0 AND cast(trunc(c_acctbal) AS integer) % 60 <> 0
-                        AND (cast(trunc(c_acctbal) AS integer) // 60) * 60 < trunc(c_acctbal) THEN 1 ELSE 0 END
-               AS balance_hours, 0 AS start
+               cast(trunc(trunc(c_acctbal) / 60) AS bigint) AS balance_hours, 0 AS start
         FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
     "age_string_cast": """
         SELECT * FROM (SELECT o_orderkey, cast(CASE WHEN age LIKE '%>%' THEN 91.4
