@@ -28,7 +28,7 @@ def flag_rows(
     ``subjects`` restricts to listed keys, which keeps other rows out of the
     shuffle.
     """
-    rows, hits = fold_rules(df, text, rules)
+    rows, hits = fold_rules(df.select(key, text), text, rules)
     if subjects is not None:
         rows = within(rows, subjects, key, any_of(hits.values()))
     return tag_rows(rows, "flag", hits).select(key, "flag")
@@ -45,7 +45,7 @@ def timed_flag_rows(
 ) -> DataFrame:
     """The same with a time bound per flag: ``rules`` maps a flag to its rule
     and a side of the index (see ``on_side``), or None for any time."""
-    rows, hits = fold_rules(df, text, {name: rule for name, (rule, _) in rules.items()})
+    rows, hits = fold_rules(df.select(key, ts, text), text, {name: rule for name, (rule, _) in rules.items()})
     rows = attach_index(rows, index, key, index_ts, any_of(hits.values()))
     bound = {
         name: cond if rules[name][1] is None else cond & on_side(ts, index_ts, rules[name][1])
@@ -76,7 +76,7 @@ def timed_flag(
     df: DataFrame, index: DataFrame, key: str, ts: str, index_ts: str, text: str, rule: Rule, side: str
 ) -> DataFrame:
     """Distinct keys with a matching row on one side of the index."""
-    rows = attach_index(df.filter(rule.matches(text)), index, key, index_ts)
+    rows = attach_index(df.filter(rule.matches(text)).select(key, ts), index, key, index_ts)
     return rows.filter(on_side(ts, index_ts, side)).select(key).distinct()
 
 

@@ -21,6 +21,12 @@ def order_of(ts: str, tie: str | Sequence[str]) -> Column:
     return F.struct(ts, *([tie] if isinstance(tie, str) else tie))
 
 
+def _known(readings: DataFrame, value: str, *columns: str) -> DataFrame:
+    """Readings with a value, cut to the columns an operator reads: the skew-safe
+    join looks at whole rows, so other columns would be scanned for nothing."""
+    return readings.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*columns, value]))
+
+
 def index_event(
     events: DataFrame,
     key: str,
@@ -60,12 +66,12 @@ def last_before(
     ``aggregate`` keeps one running row per subject. ``window`` ranks instead;
     it gives the same rows and serves as a check.
     """
-    seen = attach_index(readings.filter(F.col(value).isNotNull()), index, key, index_ts)
+    ties = [tie] if isinstance(tie, str) else list(tie)
+    seen = attach_index(_known(readings, value, key, ts, *ties), index, key, index_ts)
     seen = seen.filter(on_side(ts, index_ts, "until" if inclusive else "before"))
     picked = [F.col(value).alias(out)] + ([F.col(ts).alias(out_ts)] if out_ts else [])
     names = [out] + ([out_ts] if out_ts else [])
     if method == "window":
-        ties = [tie] if isinstance(tie, str) else list(tie)
         by = [F.col(c).desc_nulls_last() for c in (ts, *ties)]
         rank = F.row_number().over(Window.partitionBy(key).orderBy(*by))
         return seen.withColumn("_rank", rank).filter("_rank = 1").select(key, *picked)
@@ -88,7 +94,7 @@ def extreme_after(
     """Lowest or highest reading at or after the index, with the earliest time
     it was reached if ``out_ts`` asks for it."""
     out = out or f"{which}_value"
-    seen = attach_index(readings.filter(F.col(value).isNotNull()), index, key, index_ts)
+    seen = attach_index(_known(readings, value, key, ts), index, key, index_ts)
     seen = seen.filter(on_side(ts, index_ts, "from" if inclusive else "after"))
     aggs = [(F.min if which == "min" else F.max)(value).alias(out)]
     if out_ts:
@@ -132,11 +138,13 @@ def measure_profile(
     group key includes the measure, so the plan does not widen with their
     number and one subject's readings spread over several tasks.
     """
-    known = readings.filter(F.col(value).isNotNull())
+    ties = [tie] if isinstance(tie, str) else list(tie)
+    known = _known(readings, value, key, ts, text, *ties)
     if fits_broadcast(index.select(key, index_ts)):
         seen = measure_rows(attach_index(known, index, key, index_ts), text, measures)
     else:
-        seen = attach_index(measure_rows(known, text, measures), index, key, index_ts)
+        rows = measure_rows(known, text, measures).drop(text)
+        seen = attach_index(rows, index, key, index_ts)
     before, after = on_side(ts, index_ts, "until"), on_side(ts, index_ts, "from")
     return seen.groupBy(key, "measure").agg(
         F.max_by(value, F.when(before, order_of(ts, tie))).alias("last_value"),
@@ -174,7 +182,12 @@ def onset_times(
     ``new_only`` are new-onset events: a subject with such an event strictly
     before the index gets no time. Subjects without any time are left out.
     """
-    seen = attach_index(events, index, key, index_ts, any_of(rules.values()))
+    if not fits_broadcast(index.select(key, index_ts)):
+        # The outcome of a rule is smaller to shuffle than what it looks at.
+        marks = [cond.alias(f"_is_{name}") for name, cond in rules.items()]
+        events = events.filter(any_of(rules.values())).select(key, ts, *marks)
+        rules = {name: F.col(f"_is_{name}") for name in rules}
+    seen = attach_index(events, index, key, index_ts)
     before, after = on_side(ts, index_ts, "before"), on_side(ts, index_ts, "from")
     aggs = []
     for name, cond in rules.items():
@@ -226,7 +239,7 @@ def prior_window_extreme(
     """Highest reading in ``[anchor - lookback, anchor)`` and the highest before
     the anchor at all, each with its earliest time. One pass, two conditional
     aggregates; subjects without a reading before the anchor are left out."""
-    seen = attach_index(readings.filter(F.col(value).isNotNull()), anchor, key, anchor_ts)
+    seen = attach_index(_known(readings, value, key, ts), anchor, key, anchor_ts)
     seen = seen.filter(on_side(ts, anchor_ts, "before"))
     span = lookback if isinstance(lookback, Column) else F.lit(lookback)
     recent = F.col(ts) >= F.col(anchor_ts) - span

@@ -119,23 +119,23 @@ def pattern_within(spark, sf_dir):
     return rows.select(USER, "event_id", "event_type", "value")
 
 
-def _treatments(spark, sf_dir) -> DataFrame:
-    lines = _table(
-        spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", "l_quantity"
-    )
+def _treatments(spark, sf_dir, *columns: str) -> DataFrame:
+    """Line items with the name and type of their part, and further columns."""
+    lines = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", *columns)
     parts = _parts(spark, sf_dir).withColumnRenamed("p_partkey", "l_partkey")
     return subject_join(lines, parts, "l_partkey").withColumnRenamed("l_orderkey", "o_orderkey")
 
 
 def _stays(spark, sf_dir) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    orders = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     customer = _table(spark, sf_dir, "customer", "c_custkey", "c_acctbal")
     return subject_join(orders, customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
 
 
 def cohort(spark, sf_dir):
+    treatments = _treatments(spark, sf_dir, "l_linenumber").drop("l_partkey", "p_type")
     rows = co.select_cohort(
-        _treatments(spark, sf_dir), _stays(spark, sf_dir), "o_orderkey", "p_name", RED_WIDGETS, "c_acctbal", 18
+        treatments, _stays(spark, sf_dir), "o_orderkey", "p_name", RED_WIDGETS, "c_acctbal", 18
     )
     return rows.select("o_orderkey", "l_linenumber", "p_name", "o_custkey", "c_acctbal")
 
@@ -410,7 +410,7 @@ def treatment_before_stay(spark, sf_dir):
     index = _table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
     rule = like("%gear%", none_of=("%small%",))
     return fl.timed_flag(
-        _treatments(spark, sf_dir), index, "o_orderkey", "l_shipdate", "o_orderdate", "p_name", rule, "before"
+        _treatments(spark, sf_dir, "l_shipdate"), index, "o_orderkey", "l_shipdate", "o_orderdate", "p_name", rule, "before"
     )
 
 

@@ -38,6 +38,20 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "props" not in text
 
 
+def test_split_joins_scan_only_what_is_used(no_broadcast):
+    """The split hashes whole rows, so operators cut them to what they read."""
+    text = plan(eo.cohort(no_broadcast, SF))
+    assert "xxhash64" in text
+    for unused in ("l_shipdate", "l_quantity", "o_orderdate", "p_type"):
+        assert unused not in text
+    text = plan(eo.last_before(no_broadcast, SF))
+    assert "xxhash64" in text and "props" not in text
+    text = plan(eo.extreme_after_min(no_broadcast, SF))
+    scans = [line for line in text.splitlines() if "FileScan" in line]
+    # Only the index event needs the event id.
+    assert len(scans) > 1 and sum("event_id" in line for line in scans) == 1
+
+
 def test_measures_are_pushed_down(spark):
     assert "In(event_type, [" in plan(eo.measure_profile(spark, SF))
 
