@@ -284,12 +284,15 @@ def change_scores(spark, sf_dir):
 
 def change_pairs(spark, sf_dir):
     """NULL rules of a pair: both values needed, or the baseline only."""
-    pair = _view_pair(spark, sf_dir)
-    both = fe.keep_pair(pair, "last_value", "min_value", "both")
-    base = fe.keep_pair(pair, "last_value", "max_value", "base")
-    return both.select(USER, F.col("last_value").alias("both_last"), F.col("min_value").alias("both_min")).join(
-        base.select(USER, F.col("last_value").alias("base_last"), F.col("max_value").alias("base_max")), USER
+    pair = _view_pair(spark, sf_dir).select(
+        USER,
+        F.col("last_value").alias("both_last"),
+        F.col("min_value").alias("both_min"),
+        F.col("last_value").alias("base_last"),
+        F.col("max_value").alias("base_max"),
     )
+    pair = fe.keep_pair(pair, "both_last", "both_min", "both")
+    return fe.keep_pair(pair, "base_last", "base_max", "base")
 
 
 def _flagged_onset(spark, sf_dir, times):
