@@ -520,7 +520,7 @@ def daily_coverage(spark, sf_dir):
     return tl.daily_coverage(_ratios(spark, sf_dir), USER, "day_offset")
 
 
-def pipeline(spark, sf_dir):
+def event_pipeline(spark, sf_dir):
     """Index, baseline, extremes, onsets, look-back, bands and scores of every
     user with a baseline and a nadir, in one row each. The index and the profile
     are stage tables: both have several readers, which then know their size."""
@@ -621,7 +621,7 @@ QUERIES = {
         exclude_by_flag,
         ratio_series,
         daily_coverage,
-        pipeline,
+        event_pipeline,
         attrition,
     )
 }

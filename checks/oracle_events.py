@@ -307,7 +307,7 @@ ORACLES = {
     "daily_coverage": f"""
         WITH {INDEX}, {RATIOS} SELECT day_offset, count(*) AS subjects
         FROM (SELECT DISTINCT user_id, day_offset FROM ratios) d GROUP BY day_offset ORDER BY day_offset""",
-    "pipeline": f"""
+    "event_pipeline": f"""
         WITH {INDEX}, {_WIDE}, {NADIR}, {PRIOR}, {RECENT}, {MAXES},
         f AS (SELECT w.*, mw.value AS max_window, mp.value AS max_prior,
           {rounded("(last_view - min_view) / nullif(last_view, 0)", 4)} AS drop_,
