@@ -7,23 +7,72 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, chat, langid, quality
+from .ship import ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+OFFSET_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+# A conversation whose texts hold the template's own control strings.
+CONTROL_TURNS = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_conversation(table(spark, sf_dir, "conversations"), -1, CONTROL_TURNS)
+    return chat.format_digests(rows, OFFSET_TOKENIZER).drop("n_tokens", "loss_tokens")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op3_byte_level_bpe": op3_byte_level_bpe,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+_TURNS = """
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+"""
+
+
+def _escaped(text: str) -> str:
+    """SQL for the escaped form of a text; a backslash is an ordinary character
+    in DuckDB's literals."""
+    back = "\\"
+    text = f"replace({text}, '{back}', '{back * 2}')"
+    for mark in chat.CONTROL:
+        text = f"replace({text}, '{mark}', '{mark[0]}{back}{mark[1:]}')"
+    return text
+
+
+ORACLES: dict[str, str] = {
+    # Token counts depend on the tokenizer's merges, so they are left out on both sides.
+    "op5_chat_formatting": f"""
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+                   AS loss_sha256,
+               sum(length({_escaped("text")}) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13
+                   WHEN 'assistant' THEN 7 ELSE 25 + length({_escaped("role")}) END)::BIGINT AS formatted_chars
+        FROM ({_TURNS}) GROUP BY conv_id""",
+}
