@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, quality
+from . import bpe, chat, langid, quality, warc
 from .ship import ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,6 +32,10 @@ def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_conversation(table(spark, sf_dir, "conversations"), -1, CONTROL_TURNS)
     return chat.format_digests(rows, OFFSET_TOKENIZER).drop("n_tokens", "loss_tokens")
@@ -44,6 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op3_byte_level_bpe": op3_byte_level_bpe,
+    "op4_warc": op4_warc,
     "op5_chat_formatting": op5_chat_formatting,
     "op10_language_id": op10_language_id,
 }
@@ -65,6 +70,13 @@ def _escaped(text: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+             o AS (SELECT html, max(page_id) AS owner FROM p WHERE n >= 1000 GROUP BY html)
+        SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN owner <> page_id THEN owner END AS refers_to
+        FROM p LEFT JOIN o USING (html)""",
     # Token counts depend on the tokenizer's merges, so they are left out on both sides.
     "op5_chat_formatting": f"""
         SELECT conv_id, count(*) AS n_turns,
