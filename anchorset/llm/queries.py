@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, quality, warc
+from . import bpe, chat, langid, parity, quality, warc
 from .ship import ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -41,6 +41,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(rows, OFFSET_TOKENIZER).drop("n_tokens", "loss_tokens")
 
 
+def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op3_byte_level_bpe": op3_byte_level_bpe,
     "op4_warc": op4_warc,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_parity_sketch_join": op6_parity_sketch_join,
     "op10_language_id": op10_language_id,
 }
 
@@ -69,7 +74,25 @@ def _escaped(text: str) -> str:
     return text
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 ORACLES: dict[str, str] = {
+    "op6_parity_sketch_join": f"""
+        WITH RECURSIVE w AS (
+                 SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+                                                   '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+                       WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                       ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]) END) AS g
+                   FROM w),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g)
+                   WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+             e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+                   WHERE 100 * c >= 90 * (x.n + y.n - c)),
+             r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+        SELECT id AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id
+        FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY id""",
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
              o AS (SELECT html, max(page_id) AS owner FROM p WHERE n >= 1000 GROUP BY html)
