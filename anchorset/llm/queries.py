@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, parity, quality, warc
+from . import bpe, chat, langid, minhash, parity, quality, warc
 from .ship import ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -45,6 +45,10 @@ def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op4_warc": op4_warc,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_parity_sketch_join": op6_parity_sketch_join,
+    "op7_minhash_fingerprints": op7_minhash_fingerprints,
     "op10_language_id": op10_language_id,
 }
 
