@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, minhash, parity, quality, warc
+from . import bpe, chat, langid, minhash, parity, quality, repeats, warc
 from .ship import ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -49,6 +50,11 @@ def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_parity_sketch_join": op6_parity_sketch_join,
     "op7_minhash_fingerprints": op7_minhash_fingerprints,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_language_id": op10_language_id,
 }
 
