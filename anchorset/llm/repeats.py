@@ -39,7 +39,7 @@ from ..sources.stages import StageStore
 from .text import _BYTE, _INVERSE, _POWER, clash_free, mix, slices, stream, utf8
 
 LEAST = 400
-ANCHOR = 64
+ANCHOR = 128
 HOT_SEGMENTS = 4096
 BUCKET_BYTES = 1 << 20
 # Windows of a very long text are handled in blocks of this many.
@@ -147,7 +147,7 @@ def sorted_suffixes(symbols: np.ndarray, left: np.ndarray) -> tuple[np.ndarray,
         shifted[: n - j] = symbols[j:]
         shifted[left < j] = 0
         key = (key << np.uint64(9)) | shifted
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     fresh = np.ones(n, bool)
     fresh[1:] = sorted_key[1:] != sorted_key[:-1]
@@ -163,7 +163,7 @@ def sorted_suffixes(symbols: np.ndarray, left: np.ndarray) -> tuple[np.ndarray,
         ended = left[where] < depth
         second = np.where(ended, where, rank[np.minimum(where + depth, n - 1)])
         group = rank[where]
-        again = np.lexsort((second, group))
+        again = np.argsort(group * n + second)
         where, second, group = where[again], second[again], group[again]
         order[slot] = where
         new = np.ones(len(slot), bool)
