@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, minhash, parity, quality, repeats, warc
+from . import bpe, chat, decontaminate, langid, minhash, parity, quality, repeats, warc
 from .ship import ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +29,10 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -61,6 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_importance_resampling": op1_importance_resampling,
+    "op2_decontamination": op2_decontamination,
     "op3_byte_level_bpe": op3_byte_level_bpe,
     "op4_warc": op4_warc,
     "op5_chat_formatting": op5_chat_formatting,
@@ -89,6 +94,27 @@ def _escaped(text: str) -> str:
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 ORACLES: dict[str, str] = {
+    "op2_decontamination": """
+        WITH words AS (
+                 SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w
+                 FROM documents WHERE text IS NOT NULL
+                 UNION ALL
+                 SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')
+                 FROM benchmark WHERE text IS NOT NULL),
+             s AS (SELECT kind, id, greatest(len(w) - 4, 0) AS n,
+                          unnest(list_transform(range(1, len(w) - 3), lambda i: {'at': i - 1, 'g': array_to_string(w[i:i+4], ' ')})) AS x
+                   FROM words),
+             item AS (SELECT id AS item_id, n AS m, x.g AS g, count(*) AS k FROM s WHERE kind = 'i' GROUP BY ALL),
+             hit AS (SELECT id AS doc_id, n, x.at AS pos, x.g AS g, item_id, m, k
+                     FROM s JOIN item ON kind = 'd' AND x.g = item.g),
+             start AS (SELECT DISTINCT doc_id, item_id, unnest(range(greatest(pos - m + 1, 0), least(pos, greatest(n - m, 0)) + 1)) AS s
+                       FROM hit),
+             shared AS (SELECT doc_id, item_id, s, g, any_value(n) AS n, any_value(m) AS m, least(count(*), any_value(k)) AS c
+                        FROM start JOIN hit USING (doc_id, item_id) WHERE pos >= s AND pos < s + m GROUP BY ALL),
+             w AS (SELECT doc_id, item_id, s, sum(c)::BIGINT AS c, least(any_value(n), any_value(m)) + any_value(m) AS total
+                   FROM shared GROUP BY ALL)
+        SELECT doc_id, item_id, count(*) AS n_windows, max(c / (total - c)) AS similarity
+        FROM w WHERE 10 * c >= 8 * (total - c) GROUP BY ALL""",
     "op6_parity_sketch_join": f"""
         WITH RECURSIVE w AS (
                  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
