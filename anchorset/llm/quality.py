@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.stages import StageStore
 from .text import _FOLD, _SPACE, clash_free, shingles, slices, span_hashes, utf8
@@ -114,6 +115,13 @@ def gumbel(seed: int, *columns: str):
     return -F.log(-F.log(uniform))
 
 
+def _weigh(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
+    buckets, row = _ngrams(texts)
+    total = np.bincount(row, weights=ratio[buckets], minlength=len(texts))
+    number = np.bincount(row, minlength=len(texts))
+    return total / np.sqrt(np.maximum(number, 1))
+
+
 def importance_weights(
     docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -125,10 +133,7 @@ def importance_weights(
     def weigh(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch, text_col):
-                buckets, row = _ngrams(part.column(1))
-                total = np.bincount(row, weights=shared.value[buckets], minlength=part.num_rows)
-                number = np.bincount(row, minlength=part.num_rows)
-                weight = total / np.sqrt(np.maximum(number, 1))
+                weight = _weigh(part.column(1), shared.value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(weight), part.column(2)], [id_col, "weight", "gumbel"]
                 )
@@ -171,6 +176,28 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
     return float(low)
 
 
+class _Draw:
+    """What both outputs need: the model, the weights and the least key drawn."""
+
+    def __init__(self, docs, labels, id_col, text_col, target_rows, k):
+        store = StageStore.for_session(docs.sparkSession)
+        targets = good_ids(labels, id_col).filter("good = 1").select(id_col)
+        share = target_rows / max(1, targets.count())
+        if share < 1:
+            slot = F.pmod(F.xxhash64(F.lit(SEED), id_col), F.lit(1 << 20))
+            targets = targets.filter(slot < int(share * (1 << 20)))
+        self.ratio = ngram_models(docs, targets, id_col, text_col)
+        self.weights = store.border("weights", importance_weights(docs, self.ratio, id_col, text_col))
+        total = self.weights.count()
+        if k is None:
+            least = separating_weight(self.weights, labels, id_col)
+            k = total if least is None else self.weights.filter(F.col("weight") >= least).count()
+        key = (F.col("weight") / TEMPERATURE + F.col("gumbel")).alias("gumbel_key")
+        self.keyed = self.weights.select(id_col, "weight", key)
+        drawn = min(k, total)
+        self.least_key = kth_largest(self.keyed, "gumbel_key", drawn) if drawn > 0 else float("inf")
+
+
 def resample(
     docs: DataFrame,
     labels: DataFrame,
@@ -181,18 +208,33 @@ def resample(
 ) -> DataFrame:
     """(id, weight, gumbel_key, keep) for every row; ``k`` overrides the number
     of rows that are drawn."""
-    store = StageStore.for_session(docs.sparkSession)
-    targets = good_ids(labels, id_col).filter("good = 1").select(id_col)
-    share = target_rows / max(1, targets.count())
-    if share < 1:
-        targets = targets.filter(F.pmod(F.xxhash64(F.lit(SEED), id_col), F.lit(1 << 20)) < int(share * (1 << 20)))
-    ratio = ngram_models(docs, targets, id_col, text_col)
-    weights = store.border("weights", importance_weights(docs, ratio, id_col, text_col))
-    if k is None:
-        least = separating_weight(weights, labels, id_col)
-        k = weights.count() if least is None else weights.filter(F.col("weight") >= least).count()
-    keyed = weights.select(id_col, "weight", (F.col("weight") / TEMPERATURE + F.col("gumbel")).alias("gumbel_key"))
-    if k <= 0 or weights.isEmpty():
-        return keyed.withColumn("keep", F.lit(False))
-    least_key = kth_largest(keyed, "gumbel_key", min(k, weights.count()))
-    return keyed.withColumn("keep", F.col("gumbel_key") >= least_key)
+    draw = _Draw(docs, labels, id_col, text_col, target_rows, k)
+    return draw.keyed.withColumn("keep", F.col("gumbel_key") >= draw.least_key)
+
+
+def drawn_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    target_rows: int = TARGET_ROWS,
+    k: int | None = None,
+) -> DataFrame:
+    """The rows that are drawn, with all their columns; weights are computed
+    once more, so that no text has to be shuffled."""
+    draw = _Draw(docs, labels, id_col, text_col, target_rows, k)
+    shared, least_key, columns = docs.sparkSession.sparkContext.broadcast(draw.ratio), draw.least_key, len(docs.columns)
+    where = [c.lower() for c in docs.columns].index(text_col.lower())
+    places = [f"_{i}" for i in range(columns)]
+
+    def choose(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part in slices(batch, places[where]):
+                weight = _weigh(part.column(where), shared.value)
+                key = weight / TEMPERATURE + part.column(columns).to_numpy(zero_copy_only=False)
+                yield part.filter(pa.array(key >= least_key)).select(places)
+
+    # Names that clash or need quoting do not pass through a schema string.
+    plain = docs.withColumn("_gumbel", gumbel(SEED, f"`{id_col}`", f"`{text_col}`")).toDF(*places, "_gumbel")
+    schema = T.StructType(plain.schema.fields[:-1])
+    return plain.mapInArrow(choose, schema).toDF(*docs.columns)

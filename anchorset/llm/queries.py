@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, minhash, parity, quality, repeats, warc
+from . import bpe, chat, decontaminate, langid, linedup, minhash, parity, quality, repeats, warc
 from .ship import ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -59,6 +59,18 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.col("_lines.n_lines").alias("n_lines"),
+        F.size("_lines.removed").alias("n_removed"),
+        F.col("_lines.removed").alias("removed_lines"),
+        F.array_sort("_lines.partners").alias("partners"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -72,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op6_parity_sketch_join": op6_parity_sketch_join,
     "op7_minhash_fingerprints": op7_minhash_fingerprints,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_line_alignment": op9_line_alignment,
     "op10_language_id": op10_language_id,
 }
 
