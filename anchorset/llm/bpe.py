@@ -43,6 +43,8 @@ class Tokenizer:
     """Ranks, the automaton over them and what was learnt about pairs."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("the ranks lack a single byte")
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall

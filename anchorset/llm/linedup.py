@@ -222,8 +222,10 @@ def remove_repeated_lines(
     """All columns of ``docs`` with the shortened text, and ``n_lines``,
     ``removed`` (line numbers) and ``partners`` (ids) in a struct ``_lines``."""
     found = repeated_lines(docs, id_col, text_col, least_words)
-    text = f"`{text_col}`"
-    joined = _keyed(docs, id_col, text_col).join(found, _KEY, "left")
+    # By position, since columns may have names used here or names that need quotes.
+    places = [f"_{i}" for i in range(len(docs.columns))]
+    whose, text = (places[docs.columns.index(c)] for c in (id_col, text_col))
+    joined = _keyed(docs.toDF(*places), whose, text).join(found, _KEY, "left")
     parts = F.split(F.col(text), "\n", -1)
     kept = F.filter(parts, lambda _, i: ~F.array_contains(F.col("removed"), i))
     shorter = F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
@@ -232,5 +234,5 @@ def remove_repeated_lines(
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
         F.coalesce("partners", F.array()).alias("partners"),
     )
-    columns = [(shorter if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns]
-    return joined.select(*columns, report.alias("_lines"))
+    columns = [(shorter if c == text else F.col(c)).alias(c) for c in places]
+    return joined.select(*columns, report).toDF(*docs.columns, "_lines")

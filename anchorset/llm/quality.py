@@ -224,8 +224,8 @@ def drawn_documents(
     once more, so that no text has to be shuffled."""
     draw = _Draw(docs, labels, id_col, text_col, target_rows, k)
     shared, least_key, columns = docs.sparkSession.sparkContext.broadcast(draw.ratio), draw.least_key, len(docs.columns)
-    where = [c.lower() for c in docs.columns].index(text_col.lower())
     places = [f"_{i}" for i in range(columns)]
+    where, whose = (docs.columns.index(c) for c in (text_col, id_col))
 
     def choose(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -235,6 +235,7 @@ def drawn_documents(
                 yield part.filter(pa.array(key >= least_key)).select(places)
 
     # Names that clash or need quoting do not pass through a schema string.
-    plain = docs.withColumn("_gumbel", gumbel(SEED, f"`{id_col}`", f"`{text_col}`")).toDF(*places, "_gumbel")
+    plain = docs.toDF(*places)
+    plain = plain.withColumn("gumbel", gumbel(SEED, places[whose], places[where]))
     schema = T.StructType(plain.schema.fields[:-1])
     return plain.mapInArrow(choose, schema).toDF(*docs.columns)
