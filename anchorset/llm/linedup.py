@@ -225,7 +225,8 @@ def remove_repeated_lines(
     # By position, since columns may have names used here or names that need quotes.
     places = [f"_{i}" for i in range(len(docs.columns))]
     whose, text = (places[docs.columns.index(c)] for c in (id_col, text_col))
-    joined = _keyed(docs.toDF(*places), whose, text).join(found, _KEY, "left")
+    # The list grows with the input: it is merged at every size, not broadcast while small.
+    joined = _keyed(docs.toDF(*places), whose, text).join(found.hint("merge"), _KEY, "left")
     parts = F.split(F.col(text), "\n", -1)
     kept = F.filter(parts, lambda _, i: ~F.array_contains(F.col("removed"), i))
     shorter = F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
