@@ -1,0 +1,110 @@
+"""Line deduplication: the alignment, and whole tables against plain Python."""
+
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from anchorset.llm import linedup as LD
+
+LINES = st.lists(st.integers(0, 6), max_size=14)
+
+
+@settings(max_examples=400, deadline=None)
+@given(LINES, LINES)
+def test_alignment_is_a_common_sequence(a, b):
+    pairs = LD.patience(a, b)
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert all(i < i2 and j < j2 for (i, j), (i2, j2) in zip(pairs, pairs[1:]))
+    # Blocks hold exactly the aligned lines, and stand for consecutive lines of both.
+    blocks = LD.common_blocks(a, b)
+    assert [j for s, e in blocks for j in range(s, e)] == [j for _, j in pairs]
+    for s, e in blocks:
+        assert any(a[k : k + e - s] == b[s:e] for k in range(len(a)))
+
+
+@given(st.lists(st.integers(0, 50), max_size=30))
+def test_longest_increasing(values):
+    chain = [values[i] for i in LD.increasing(values)]
+    assert all(x < y for x, y in zip(chain, chain[1:]))
+    best = [0] * len(values)
+    for i, v in enumerate(values):
+        best[i] = 1 + max((best[j] for j in range(i) if values[j] < v), default=0)
+    assert len(chain) == max(best, default=0)
+
+
+def test_alignment_of_moved_and_changed_lines():
+    a = ["intro", "x", "y", "z", "end"]
+    assert LD.common_blocks(a, ["new", "x", "y", "z", "other"]) == [(1, 4)]
+    assert LD.common_blocks(a, ["x", "y", "changed", "end"]) == [(0, 2), (3, 4)]
+    assert LD.common_blocks(["r", "r", "q"], ["r", "q", "r"]) in ([(0, 1), (1, 2)], [(0, 2)], [(0, 1)])
+
+
+def plain(docs, least):
+    """(id, text) rows in order: what is left, by first holders of lines."""
+    texts = {i: t.split("\n") for i, t in docs}
+    first = {}
+    for i in sorted(texts):
+        for line in texts[i]:
+            if line.split():
+                first.setdefault(line, i)
+    left = {}
+    for i, own in texts.items():
+        gone = set()
+        for p in {first[line] for line in own if line.split()} - {i}:
+            for start, end in LD.common_blocks(texts[p], own):
+                if sum(len(line.split()) for line in own[start:end]) >= least:
+                    gone.update(range(start, end))
+        left[i] = "\n".join(line for j, line in enumerate(own) if j not in gone)
+    return left
+
+
+def test_whole_table(sample):
+    docs, texts = sample
+    found = {r["doc_id"]: r["text"] for r in LD.remove_repeated_lines(docs).collect()}
+    assert found == plain(list(texts.items()), LD.BLOCK_WORDS)
+    assert found != texts
+
+
+def test_hot_lines_and_copies(spark, docs_of):
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = []
+    for i in range(120):
+        own = [" ".join(f"d{i}w{j}" for j in range(rng.randint(1, 12))) for _ in range(4)]
+        docs.append((i, "\n".join([*own[:2], passage, "short", *own[2:]] if i % 2 else own)))
+    docs += [(200 + i, docs[1][1]) for i in range(30)]
+    found = {r["doc_id"]: r["text"] for r in LD.remove_repeated_lines(docs_of(docs)).collect()}
+    assert found == plain(docs, LD.BLOCK_WORDS)
+    # The passage stays once, in its first document; copies lose everything.
+    assert [i for i, t in found.items() if passage in t] == [1]
+    assert all(found[200 + i] == "" for i in range(30))
+    assert all(found[i].endswith(docs[i][1][-5:]) for i in range(120))
+
+
+def test_odd_rows(docs_of, clashing):
+    line = " ".join(f"w{i}" for i in range(25))
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, line), (4, line), (None, line), (5, f"{line}\n{line}"), (6, f" {line}"),
+            (7, "y\n" * 30_000 + line)]
+    docs = clashing(docs_of(rows))
+    found = LD.remove_repeated_lines(docs)
+    assert found.columns == [*docs.columns, "_lines"]
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in found.collect()), key=str)
+    # The first holder and its repeat keep the line; a null id comes last. A line
+    # that stands twice in a document has no single place, but its run's end does.
+    assert (4, line) in got and got.count((4, line)) == 2 and (0, "") in got
+    assert (1, None) in got and (2, "") in got and (3, "\n\n") in got and (6, f" {line}") in got
+    assert dict(got)[7] == "\n".join(["y"] * 30_000)
+    assert dict(got)[5] == line
+
+
+def test_empty_table(docs_of):
+    assert LD.remove_repeated_lines(docs_of([])).collect() == []
+
+
+@pytest.mark.parametrize("least", [1, 26])
+def test_least_words(docs_of, least):
+    line = " ".join(f"w{i}" for i in range(25))
+    found = {r["doc_id"]: r["text"] for r in LD.remove_repeated_lines(docs_of([line, line]), least_words=least).collect()}
+    assert found == {1: line, 2: "" if least == 1 else line}
