@@ -107,17 +107,8 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def matching_windows(
-    docs: DataFrame,
-    items: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    share: tuple[int, int] = SHARE,
-) -> DataFrame:
-    """(id, item, start, n_words, similarity) of every matching window; start
-    counts words."""
+def _matches(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, share):
+    """(k1, k2, id, item, start, n_words, similarity); k1 and k2 tell the row."""
     store = StageStore.for_session(docs.sparkSession)
     rows = keyed(clash_free(docs, id_col, text_col), id_col, text_col)
     items = clash_free(items, item_col, item_text_col).select(
@@ -128,14 +119,46 @@ def matching_windows(
     # At most WIDTH values.
     widths = [r["width"] for r in words.filter("width > 0").select("width").distinct().collect()]
     found = [_of_width(rows, words, width, share, store) for width in sorted(widths)]
-    kinds = {f.name: f.dataType for f in (*rows.schema, *items.schema)}
     if not found:
-        schema = f"`{id_col}` {kinds['id'].simpleString()}, `{item_col}` {kinds['item'].simpleString()}"
-        return docs.sparkSession.createDataFrame([], f"{schema}, start int, n_words int, similarity double")
+        kinds = [df.schema[c].dataType.simpleString() for df, c in ((rows, "id"), (items, "item"))]
+        schema = f"k1 bigint, k2 bigint, id {kinds[0]}, item {kinds[1]}, start int, n_words int, similarity double"
+        return docs.sparkSession.createDataFrame([], schema)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.withColumnsRenamed({"id": id_col, "item": item_col})
+    return out
+
+
+def matching_windows(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    share: tuple[int, int] = SHARE,
+) -> DataFrame:
+    """(id, item, start, n_words, similarity) of every matching window; start
+    counts words."""
+    found = _matches(docs, items, id_col, text_col, item_col, item_text_col, share)
+    return found.drop(*_KEY).withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def clean_documents(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows that hold no item, with all their columns. Rows are told by id
+    and text, so of several rows with one id, or none, only those that match go."""
+    found = _matches(docs, items, id_col, text_col, item_col, item_text_col, SHARE)
+    places = [f"_{i}" for i in range(len(docs.columns))]
+    whose, text = (places[docs.columns.index(c)] for c in (id_col, text_col))
+    plain = docs.toDF(*places).withColumns({"k1": F.xxhash64(F.lit(1), whose), "k2": F.xxhash64(F.lit(2), text)})
+    return plain.join(found.select(*_KEY).distinct(), _KEY, "left_anti").select(*places).toDF(*docs.columns)
 
 
 def _of_width(rows: DataFrame, words: DataFrame, width: int, share: tuple[int, int], store: StageStore) -> DataFrame:
@@ -219,7 +242,7 @@ def _of_width(rows: DataFrame, words: DataFrame, width: int, share: tuple[int, i
     both = counted.groupBy(*_WINDOW, "id", "item", "size").agg(F.sum(F.least("of_window", "of_item")).alias("both"))
     either = F.col("size") + F.col("m") - F.col("both")
     return both.filter(F.col("both") * den >= either * num).select(
-        "id", "item", "start", (F.col("size") + width - 1).alias("n_words"), (F.col("both") / either).alias("similarity")
+        *_KEY, "id", "item", "start", (F.col("size") + width - 1).alias("n_words"), (F.col("both") / either).alias("similarity")
     )
 
 

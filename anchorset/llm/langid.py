@@ -122,7 +122,7 @@ def training_rows(
     packed = sample.mapInArrow(pack, f"id {kind}, bits binary, lang string")
     # A repeated id counts once, so the sample keeps its bound.
     found = packed.groupBy("id", "lang").agg(F.min("bits").alias("bits")).orderBy(F.xxhash64("id"), "id", "lang").collect()
-    bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), -1)
+    bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), (1 << BITS) // 8)
     return np.unpackbits(bits, axis=1).astype(np.float32), [r["lang"] for r in found]
 
 

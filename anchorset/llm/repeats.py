@@ -144,7 +144,7 @@ def sorted_suffixes(symbols: np.ndarray, left: np.ndarray) -> tuple[np.ndarray,
     key = np.zeros(n, np.uint64)
     for j in range(packed):
         shifted = np.zeros(n, np.uint64)
-        shifted[: n - j] = symbols[j:]
+        shifted[: max(n - j, 0)] = symbols[j:]
         shifted[left < j] = 0
         key = (key << np.uint64(9)) | shifted
     order = np.argsort(key)
