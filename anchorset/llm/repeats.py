@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stages import StageStore
-from .text import _BYTE, _INVERSE, _POWER, clash_free, mix, slices, stream, utf8
+from .text import _BYTE, _INVERSE, _POWER, clash_free, list_array, mix, slices, stream, utf8
 
 LEAST = 400
 ANCHOR = 128
@@ -116,21 +116,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def text_runs(docs: DataFrame, text_col: str, least: int, anchor: int) -> DataFrame:
-    """(k1, k2, start, n, anchor, segment) for every run."""
+    """(row, k1, k2, start, n, anchor, segment): one row per text, its runs as
+    arrays. ``row`` is a short number in place of the hashes; it holds for the
+    stored table only."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch, text_col):
-                row, start, number, anchors, segments = runs(*utf8(part.column(2)), least, anchor)
-                where = pa.array(row)
+                owner, start, number, anchors, segments = runs(*utf8(part.column(2)), least, anchor)
+                lists = (start.astype(np.int32), number.astype(np.int32), anchors, segments)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(where), part.column(1).take(where), pa.array(start.astype(np.int32)),
-                     pa.array(number.astype(np.int32)), pa.array(anchors.view(np.int64)), pa.array(segments.view(np.int64))],
+                    [part.column(0), part.column(1), *(list_array(x, owner, part.num_rows) for x in lists)],
                     ["k1", "k2", "start", "n", "anchor", "segment"],
-                )
+                )
 
-    schema = "k1 bigint, k2 bigint, start int, n int, anchor bigint, segment bigint"
-    return docs.select("k1", "k2", text_col).mapInArrow(run, schema)
+    schema = "k1 bigint, k2 bigint, start array<int>, n array<int>, anchor array<bigint>, segment array<bigint>"
+    found = docs.select("k1", "k2", text_col).mapInArrow(run, schema)
+    return found.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
 # -- suffixes of a bucket ------------------------------------------------------
@@ -250,43 +252,42 @@ def _spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # -- Spark steps ---------------------------------------------------------------
 
-_START = "k1 bigint, k2 bigint, start int, n int"
+_START = "row bigint, start int, n int"
 
 
-def _segments(docs: DataFrame, text_col: str, wanted: DataFrame, least: int) -> DataFrame:
-    """(bucket, k1, k2, start, data) for the wanted runs (k1, k2, bucket, start, n)."""
-    lists = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("bucket", "start", "n")).alias("runs"))
+def _segments(docs: DataFrame, names: DataFrame, text_col: str, wanted: DataFrame, least: int) -> DataFrame:
+    """(bucket, row, start, data) for the wanted runs (row, bucket, start, n)."""
+    lists = wanted.join(names, "row").groupBy(*_KEY).agg(F.collect_list(F.struct("bucket", "row", "start", "n")).alias("runs"))
     rows = docs.select(*_KEY, text_col).join(lists, _KEY)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch, text_col):
-                out: list[list] = [[], [], [], [], []]
-                for k1, k2, text, found in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                out: list[list] = [[], [], [], []]
+                for text, found in zip(*(part.column(i).to_pylist() for i in range(2)), strict=True):
                     data = text.encode()
                     for r in found:
                         cut = data[r["start"] : r["start"] + r["n"] + least - 1]
-                        for column, value in zip(out, (r["bucket"], k1, k2, r["start"], cut), strict=True):
+                        for column, value in zip(out, (r["bucket"], r["row"], r["start"], cut), strict=True):
                             column.append(value)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                columns = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "row", "start", "data"])
 
-    names = ["bucket", "k1", "k2", "start", "data"]
-    return rows.mapInArrow(run, "bucket bigint, k1 bigint, k2 bigint, start int, data binary")
+    return rows.select(text_col, "runs").mapInArrow(run, "bucket bigint, row bigint, start int, data binary")
 
 
 def _by_suffixes(segments: DataFrame, least: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        columns = [table.column(c).to_numpy() for c in ("k1", "k2", "start")]
-        out = [[], [], [], []]
+        rows, begins = (table.column(c).to_numpy() for c in ("row", "start"))
+        out = [[], [], []]
         for i, starts in enumerate(repeated_starts(table.column("data").to_pylist(), least)):
             first, number = _spans(starts)
-            for column, value in zip(out, (columns[0][i], columns[1][i]), strict=False):
-                column.append(np.full(len(first), value))
-            out[2].append(first + columns[2][i])
-            out[3].append(number)
-        k1, k2, start, n = (np.concatenate(c) for c in out)
-        return pa.table({"k1": k1, "k2": k2, "start": start.astype(np.int32), "n": n.astype(np.int32)})
+            out[0].append(np.full(len(first), rows[i]))
+            out[1].append(first + begins[i])
+            out[2].append(number)
+        row, start, n = (np.concatenate(c) for c in out)
+        return pa.table({"row": row, "start": start.astype(np.int32), "n": n.astype(np.int32)})
 
     return segments.groupBy("bucket").applyInArrow(run, _START)
 
@@ -297,48 +298,49 @@ def _by_counting(segments: DataFrame, least: int, store: StageStore) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for i in range(batch.num_rows):
-                _, k1, k2, start, data = (c[i].as_py() for c in batch.columns)
+                _, row, start, data = (c[i].as_py() for c in batch.columns)
                 sums = _window_sums(np.frombuffer(data, np.uint8))
                 at = np.arange(len(data) - least + 1)
                 hashes = [pa.array(_window_hash(sums, at, least, seed).view(np.int64)) for seed in _SEEDS]
-                owner = [pa.array(np.full(len(at), k)) for k in (k1, k2)]
+                owner = pa.array(np.full(len(at), row))
                 yield pa.RecordBatch.from_arrays(
-                    [*hashes, *owner, pa.array((at + start).astype(np.int32))], ["h1", "h2", "k1", "k2", "start"]
+                    [*hashes, owner, pa.array((at + start).astype(np.int32))], ["h1", "h2", "row", "start"]
                 )
 
-    windows = store.border(
-        "common_windows", segments.mapInArrow(run, "h1 bigint, h2 bigint, k1 bigint, k2 bigint, start int")
-    )
+    windows = store.border("common_windows", segments.mapInArrow(run, "h1 bigint, h2 bigint, row bigint, start int"))
     twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h1", "h2")
-    return windows.join(twice, ["h1", "h2"], "left_semi").select("k1", "k2", "start", F.lit(1).alias("n"))
+    return windows.join(twice, ["h1", "h2"], "left_semi").select("row", "start", F.lit(1).alias("n"))
 
 
 def repeated_windows(
     keyed: DataFrame, text_col: str, store: StageStore, least: int, anchor: int, hot_segments: int, bucket_bytes: int
 ) -> DataFrame:
-    """(k1, k2, start, n): consecutive starts of repeated windows."""
-    found = store.border("runs", text_runs(keyed, text_col, least, anchor))
-    one = F.min(F.struct("k1", "k2", "start", "n")).alias("one")
+    """(k1, k2, runs): consecutive starts (start, n) of repeated windows."""
+    texts = store.border("runs", text_runs(keyed, text_col, least, anchor))
+    names = texts.select("row", *_KEY)
+    found = texts.select("row", F.explode(F.arrays_zip("start", "n", "anchor", "segment")).alias("r")).select("row", "r.*")
+    one = F.min(F.struct("row", "start", "n")).alias("one")
     kinds = found.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), one)
     kinds = store.border("kinds", kinds.select("anchor", "segment", "copies", "one.*"))
 
     copied = kinds.filter("copies > 1").select("anchor", "segment")
-    whole = found.join(copied, ["anchor", "segment"], "left_semi").select("k1", "k2", "start", "n")
+    whole = found.join(copied, ["anchor", "segment"], "left_semi").select("row", "start", "n")
 
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    mixed = kinds.join(several, "anchor").select("anchor", "kinds", "k1", "k2", "start", "n")
-    mixed = store.border("mixed", mixed)
+    mixed = store.border("mixed", kinds.join(several, "anchor").select("anchor", "kinds", "row", "start", "n"))
     cold, hot = mixed.filter(F.col("kinds") <= hot_segments), mixed.filter(F.col("kinds") > hot_segments)
     total = cold.agg(F.sum(F.col("n") + least)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     parts = [whole]
     if total:
-        dealt = cold.select(*_KEY, F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "start", "n")
-        parts.append(_by_suffixes(_segments(keyed, text_col, dealt, least), least))
+        dealt = cold.select("row", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "start", "n")
+        parts.append(_by_suffixes(_segments(keyed, names, text_col, dealt, least), least))
     if not hot.isEmpty():
-        dealt = hot.select(*_KEY, F.lit(0).cast("long").alias("bucket"), "start", "n")
-        parts.append(_by_counting(_segments(keyed, text_col, dealt, least), least, store))
-    return store.border("repeated", _union(parts))
+        dealt = hot.select("row", F.lit(0).cast("long").alias("bucket"), "start", "n")
+        parts.append(_by_counting(_segments(keyed, names, text_col, dealt, least), least, store))
+    # Rows that repeat id and text have one list.
+    repeated = store.border("repeated", _union(parts))
+    return repeated.join(names, "row").groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -372,8 +374,7 @@ def remove_repeats(
     the removed byte ranges, kept the remaining bytes."""
     store = StageStore.for_session(docs.sparkSession)
     keyed = _keyed(clash_free(docs, id_col, text_col), id_col, text_col)
-    found = repeated_windows(keyed, text_col, store, least, min(anchor, least), hot_segments, bucket_bytes)
-    lists = found.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    lists = repeated_windows(keyed, text_col, store, least, min(anchor, least), hot_segments, bucket_bytes)
     kind = docs.select(f"`{id_col}`").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
