@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame
 
 from .text import clash_free, slices
 
-# A task forgets its pieces when it holds more than this, so its memory is bounded.
-KEPT_PIECES = 400_000
-KEPT_PAIRS = 1_000_000
+# Memory of a worker is bounded: pieces live in two generations of this size, the
+# older of which is dropped when the younger is full; pairs are forgotten at once.
+KEPT_PIECES = 120_000
+KEPT_PAIRS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,11 +53,12 @@ class Tokenizer:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.prefix: dict[int, int | None] = {}
         self.length = {rank: len(token) for rank, token in self.token.items()}
         self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older = self.pieces
 
     def merged(self, data: bytes) -> list[bytes]:
         """The merges carried out one by one, lowest rank and leftmost first.
@@ -86,12 +88,13 @@ class Tokenizer:
         return known
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
             a, b = self.token[left], self.token[right]
-            known = self.pairs[left, right] = self.merged(a + b) == [a, b]
+            known = self.pairs[pair] = self.merged(a + b) == [a, b]
         return known
 
     def encode_piece(self, data: bytes) -> tuple[int, ...]:
@@ -124,10 +127,13 @@ class Tokenizer:
         """Ids of one piece, and the same as decimal text."""
         known = self.pieces.get(text)
         if known is None:
+            known = self.older.get(text)
+            if known is None:
+                ids = self.encode_piece(text.encode("utf-8"))
+                known = ids, ",".join(map(str, ids))
             if len(self.pieces) >= KEPT_PIECES:
-                self.pieces.clear()
-            ids = self.encode_piece(text.encode("utf-8"))
-            known = self.pieces[text] = ids, ",".join(map(str, ids))
+                self.pieces, self.older = {}, self.pieces
+            self.pieces[text] = known
         return known
 
     def encode(self, text: str) -> list[int]:
