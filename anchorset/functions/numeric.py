@@ -18,11 +18,10 @@ def as_col(value) -> Column:
 def round_to(value, digits: int) -> Column:
     """Round half away from zero on the decimal value and return a double.
 
-    Rounding the double itself would depend on its binary neighbour. The cast
-    keeps four more digits than asked for, in a decimal that fits one long.
+    Spark rounds a double by its shortest decimal form, once and whatever its
+    size; decimals are rounded as they are.
     """
-    exact = as_col(value).cast(T.DecimalType(18, digits + 4))
-    return F.round(exact, digits).cast("double")
+    return F.round(as_col(value), digits).cast("double")
 
 
 def divide(a, b) -> Column:
@@ -35,10 +34,14 @@ def whole_quotient(name: str, divisor: int) -> Column:
     return F.expr(f"`{name}` div {divisor}")
 
 
+def is_integral(df, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, INTEGRAL)
+
+
 def quotient_by_type(df, name: str, divisor: int) -> Column:
     """Divide by a whole number the way SQL does for the column's type:
     integer columns give an integer quotient, others a fractional one."""
-    if isinstance(df.schema[name].dataType, INTEGRAL):
+    if is_integral(df, name):
         return whole_quotient(name, divisor)
     return F.col(name) / F.lit(divisor)
 

@@ -45,23 +45,116 @@ def similar_to_regex(pattern: str) -> str:
     """Java regex that accepts exactly the strings SIMILAR TO accepts.
 
     Alternatives are anchored one by one, and ``\\z`` (not ``$``) closes them
-    because ``$`` would also accept a trailing newline. A wildcard at either end
-    of a branch drops the anchor there instead of adding ``.*``, which spares
-    the matcher a backtracking walk over long texts.
+    because ``$`` would also accept a trailing newline. The pieces between
+    wildcards are found from left to right, each at its first place. Where all
+    matches of a piece are equally long, or nothing has to follow, no later place
+    can do better, so the place is kept in an atomic group and the text is walked
+    once. Only other pieces may be searched again.
     """
     parts = []
     for branch in top_level_branches(pattern):
-        start = "\\A"
-        if branch.startswith("%"):
-            start, branch = "", branch.lstrip("%")
-        end = "\\z"
-        body = branch.rstrip("%")
-        if body != branch and not body.endswith("\\"):
-            end, branch = "", body
-        parts.append(start + _regex_body(branch) + end)
+        first, *rest = _pieces(branch)
+        regex = "\\A" + _regex_body(first)
+        if not rest:
+            parts.append(regex + "\\z")
+            continue
+        *inner, last = rest
+        while inner and not last and not inner[-1]:
+            inner.pop()
+        for i, piece in enumerate(inner):
+            if piece:
+                ends = not last and i == len(inner) - 1
+                find = ".*?(?:" + _regex_body(piece) + ")"
+                regex += f"(?>{find})" if ends or _width(piece) is not None else find
+        # An open end needs nothing more; a fixed one is looked for from the end.
+        regex += ".*(?:" + _regex_body(last) + ")\\z" if last else ""
+        parts.append(regex)
     return "(?s)" + (parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")")
 
 
+def _pieces(branch: str) -> list[str]:
+    """What lies between the wildcards ``%`` outside groups and classes."""
+    pieces, depth, in_class, i, start = [], 0, False, 0, 0
+    while i < len(branch):
+        ch = branch[i]
+        if ch == "\\":
+            i += 2
+            continue
+        if ch == "[":
+            in_class = True
+        elif ch == "]":
+            in_class = False
+        elif not in_class:
+            depth += (ch == "(") - (ch == ")")
+            if ch == "%" and depth == 0:
+                pieces.append(branch[start:i])
+                start = i + 1
+        i += 1
+    # A repeated wildcard ("%+") belongs to one piece with what surrounds it.
+    if any(p[:1] in ("*", "+", "?", "{") for p in (*pieces[1:], branch[start:])):
+        return [branch]
+    return [*pieces, branch[start:]]
+
+
+def _width(pattern: str) -> int | None:
+    """The length of every string a piece accepts, or None if they differ."""
+    widths = set()
+    for branch in top_level_branches(pattern):
+        width, i = 0, 0
+        while i < len(branch):
+            ch = branch[i]
+            if ch == "\\":
+                width, i = width + 1, i + 2
+            elif ch == "[":
+                end = _class_end(branch, i)
+                width, i = width + 1, end + 1
+            elif ch == "(":
+                end = _closing(branch, i)
+                inner = _width(branch[i + 1 : end])
+                if inner is None:
+                    return None
+                width, i = width + inner, end + 1
+            elif ch in "%*+?{":
+                return None
+            else:
+                width, i = width + 1, i + 1
+        widths.add(width)
+    return widths.pop() if len(widths) == 1 else None
+
+
+def _class_end(pattern: str, start: int) -> int:
+    i = start + 1
+    while i < len(pattern) and pattern[i] != "]":
+        i += 2 if pattern[i] == "\\" else 1
+    return i
+
+
+def longest_literal(pattern: str) -> str:
+    """The longest run of plain characters that every accepted string holds; ""
+    where there is none or the pattern has alternatives outside groups."""
+    if len(top_level_branches(pattern)) > 1:
+        return ""
+    runs, current, i = [], "", 0
+    while i < len(pattern):
+        ch, plain = pattern[i], None
+        if ch == "\\":
+            plain, i = pattern[i + 1 : i + 2], i + 2
+        elif ch == "[":
+            i = _class_end(pattern, i) + 1
+        elif ch == "(":
+            i = _closing(pattern, i) + 1
+        elif ch == "{":
+            i = pattern.index("}", i) + 1
+        else:
+            plain, i = (None if ch in "%_*+?" else ch), i + 1
+        if plain is not None and pattern[i : i + 1] not in ("*", "+", "?", "{"):
+            current += plain
+        else:
+            runs.append(current)
+            current = ""
+    return max([*runs, current], key=len)
+
+
 def _regex_body(pattern: str) -> str:
     out, in_class, i = "", False, 0
     while i < len(pattern):
@@ -119,6 +212,35 @@ def like_patterns(pattern: str) -> list[str] | None:
     return out
 
 
+# More alternatives than this are left to one regular expression.
+MAX_ALTERNATIVES = 64
+
+
+def alternatives(branch: str) -> list[str]:
+    """SIMILAR TO patterns without groups of alternatives that together accept
+    what the branch accepts; the branch itself where a group is repeated or
+    there would be too many."""
+    out, i = [""], 0
+    while i < len(branch):
+        ch = branch[i]
+        if ch == "\\":
+            out, i = [p + branch[i : i + 2] for p in out], i + 2
+        elif ch == "[":
+            end = _class_end(branch, i) + 1
+            out, i = [p + branch[i:end] for p in out], end
+        elif ch == "(":
+            end = _closing(branch, i)
+            if branch[end + 1 : end + 2] in ("*", "+", "?", "{"):
+                return [branch]
+            inner = [q for b in top_level_branches(branch[i + 1 : end]) for q in alternatives(b)]
+            out, i = [p + q for p in out for q in inner], end + 1
+            if len(out) > MAX_ALTERNATIVES:
+                return [branch]
+        else:
+            out, i = [p + ch for p in out], i + 1
+    return out
+
+
 def _closing(pattern: str, start: int) -> int:
     """Position of the bracket that closes the one at ``start``."""
     depth, i = 0, start
@@ -133,6 +255,15 @@ def _closing(pattern: str, start: int) -> int:
     raise ValueError(f"unbalanced brackets in {pattern!r}")
 
 
+def _has_group(pattern: str) -> bool:
+    i = 0
+    while i < len(pattern):
+        if pattern[i] == "(":
+            return True
+        i += 2 if pattern[i] == "\\" else 1
+    return False
+
+
 def _is_search(pattern: str) -> bool:
     """True if a LIKE pattern has wildcards at its ends only, so that Spark runs
     it as an equality, a prefix, a suffix or a substring test."""
@@ -167,15 +298,19 @@ class Rule:
         return hit
 
     def _similar(self, col: Column) -> Column:
-        """Substring tests for the branches that allow them, which need no
-        regular expression; the others by ``rlike``."""
+        """Substring tests for the alternatives that allow them, which need no
+        regular expression; the others by ``rlike``, behind a substring test of
+        what they hold in any case."""
         tests = []
         for branch in top_level_branches(self.pattern):
-            plain = like_patterns(branch)
-            if plain is not None and all(_is_search(p) for p in plain):
-                tests += [_like(col, p) for p in plain]
-            else:
-                tests.append(col.rlike(similar_to_regex(branch)))
+            for one in alternatives(branch):
+                # A group that is left has too many alternatives or is repeated.
+                plain = None if _has_group(one) else like_patterns(one)
+                if plain is not None and all(_is_search(p) for p in plain):
+                    tests += [_like(col, p) for p in plain]
+                    continue
+                literal, regex = longest_literal(one), col.rlike(similar_to_regex(one))
+                tests.append(F.contains(col, F.lit(literal)) & regex if literal else regex)
         return any_of(tests)
 
     @property
@@ -189,7 +324,23 @@ class Rule:
 def _like(col: Column, pattern: str) -> Column:
     if not {"%", "_", "\\"} & set(pattern):
         return col == F.lit(pattern)
-    return col.like(pattern)
+    if _is_search(pattern):
+        return col.like(pattern)
+    # Spark's own translation of inner wildcards walks a text again and again.
+    return col.rlike(similar_to_regex(_like_as_similar(pattern)))
+
+
+def _like_as_similar(pattern: str) -> str:
+    out, i = "", 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            if i + 1 == len(pattern):
+                raise ValueError(f"pattern ends with its escape character: {pattern!r}")
+            out, i = out + pattern[i : i + 2], i + 2
+        else:
+            out += "\\" + pattern[i] if pattern[i] in _REGEX_OPERATORS else pattern[i]
+            i += 1
+    return out
 
 
 def like(pattern: str, lower: bool = True, none_of: Iterable[str] = ()) -> Rule:

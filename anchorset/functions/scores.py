@@ -77,13 +77,23 @@ def body_mass_index(weight, height_cm) -> Column:
     return round_to(divide(weight, F.pow(metres, F.lit(2.0))), 2)
 
 
-def weighted_pressure(systolic, diastolic, sys_weight: float, dia_weight: float) -> Column:
-    """Weighted mean of two pressures, four digits; NULL if either is NULL."""
-    return round_to(
-        as_col(systolic).cast("double") * F.lit(sys_weight)
-        + as_col(diastolic).cast("double") * F.lit(dia_weight),
-        4,
-    )
+def weighted_pressure(
+    systolic, diastolic, sys_weight: float, dia_weight: float, whole: bool = False
+) -> Column:
+    """Weighted mean of two pressures, four digits; NULL if either is NULL.
+    ``whole`` cuts both shares to whole numbers, as for integer columns; weights
+    that are the inverse of a whole number divide exactly."""
+
+    def share(value, weight: float) -> Column:
+        col = as_col(value).cast("double")
+        divisor = round(1 / weight) if weight else 0
+        exact = divisor and abs(1 / divisor - weight) < 1e-12
+        if not whole:
+            return col * F.lit(weight)
+        part = col / F.lit(float(divisor)) if exact else col * F.lit(weight)
+        return F.when(part < 0, F.ceil(part)).otherwise(F.floor(part)).cast("double")
+
+    return round_to(share(systolic, sys_weight) + share(diastolic, dia_weight), 4)
 
 
 def scaled(value, divisor: float, digits: int = 3) -> Column:

@@ -7,7 +7,10 @@ from __future__ import annotations
 
 
 def rounded(x: str, digits: int) -> str:
-    return f"cast(round(cast({x} AS decimal(18,{digits + 4})), {digits}) AS double)"
+    """Half away from zero on the digits as they are printed; numbers too large
+    for a decimal have no digits to lose."""
+    digits_of = f"try_cast(cast({x} AS varchar) AS decimal(38,18))"
+    return f"coalesce(cast(round({digits_of}, {digits}) AS double), round(cast({x} AS double), {digits}))"
 
 
 def _top(cols: str, source: str, key: str, order: str) -> str:
@@ -229,9 +232,9 @@ ORACLES = {
               "(SELECT m.* FROM merged m JOIN idx i ON m.user_id = i.user_id WHERE m.ts <= i.index_ts) s",
               "user_id", "ts DESC, value DESC")}""",
     "source_union": """
-        SELECT user_id, value FROM events WHERE event_type = 'view' AND value > 20
-        UNION SELECT user_id, value FROM events WHERE event_type = 'click' AND value > 10
-        UNION SELECT user_id, value FROM events WHERE event_type = 'signup' AND value > 30""",
+        SELECT user_id, value FROM events WHERE event_type = 'view' AND value IS NOT NULL
+        UNION SELECT user_id, value FROM events WHERE event_type = 'click' AND value IS NOT NULL
+        UNION SELECT user_id, value FROM events WHERE event_type = 'signup' AND value IS NOT NULL""",
     "history_flags": "SELECT doc_id, "
     + ", ".join(
         [
@@ -251,10 +254,10 @@ ORACLES = {
     "timed_flags": f"WITH {INDEX} SELECT user_id, "
     + ", ".join(
         [
-            _flag("error_before", f"user_id IN (SELECT user_id FROM {_seen('error', '<')} WHERE value > 60)"),
-            _flag("error_from", f"user_id IN (SELECT user_id FROM {_seen('error', '>=')} WHERE value > 60)"),
-            _flag("signup_until", f"user_id IN (SELECT user_id FROM {_seen('signup', '<=')} WHERE value > 60)"),
-            _flag("click_ever", "user_id IN (SELECT user_id FROM events WHERE event_type = 'click' AND value > 60)"),
+            _flag("error_before", f"user_id IN (SELECT user_id FROM {_seen('error', '<')})"),
+            _flag("error_from", f"user_id IN (SELECT user_id FROM {_seen('error', '>=')})"),
+            _flag("signup_until", f"user_id IN (SELECT user_id FROM {_seen('signup', '<=')})"),
+            _flag("click_ever", "user_id IN (SELECT user_id FROM events WHERE event_type = 'click')"),
         ]
     )
     + " FROM idx",

@@ -3,7 +3,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from anchorset.functions.patterns import like, like_patterns, similar, similar_to_regex
+from anchorset.functions.patterns import (
+    alternatives,
+    like,
+    like_patterns,
+    longest_literal,
+    similar,
+    similar_to_regex,
+)
 from anchorset.plans import registry
 
 CASES = [
@@ -113,4 +120,41 @@ def test_searches_need_no_regular_expression(spark):
     df = spark.createDataFrame([("x",)], "t string")
     for rule in _patterns():
         text = str(df.select(rule.matches("t"))._jdf.queryExecution().optimizedPlan())
-        assert "RLIKE" not in text
+        inner = any("%" in p.strip("%") for p in like_patterns(rule.pattern))
+        assert inner or "RLIKE" not in text
+
+
+SLOW = [("%\\(%\\)%", "("), ("%the%and%", "the "), ("%a(b|c)%d%", "ab"), ("%x_y%z%", "xxy")]
+
+
+@pytest.mark.parametrize("pattern,unit", SLOW)
+@pytest.mark.parametrize("kind", [similar, like])
+def test_long_texts_are_walked_once(spark, pattern, unit, kind):
+    """A start that fails is not tried again behind every later one."""
+    import time
+
+    if kind is like:
+        pattern = pattern.replace("\\", "").replace("(b|c)", "b")
+    df = spark.createDataFrame([(unit * (80_000 // len(unit)),)] * 8, "t string").cache()
+    df.count()
+    hits = df.filter(kind(pattern).matches("t"))
+    hits.count()
+    start = time.perf_counter()
+    assert hits.count() == 0
+    assert time.perf_counter() - start < 2
+
+
+def test_alternatives_stay_one_regex_where_they_would_explode(spark):
+    pattern = "%" + "(a|b)" * 12 + "%"
+    assert alternatives(pattern) == [pattern]
+    assert alternatives("%(a|b)x(c|[de])%") == ["%axc%", "%ax[de]%", "%bxc%", "%bx[de]%"]
+    df = spark.createDataFrame([("xx" + "ab" * 6 + "yy",), ("xx" + "ab" * 5,)], "t string")
+    assert [r[0] for r in df.select(similar(pattern).matches("t")).collect()] == [True, False]
+
+
+@pytest.mark.parametrize("pattern,literal", [
+    ("%[aeiou]ationh%", "ationh"), ("%[a-z]@[a-z]%", "@"), ("col[cd] rod+", "col"), ("%é.%\\(%", "é."),
+    ("ab?cd*", "a"), ("x(abc|d)yz", "yz"), ("%_%", ""), ("a{2}bc", "bc"), ("abc|d", ""),
+])
+def test_longest_literal(pattern, literal):
+    assert longest_literal(pattern) == literal

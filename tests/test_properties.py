@@ -5,7 +5,13 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from anchorset.functions.patterns import like_patterns, similar_to_regex, top_level_branches
+from anchorset.functions.patterns import (
+    alternatives,
+    like_patterns,
+    longest_literal,
+    similar_to_regex,
+    top_level_branches,
+)
 
 LITERAL = st.text("ab. ", min_size=0, max_size=3)
 
@@ -45,6 +51,18 @@ def test_regular_expression_and_like_forms_agree(pattern, text):
     assert any(_like(p, text) for p in plain) == bool(regex.search(text))
 
 
+@settings(max_examples=400, deadline=None)
+@given(PATTERN, TEXT)
+def test_alternatives_and_literals_agree(pattern, text):
+    """Each branch equals the union of its alternatives, and an accepted text
+    holds the literal that guards it."""
+    for branch in top_level_branches(pattern):
+        accepts = lambda p: bool(re.search(similar_to_regex(p).replace("\\z", "\\Z"), text))
+        parts = alternatives(branch)
+        assert accepts(branch) == any(map(accepts, parts))
+        assert all(longest_literal(p) in text for p in parts if accepts(p))
+
+
 @settings(max_examples=300, deadline=None)
 @given(PATTERN)
 def test_branches_join_to_the_pattern(pattern):

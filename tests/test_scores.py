@@ -12,6 +12,14 @@ def values(spark, data, schema, *exprs):
     return [tuple(r) for r in df.select(*exprs).collect()]
 
 
+def test_rounding_has_no_cap_and_rounds_once(spark):
+    rows = [(0.12344999996,), (0.12345,), (50 / 1e-9,), (1e15 + 0.125,), (1e300,), (-0.00005,), (4.9999999999999e-5,)]
+    got = values(spark, rows, "x double", round_to("x", 4))
+    assert [g[0] for g in got] == [0.1234, 0.1235, 5e10, 1e15 + 0.125, 1e300, -0.0001, 0.0]
+    got = values(spark, [(1e-9,)], "b double", change("b", F.lit(50.0), "relative_rise"))
+    assert got == [(4.9999999999e10,)]
+
+
 def test_rounding_is_half_away_from_zero_on_the_decimal_value(spark):
     got = values(spark, [(2.675,), (-2.675,), (1.005,), (0.125,), (None,)], "x double", round_to("x", 2))
     assert [g[0] for g in got] == [2.68, -2.68, 1.01, 0.13, None]
