@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import Rule
-from .joins import HOT_ROWS, fits_broadcast, keys, subject_join, within
+from .joins import fits_broadcast, keys, subject_join, within
 
 
 def one_per_key(df: DataFrame, key: str | Sequence[str], **values: Column) -> DataFrame:
@@ -90,7 +90,7 @@ def exclude(
     keys_only = listed.select(key).filter(F.col(key).isNotNull())
     if not fits_broadcast(keys_only):
         keys_only = keys_only.distinct()
-    hot_rows = None if unique else HOT_ROWS
+    hot_rows = None if unique else 0
     out = subject_join(df, keys_only, key, "left_anti", hot_rows)
     if not null_aware:
         return out
@@ -112,6 +112,21 @@ def keys_with_variant_count(
     return counted.filter(F.col("_n") == n).select(key).distinct()
 
 
+def keys_without(df: DataFrame, key: str, removed: Column) -> DataFrame:
+    """Keys none of whose rows is removed, by one aggregate; an unknown outcome
+    removes nothing."""
+    hit = F.max(F.coalesce(removed, F.lit(False))).alias("_removed")
+    return df.groupBy(key).agg(hit).filter(~F.col("_removed")).select(key)
+
+
+def variants_and_removal(df: DataFrame, key: str, variant: str, removed: Column) -> DataFrame:
+    """(key, n_variants, removed): the number of distinct variants of each key
+    and whether any row of it is removed."""
+    hit = F.max(F.coalesce(removed, F.lit(False))).alias("removed")
+    variants = df.groupBy(key, variant).agg(hit)
+    return variants.groupBy(key).agg(F.count(variant).alias("n_variants"), F.max("removed").alias("removed"))
+
+
 def union_keys(*parts: DataFrame) -> DataFrame:
     """Set union of key lists."""
     out = parts[0]

@@ -32,10 +32,24 @@ def keep_pair(df: DataFrame, base: str, extreme: str, require: str) -> DataFrame
     return df.withColumns({c: F.when(known, F.col(c)) for c in (base, extreme)})
 
 
-def assemble(cohort: DataFrame, key: str, features: Sequence[DataFrame]) -> DataFrame:
-    """Left-join feature tables that have one row per subject. They come out of
-    aggregates on the key, so the joins reuse that partitioning."""
+def unique_per_key(table: DataFrame, key: str) -> DataFrame:
+    """The table, which fails when it is read if a key has several rows. Rows
+    with a NULL key match nothing and are left out."""
+    columns = [c for c in table.columns if c != key]
+    grouped = table.filter(F.col(key).isNotNull()).groupBy(key)
+    rows = grouped.agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in columns])
+    message = F.concat(F.lit("several feature rows for one key: "), F.col(key).cast("string"))
+    several = F.when(F.col("_rows") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return rows.filter(several).select(*table.columns)
+
+
+def assemble(
+    cohort: DataFrame, key: str, features: Sequence[DataFrame], unique: bool = False
+) -> DataFrame:
+    """Left-join feature tables that have one row per subject, so that no join
+    multiplies subjects. Each table is checked for that on the partitioning the
+    join needs anyway, unless ``unique`` states it, as for aggregates on the key."""
     out = cohort
     for table in features:
-        out = out.join(table, key, "left")
+        out = out.join(table if unique else unique_per_key(table, key), key, "left")
     return out

@@ -61,6 +61,13 @@ def pivot_flags(sources: Iterable[DataFrame], key: str, names: Sequence[str]) ->
     return rows.groupBy(key).agg(*hits)
 
 
+def flag_columns(df: DataFrame, key: str, text: str, rules: dict[str, Rule]) -> DataFrame:
+    """One row per key of the table itself with a 0/1 column per rule, where the
+    rows to flag are also the subjects: one scan and one aggregate."""
+    rows, hits = fold_rules(df.select(key, text), text, rules)
+    return rows.groupBy(key).agg(*[F.max(F.when(cond, 1).otherwise(0)).alias(n) for n, cond in hits.items()])
+
+
 def add_flags(cohort: DataFrame, flags: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     """Left-join pivoted flags; subjects without a hit get 0, never NULL."""
     joined = cohort.join(flags, key, "left")
@@ -80,9 +87,13 @@ def timed_flag(
     return rows.filter(on_side(ts, index_ts, side)).select(key).distinct()
 
 
-def any_source_flag(sources: Sequence[tuple[DataFrame, str, Rule]], key: str) -> DataFrame:
-    """Distinct keys matched in any of several tables: (table, text, rule)."""
-    parts = [df.filter(rule.matches(text)).select(key) for df, text, rule in sources]
+def any_source_flag(sources: Sequence[tuple[DataFrame, dict[str, Rule]]], key: str) -> DataFrame:
+    """Distinct keys matched in any of several tables: (table, rule by text
+    column). All rules of a table are tested on one pass over it."""
+    parts = [
+        df.filter(any_of(rule.matches(text) for text, rule in rules.items())).select(key)
+        for df, rules in sources
+    ]
     return reduce(lambda a, b: a.unionByName(b), parts).distinct()
 
 

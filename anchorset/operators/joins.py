@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# More rows of one key than this are spread over several tasks.
+# More rows of one key than this are spread over several tasks; the session
+# setting below goes first.
 HOT_ROWS = 5_000_000
+HOT_ROWS_SETTING = "spark.anchorset.hotRows"
 
-_PARTS, _SALT = "_hot_parts", "_hot_salt"
+_PARTS, _SALT, _COPIES, _COPY = "_hot_parts", "_hot_salt", "_hot_copies", "_hot_copy"
 
 
 def keys(key: str | Sequence[str]) -> list[str]:
@@ -40,44 +44,66 @@ def fits_broadcast(df: DataFrame) -> bool:
     return size is not None and size <= broadcast_limit(df)
 
 
+def session_hot_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
+
+
+def hot_keys(facts: DataFrame, on: list[str], hot_rows: int) -> DataFrame | None:
+    """(key, parts) of the keys with at least ``hot_rows`` facts, NULL included,
+    as a local table; None if there are none. There are at most
+    ``total rows / hot_rows`` of them, which bounds what reaches the driver."""
+    counted = facts.groupBy(*on).agg(F.count(F.lit(1)).alias(_PARTS)).filter(F.col(_PARTS) >= hot_rows)
+    found = counted.select(*on, F.ceil(F.col(_PARTS) / hot_rows).cast("int").alias(_PARTS))
+    rows = found.collect()
+    return facts.sparkSession.createDataFrame(rows, found.schema) if rows else None
+
+
 def subject_join(
     facts: DataFrame,
     subjects: DataFrame,
     key: str | Sequence[str],
     how: str = "inner",
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = 0,
 ) -> DataFrame:
     """Join many fact rows per key with a subject table of few rows per key.
 
     When Spark's size estimate lets it broadcast the subject side, the facts are
     not shuffled and skew cannot matter: the plain join is returned. Otherwise a
-    key may hold more fact rows than one task should take. Each key with at
-    least ``hot_rows`` facts is cut into ``count / hot_rows`` parts by a hash of
-    the whole row, and its subject rows are copied once per part. The list of
-    hot keys has at most ``total / hot_rows`` rows, which bounds its broadcast;
-    the copies are bounded the same way. Every row is kept.
-
-    ``how`` is inner, left, left_semi or left_anti, seen from the facts. With
-    ``hot_rows`` None the caller states that no key has many facts, and nothing
-    is counted.
+    key may hold more fact rows than one task should take, so the facts are
+    counted per key first (a job of its own). Without a key of ``hot_rows`` facts
+    the plain join is returned. Else the facts of hot keys are joined apart:
+    equal rows are put together with their number, the rest is cut into
+    ``count / hot_rows`` parts by a hash of the whole row, subject rows are copied
+    once per part, and the number is unfolded after the join. So neither a key
+    nor a row that is repeated goes to one task, and neither do NULL keys, which
+    match nothing. Every row is kept.
+
+    ``how`` is inner, left, left_semi or left_anti, seen from the facts.
+    ``hot_rows`` 0 stands for the session's setting (``spark.anchorset.hotRows``,
+    else ``HOT_ROWS``); with None the caller states that no key has many facts,
+    and nothing is counted.
     """
     on = keys(key)
     if hot_rows is None or fits_broadcast(subjects):
         return facts.join(subjects, on, how)
-    hot = (
-        facts.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias(_PARTS))
-        .filter(F.col(_PARTS) >= hot_rows)
-        .select(*on, F.ceil(F.col(_PARTS) / hot_rows).cast("int").alias(_PARTS))
-    )
-    part = F.when(
-        F.col(_PARTS).isNotNull(),
-        F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.col(_PARTS)),
-    ).otherwise(F.lit(0))
-    parts = F.sequence(F.lit(0), F.coalesce(F.col(_PARTS), F.lit(1)) - 1)
-    left = facts.join(F.broadcast(hot), on, "left").withColumn(_SALT, part.cast("int"))
-    right = subjects.join(F.broadcast(hot), on, "left").withColumn(_SALT, F.explode(parts))
-    return left.drop(_PARTS).join(right.drop(_PARTS), [*on, _SALT], how).drop(_SALT)
+    hot = hot_keys(facts, on, hot_rows or session_hot_rows(facts))
+    if hot is None:
+        return facts.join(subjects, on, how)
+    names = facts.columns
+    listed = F.broadcast(hot.withColumnsRenamed({k: f"_hot_{k}" for k in on}))
+    match = reduce(lambda a, b: a & b, (facts[k].eqNullSafe(listed[f"_hot_{k}"]) for k in on))
+    cold = facts.join(listed, match, "left_anti").join(subjects, on, how)
+    some = facts.join(listed, match, "inner").select(*names, _PARTS)
+    if any(isinstance(f.dataType, T.MapType) for f in facts.schema):
+        some = some.withColumn(_COPIES, F.lit(1).cast("long"))
+    else:
+        some = some.groupBy(*names, _PARTS).agg(F.count(F.lit(1)).alias(_COPIES))
+    some = some.withColumn(_SALT, F.pmod(F.xxhash64(*names), F.col(_PARTS)).cast("int")).drop(_PARTS)
+    parts = F.explode(F.sequence(F.lit(0), F.col(_PARTS) - 1))
+    copied = subjects.join(F.broadcast(hot), on, "inner").withColumn(_SALT, parts).drop(_PARTS)
+    joined = some.join(copied, [*on, _SALT], how).drop(_SALT)
+    unfolded = joined.withColumn(_COPY, F.explode(F.sequence(F.lit(1).cast("long"), F.col(_COPIES))))
+    return cold.unionByName(unfolded.drop(_COPY, _COPIES))
 
 
 def within(

@@ -175,18 +175,22 @@ def onset_times(
     index_ts: str,
     rules: dict[str, Column],
     new_only: Sequence[str] = (),
+    ever: dict[str, Column] | None = None,
 ) -> DataFrame:
     """First time of each kind of event at or after the index, in one pass.
 
     ``rules`` maps an output column to the condition of its events. Names in
     ``new_only`` are new-onset events: a subject with such an event strictly
-    before the index gets no time. Subjects without any time are left out.
+    before the index gets no time. ``ever`` adds 0/1 columns for events at any
+    time. Subjects without any time or flag are left out.
     """
+    ever = ever or {}
     if not fits_broadcast(index.select(key, index_ts)):
         # The outcome of a rule is smaller to shuffle than what it looks at.
-        marks = [cond.alias(f"_is_{name}") for name, cond in rules.items()]
-        events = events.filter(any_of(rules.values())).select(key, ts, *marks)
-        rules = {name: F.col(f"_is_{name}") for name in rules}
+        every = {**rules, **ever}
+        marks = [cond.alias(f"_is_{name}") for name, cond in every.items()]
+        events = events.filter(any_of(every.values())).select(key, ts, *marks)
+        rules, ever = ({name: F.col(f"_is_{name}") for name in some} for some in (rules, ever))
     seen = attach_index(events, index, key, index_ts)
     before, after = on_side(ts, index_ts, "before"), on_side(ts, index_ts, "from")
     aggs = []
@@ -194,14 +198,14 @@ def onset_times(
         aggs.append(F.min(F.when(cond & after, F.col(ts))).alias(name))
         if name in new_only:
             aggs.append(F.max(F.when(cond & before, F.lit(1))).alias(f"_prior_{name}"))
+    aggs += [F.max(F.when(cond, 1).otherwise(0)).alias(name) for name, cond in ever.items()]
     times = seen.groupBy(key).agg(*aggs)
     kept = {
         name: F.when(F.col(f"_prior_{name}").isNull(), F.col(name)) if name in new_only else F.col(name)
         for name in rules
     }
-    return times.select(key, *[c.alias(n) for n, c in kept.items()]).filter(
-        any_of(F.col(n).isNotNull() for n in rules)
-    )
+    known = [F.col(n).isNotNull() for n in rules] + [F.col(n) == 1 for n in ever]
+    return times.select(key, *[c.alias(n) for n, c in kept.items()], *ever).filter(any_of(known))
 
 
 def first_event_after(events, index, key, ts, index_ts, out="first_time") -> DataFrame:

@@ -6,7 +6,7 @@ def test_ever_and_any_source(spark, as_rows):
     a = spark.createDataFrame([(1, "Red X"), (1, "red"), (2, "blue"), (3, None)], "k int, t string")
     b = spark.createDataFrame([(2, "drug z"), (4, "drug z")], "k int, d string")
     assert as_rows(fl.ever_flag(a, "k", "t", like("%red%"))) == [(1,)]
-    listed = fl.any_source_flag([(a, "t", like("%red%")), (b, "d", similar("%(z|y)%"))], "k")
+    listed = fl.any_source_flag([(a, {"t": like("%red%")}), (b, {"d": similar("%(z|y)%")})], "k")
     assert as_rows(listed) == [(1,), (2,), (4,)]
     cohort = spark.createDataFrame([(1,), (3,), (4,)], "k int")
     assert as_rows(fl.as_flag(cohort, listed, "k", "f")) == [(1, 1), (3, 0), (4, 1)]

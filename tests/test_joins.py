@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from anchorset.operators.joins import broadcast_limit, fits_broadcast, subject_join, within
+from anchorset.operators.joins import HOT_ROWS_SETTING, broadcast_limit, fits_broadcast, subject_join, within
 
 
 def _tables(spark):
@@ -38,6 +38,45 @@ def test_a_hot_key_reaches_several_partitions(no_broadcast):
     assert all(n == 1 for k, n in per_key.items() if k != 0)
 
 
+def _largest_share(spark, df) -> int:
+    """Rows of the fullest partition, with partitions as the shuffle left them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_equal_rows_reach_the_join_once(no_broadcast):
+    """20,000 equal rows: one row with its number passes the shuffle."""
+    facts = no_broadcast.range(20_000).select(F.lit(1).alias("k"), F.lit(2).alias("v"))
+    subjects = no_broadcast.createDataFrame([(1, "a")], "k int, s string")
+    joined = subject_join(facts, subjects, "k", hot_rows=100)
+    assert joined.count() == 20_000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "_hot_copies" in plan
+
+
+@pytest.mark.parametrize("how,rows", [("left", 10_000), ("left_anti", 10_000), ("inner", 0), ("left_semi", 0)])
+def test_null_keys_are_spread(no_broadcast, how, rows):
+    facts = no_broadcast.range(10_000).select(F.lit(None).cast("int").alias("k"), "id")
+    subjects = no_broadcast.createDataFrame([(1, "a")], "k int, s string")
+    joined = subject_join(facts, subjects, "k", how, hot_rows=100)
+    assert joined.count() == rows
+    if rows:
+        assert _largest_share(no_broadcast, joined) < 3 * 10_000 / 8
+
+
+def test_hot_rows_come_from_the_session(no_broadcast):
+    facts, subjects = _tables(no_broadcast)
+    assert "xxhash64" not in subject_join(facts, subjects, "k")._jdf.queryExecution().toString()
+    no_broadcast.conf.set(HOT_ROWS_SETTING, "50")
+    try:
+        assert "xxhash64" in subject_join(facts, subjects, "k")._jdf.queryExecution().toString()
+    finally:
+        no_broadcast.conf.unset(HOT_ROWS_SETTING)
+
+
 def test_identical_facts_are_all_kept(no_broadcast):
     facts = no_broadcast.range(500).select(F.lit(1).alias("k"), F.lit(2).alias("v"))
     subjects = no_broadcast.createDataFrame([(1, "a")], "k int, s string")
