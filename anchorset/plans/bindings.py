@@ -195,7 +195,7 @@ STATEMENTS = {
         SELECT user_id AS patientunitstayid, <hours> * 60 AS observationoffset,
                CASE WHEN event_id % 13 = 0 THEN NULL ELSE 80.0 + value END AS systemicsystolic,
                CASE WHEN event_id % 7 = 0 THEN NULL ELSE 40.0 + value / 2.0 END AS systemicdiastolic
-        FROM <events> WHERE event_type IN ('click', 'view')""",
+        FROM <events> WHERE event_type IN ('click', 'view', 'purchase')""",
     "vitalaperiodic": """
         SELECT user_id AS patientunitstayid, <hours> * 60 AS observationoffset,
                85.0 + value AS noninvasivesystolic,

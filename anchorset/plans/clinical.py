@@ -1,7 +1,9 @@
 """The clinical study: from twelve base tables to one wide row per stay.
 
-Every base table is scanned once, apart from the laboratory table, which is read
-again for readings whose bounds are known only after the nadir or the baseline.
+In one build of all results every base table is scanned once, apart from two: the
+treatment table is read for the index and then once for all that follows it, the
+laboratory table once for all measures and again for readings whose bounds are
+known only after the nadir or the baseline.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..functions.numeric import quotient_by_type, round_to, whole_quotient
-from ..functions.patterns import any_of
+from ..functions.numeric import is_integral, quotient_by_type, round_to, whole_quotient
+from ..functions.patterns import any_of, fold_rules
 from ..operators import cohort as co
 from ..operators import flags as fl
 from ..operators import timeline as tl
@@ -48,13 +50,22 @@ def _read(source, name: str) -> DataFrame:
 
 
 def subject_detail(source) -> DataFrame:
-    """One row per unit stay: demographics, outcome codes, length of stay."""
+    """One row per unit stay: demographics, outcome codes, length of stay, and
+    ``hosp_los`` for the index table.
+
+    The severity table holds a row per score version; it is reduced to one row
+    per stay first, with the score of version IV and a length of stay from
+    version IV where that has one."""
     patient = _read(source, "patient")
     region = co.one_per_key(_read(source, "hospital"), "hospitalid", region=F.max("region"))
+    version_iv = F.col("apacheversion") == reg.APACHE_VERSION
     score = co.one_per_key(
-        _read(source, "apachepatientresult").filter(F.col("apacheversion") == reg.APACHE_VERSION),
+        _read(source, "apachepatientresult"),
         "patientunitstayid",
-        apache_iv=F.max("apachescore"),
+        apache_iv=F.max(F.when(version_iv, F.col("apachescore"))),
+        hosp_los=F.coalesce(
+            F.max(F.when(version_iv, F.col("actualhospitallos"))), F.max("actualhospitallos")
+        ),
     )
     derived = {
         "unitadmitoffset": F.lit(0),
@@ -100,6 +111,7 @@ def subject_detail(source) -> DataFrame:
         "admissionweight",
         "dischargeweight",
         "icu_los_hours",
+        "hosp_los",
     )
 
 
@@ -129,6 +141,7 @@ def treated_stays(source, subjects: DataFrame) -> DataFrame:
         "hospitaldischargeoffset",
         "unitdischargeoffset",
         "ethnicity",
+        "hosp_los",
     )
     treatments = _read(source, "treatment").withColumnRenamed("activeupondischarge", "active")
     treated = co.select_cohort(
@@ -140,11 +153,9 @@ def treated_stays(source, subjects: DataFrame) -> DataFrame:
 def intended_cohort(treated: DataFrame) -> DataFrame:
     """Treated stays by the stated intent of the removal rule: stays with two
     text variants, and stays with one that is no removal."""
-    removed = fl.ever_flag(treated, STAY, "treatmentstring", reg.INDEX_REMOVAL)
-    one, two = (
-        co.keys_with_variant_count(treated, STAY, "treatmentstring", n, STAY) for n in (1, 2)
-    )
-    listed = co.union_keys(two, co.exclude(one, removed, STAY, unique=True))
+    removed = reg.INDEX_REMOVAL.matches("treatmentstring")
+    found = co.variants_and_removal(treated, STAY, "treatmentstring", removed)
+    listed = found.filter("n_variants = 2 or (n_variants = 1 and not removed)").select(STAY)
     return subject_join(treated, listed, STAY, "left_semi")
 
 
@@ -177,22 +188,11 @@ def cohort_view(treated: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
-def index_table(source, treated: DataFrame, skip_removed: bool) -> DataFrame:
+def index_table(treated: DataFrame, skip_removed: bool) -> DataFrame:
     """First index treatment of each stay, with the stay's attributes.
 
     ``skip_removed`` leaves out stays with any removal text.
-
-    The severity table holds a row per score version; it is reduced to one length
-    of stay per stay first, taken from version IV where that has one.
     """
-    by_stay = co.one_per_key(
-        _read(source, "apachepatientresult").withColumnRenamed("patientunitstayid", STAY),
-        STAY,
-        hosp_los=F.coalesce(
-            F.max(F.when(F.col("apacheversion") == reg.APACHE_VERSION, F.col("actualhospitallos"))),
-            F.max("actualhospitallos"),
-        ),
-    )
     named = treated.select(
         STAY,
         "age",
@@ -207,14 +207,14 @@ def index_table(source, treated: DataFrame, skip_removed: bool) -> DataFrame:
         "ethnicity",
         "hospitaladmitoffset",
         "hospitaldischargeoffset",
+        "hosp_los",
         INDEX_TS,
         "treatmentid",
         "treatmentstring",
     )
     carry = [c for c in named.columns if c not in (STAY, INDEX_TS, "treatmentid", "treatmentstring")]
     removed = reg.INDEX_REMOVAL.matches("treatmentstring") if skip_removed else None
-    first = tl.index_event(named, STAY, INDEX_TS, "treatmentid", carry, removed)
-    return first.join(by_stay, STAY, "left")
+    return tl.index_event(named, STAY, INDEX_TS, "treatmentid", carry, removed)
 
 
 def lab_rows(source, measure: str) -> DataFrame:
@@ -237,33 +237,53 @@ def lab_profile(source, index: DataFrame) -> DataFrame:
     )
 
 
-_FLAGS = (*reg.HISTORY_FLAGS, "witness_bleed", "hemo_stroke", "excluding_diagnosis")
+def diagnosis_flags(source, index: DataFrame) -> DataFrame:
+    """All diagnosis flags of the stays with any, from one scan."""
+    rows = fl.timed_flag_rows(
+        _read(source, "diagnosis"),
+        index,
+        STAY,
+        "diagnosisoffset",
+        INDEX_TS,
+        "diagnosisstring",
+        reg.DIAGNOSES,
+    )
+    return fl.pivot_flags([rows], STAY, list(reg.DIAGNOSES))
 
 
-def stay_flags(source, index: DataFrame) -> DataFrame:
-    """All history, admission, drug and diagnosis flags of the stays with any:
-    one scan per source table and one aggregate for all of them."""
+_OTHER_RULES = {
+    "pasthistory": ("pasthistorypath", reg.PAST_HISTORY),
+    "admissiondx": ("admitdxpath", reg.ADMISSION),
+    "medication": ("drugname", reg.MEDICATION_DRUGS),
+    "infusiondrug": ("drugname", reg.INFUSION_DRUGS),
+}
 
-    def rows(name: str, text: str, rules: dict) -> DataFrame:
-        return fl.flag_rows(_read(source, name), STAY, text, rules, index)
 
-    sources = [
-        fl.timed_flag_rows(
-            _read(source, "diagnosis"),
-            index,
-            STAY,
-            "diagnosisoffset",
-            INDEX_TS,
-            "diagnosisstring",
-            reg.DIAGNOSES,
-        ),
-        rows("pasthistory", "pasthistorypath", reg.PAST_HISTORY),
-        rows("admissiondx", "admitdxpath", reg.ADMISSION),
-        rows("treatment", "treatmentstring", reg.TREATMENT_DRUGS),
-        rows("medication", "drugname", reg.MEDICATION_DRUGS),
-        rows("infusiondrug", "drugname", reg.INFUSION_DRUGS),
+def other_flags(source, index: DataFrame) -> DataFrame:
+    """All flags without a time bound from four tables: one scan of each, and
+    one aggregate for all of them."""
+    rows = [
+        fl.flag_rows(_read(source, name), STAY, text, rules, index)
+        for name, (text, rules) in _OTHER_RULES.items()
     ]
-    return fl.pivot_flags(sources, STAY, _FLAGS)
+    names = dict.fromkeys(n for _, rules in _OTHER_RULES.values() for n in rules)
+    return fl.pivot_flags(rows, STAY, list(names))
+
+
+def combined_flags(wide: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """The stays with all flags: 1 where any table has it, else 0."""
+    held: dict[str, list] = {}
+    for i, table in enumerate(tables):
+        names = [c for c in table.columns if c != STAY and c in _FLAGS]
+        wide = assemble(wide, STAY, [table.select(STAY, *[F.col(n).alias(f"_{i}_{n}") for n in names])], True)
+        for n in names:
+            held.setdefault(n, []).append(f"_{i}_{n}")
+    known = {n: [F.coalesce(F.col(c), F.lit(0)) for c in cols] for n, cols in held.items()}
+    wide = wide.withColumns({n: F.greatest(*c) if len(c) > 1 else c[0] for n, c in known.items()})
+    return wide.drop(*[c for cols in held.values() for c in cols])
+
+
+_FLAGS = (*reg.HISTORY_FLAGS, "witness_bleed", "hemo_stroke")
 
 
 def index_baseline(index: DataFrame, profile: DataFrame) -> DataFrame:
@@ -302,25 +322,38 @@ def pressures(source, index: DataFrame) -> DataFrame:
     return seen.groupBy(STAY).agg(last("sbp").alias("sbp"), last("dbp").alias("last_dbp"))
 
 
-def onset_table(source, index: DataFrame) -> DataFrame:
-    """First transfusion, ventilation and dialysis at or after the index."""
+def later_treatments(source, index: DataFrame) -> DataFrame:
+    """From one scan of the treatments: first transfusion, ventilation and
+    dialysis at or after the index, and drug flags at any time."""
     treatment = _read(source, "treatment").select(
         STAY, F.col(INDEX_TS).alias("event_offset"), "treatmentstring"
     )
-    rules = {name: rule.matches("treatmentstring") for name, rule in reg.ONSETS.items()}
-    return tl.onset_times(treatment, index, STAY, "event_offset", INDEX_TS, rules, reg.NEW_ONSETS)
+    rows, hits = fold_rules(treatment, "treatmentstring", {**reg.ONSETS, **reg.TREATMENT_DRUGS})
+    onsets, drugs = ({n: hits[n] for n in rules} for rules in (reg.ONSETS, reg.TREATMENT_DRUGS))
+    return tl.onset_times(rows, index, STAY, "event_offset", INDEX_TS, onsets, reg.NEW_ONSETS, drugs)
+
+
+def population(baseline: DataFrame, diagnoses: DataFrame) -> DataFrame:
+    """Stays with a baseline and without the excluding diagnosis, with what the
+    look-back and the ratio series need of them."""
+    excluded = diagnoses.filter(F.col("excluding_diagnosis") == 1)
+    return co.exclude(baseline, excluded, STAY, unique=True).select(
+        STAY, INDEX_TS, "last_plt", F.col("dpc").alias("plt_dpc")
+    )
 
 
 def covariates(
-    baseline: DataFrame, profile: DataFrame, onsets: DataFrame, vitals: DataFrame, flags: DataFrame
+    baseline: DataFrame, profile: DataFrame, treatments: DataFrame, vitals: DataFrame, diagnoses: DataFrame
 ) -> DataFrame:
     """About sixty covariates around the index, one row per stay."""
     columns = {n: s for n, s in reg.LAB_COLUMNS.items() if n not in ("last_plt", "min_plt")}
-    stroke = flags.select(STAY, F.col("hemo_stroke").alias("_stroke"))
+    stroke = diagnoses.select(STAY, F.col("hemo_stroke").alias("_stroke"))
+    onsets = treatments.select(STAY, *reg.ONSETS)
     wide = assemble(
         baseline.withColumnRenamed("dpc", "plt_dpc"),
         STAY,
         [tl.pivot_profile(profile, STAY, columns), onsets, vitals, stroke],
+        unique=True,
     )
     # A haemoglobin pair needs both values, a creatinine pair only its baseline.
     wide = keep_pair(wide, "last_hgb", "min_hgb", "both")
@@ -382,21 +415,23 @@ def covariates_view(wide: DataFrame) -> DataFrame:
     return wide.select(STAY, *_BASIC, INDEX_TS, *_COVARIATES)
 
 
-def history(wide: DataFrame, flags: DataFrame) -> DataFrame:
+def history(
+    wide: DataFrame, kept: DataFrame, flags: list[DataFrame], los_divisor: int = 60
+) -> DataFrame:
     """Covariates plus bands, body mass index and thirty history, admission and
-    drug flags; stays with the excluding diagnosis are dropped."""
-    flagged = fl.add_flags(wide, flags, STAY, _FLAGS)
-    kept = flagged.filter(F.col("excluding_diagnosis") == 0)
+    drug flags, of the stays kept. ``los_divisor`` turns minutes into the unit
+    of a length of stay that the severity table lacks."""
+    kept = combined_flags(wide.join(kept.select(STAY), STAY, "left_semi"), flags)
     stay_minutes = F.col("hospitaldischargeoffset") - F.col("hospitaladmitoffset")
     return (
         kept.withColumn("_stay_minutes", stay_minutes)
         .withColumns(
             {
-                # Minutes over 60, while the column itself comes in the unit of
-                # the severity table; kept as published.
+                # Minutes over 60 by default, while the column itself comes in
+                # the unit of the severity table; kept as published.
                 "hosp_los": F.coalesce(
                     F.col("hosp_los").cast("double"),
-                    whole_quotient("_stay_minutes", 60).cast("double"),
+                    whole_quotient("_stay_minutes", los_divisor).cast("double"),
                 ),
                 "group_plt": scores.bands("plt_dpc", reg.DROP_EDGES, "left", default=0),
                 "group2_plt": scores.bands("plt_dpc", reg.DROP_EDGE_2, "left", default=0),
@@ -406,7 +441,7 @@ def history(wide: DataFrame, flags: DataFrame) -> DataFrame:
                 "bmi": scores.body_mass_index("weight", "height"),
             }
         )
-        .drop("_stay_minutes", "excluding_diagnosis")
+        .drop("_stay_minutes")
     )
 
 
@@ -416,12 +451,12 @@ def history_view(hist: DataFrame) -> DataFrame:
     return hist.select(STAY, *basic, INDEX_TS, *_COVARIATES, *bands, *reg.HISTORY_FLAGS)
 
 
-def nadir_lookback(source, hist: DataFrame, profile: DataFrame) -> DataFrame:
+def nadir_lookback(source, kept: DataFrame, profile: DataFrame) -> DataFrame:
     """Haemoglobin nadir after the index and the highest values before it."""
     nadir = (
         profile.filter((F.col("measure") == "hgb") & F.col("min_value").isNotNull())
         .select(STAY, F.col("min_value").alias("nadir_hgb"), F.col("min_ts").alias("min_hgb_time"))
-        .join(hist.select(STAY), STAY, "left_semi")
+        .join(kept.select(STAY), STAY, "left_semi")
     )
     readings = lab_rows(source, "hgb")
     prior = tl.prior_window_extreme(
@@ -440,8 +475,12 @@ def nadir_lookback(source, hist: DataFrame, profile: DataFrame) -> DataFrame:
     )
 
 
-def study_table(hist: DataFrame, lookback: DataFrame) -> DataFrame:
-    """The final wide table, one row per stay."""
+def study_table(
+    hist: DataFrame, lookback: DataFrame, pressure_weights: tuple[float, float] = reg.PRESSURE_WEIGHTS
+) -> DataFrame:
+    """The final wide table, one row per stay. The mean pressure follows the
+    type of its columns, as a division by a whole number does: shares of integer
+    pressures are cut to whole numbers."""
     wide = hist.join(lookback, STAY, "left")
     ethnicity = F.col("ethnicity")
     other = reg.OTHER_ETHNICITY.matches("ethnicity") | (ethnicity == "")
@@ -458,7 +497,9 @@ def study_table(hist: DataFrame, lookback: DataFrame) -> DataFrame:
             "major_bleed": scores.severe_event(
                 "hgb_delta72", "witness_bleed", "hemo_stroke", "rbc_trans"
             ),
-            "map_bp": scores.weighted_pressure("sbp", "last_dbp", *reg.PRESSURE_WEIGHTS),
+            "map_bp": scores.weighted_pressure(
+                "sbp", "last_dbp", *pressure_weights, whole=is_integral(wide, "sbp")
+            ),
         }
     ).withColumn("ethnicity_group", F.coalesce("ethnicity_group", F.lit(0)))
     return wide.select(
@@ -515,12 +556,12 @@ def study_table(hist: DataFrame, lookback: DataFrame) -> DataFrame:
     )
 
 
-def platelet_ratios(source, hist: DataFrame) -> DataFrame:
-    """Every platelet reading from the index on, over its baseline, with the day
-    counted from unit admission."""
+def platelet_ratios(source, kept: DataFrame, day_origin: str = "admission") -> DataFrame:
+    """Every platelet reading from the index on, over its baseline, with hours
+    and days counted from unit admission or from the index."""
     series = tl.ratio_series(
-        lab_rows(source, "platelet"),
-        hist,
+        lab_rows(source, "platelet").select(STAY, "labresultoffset", "labresult"),
+        kept,
         STAY,
         "labresultoffset",
         "labresult",
@@ -528,6 +569,8 @@ def platelet_ratios(source, hist: DataFrame) -> DataFrame:
         "last_plt",
         ["plt_dpc"],
     )
+    if day_origin == "index":
+        series = series.withColumn("labresultoffset", F.col("labresultoffset") - F.col(INDEX_TS))
     hours = whole_quotient("labresultoffset", 60)
     return series.select(
         STAY,
@@ -542,9 +585,10 @@ def platelet_ratios(source, hist: DataFrame) -> DataFrame:
 
 FEATURES = {
     "lab_profile": lab_profile,
-    "onsets": onset_table,
+    "treatments": later_treatments,
     "pressures": pressures,
-    "flags": stay_flags,
+    "diagnoses": diagnosis_flags,
+    "other_flags": other_flags,
 }
 
 
@@ -556,29 +600,40 @@ class ClinicalStudy:
     ``removal`` decides on stays with a removal text among their index
     treatments. ``literal`` drops every such stay, which is what the published
     definition computes; ``intent`` follows its comments (``intended_cohort``).
+    ``day_origin`` counts the days of the ratio series from unit ``admission``
+    or from the ``index``; ``los_divisor`` and ``pressure_weights`` are described
+    at ``history`` and ``study_table``. Defaults are as published.
     """
 
-    def __init__(self, source, store: StageStore, removal: str = "literal"):
+    def __init__(
+        self,
+        source,
+        store: StageStore,
+        removal: str = "literal",
+        day_origin: str = "admission",
+        los_divisor: int = 60,
+        pressure_weights: tuple[float, float] = reg.PRESSURE_WEIGHTS,
+    ):
         if removal not in ("literal", "intent"):
             raise ValueError("removal must be 'literal' or 'intent'")
+        if day_origin not in ("admission", "index"):
+            raise ValueError("day_origin must be 'admission' or 'index'")
         self.source, self.store, self.removal = source, store, removal
+        self.day_origin, self.los_divisor, self.pressure_weights = day_origin, los_divisor, pressure_weights
         self._features: dict[str, DataFrame] = {}
 
     @cached_property
     def subjects(self) -> DataFrame:
-        return subject_detail(self.source)
+        return self.store.border("subjects", subject_detail(self.source))
 
     @cached_property
     def treated(self) -> DataFrame:
-        return treated_stays(self.source, self.subjects)
+        return self.store.border("treated", treated_stays(self.source, self.subjects))
 
     @cached_property
     def index(self) -> DataFrame:
-        treated = self.treated
-        if self.removal == "intent":
-            treated = intended_cohort(self.store.border("treated", treated))
-        built = index_table(self.source, treated, self.removal == "literal")
-        return self.store.border("index", built)
+        treated = self.treated if self.removal == "literal" else intended_cohort(self.treated)
+        return self.store.border("index", index_table(treated, self.removal == "literal"))
 
     def features(self, *names: str) -> list[DataFrame]:
         """Feature tables keyed by the stay; those not built yet are written
@@ -594,26 +649,37 @@ class ClinicalStudy:
     def profile(self) -> DataFrame:
         return self.features("lab_profile")[0]
 
+    @property
+    def diagnoses(self) -> DataFrame:
+        return self.features("diagnoses")[0]
+
     @cached_property
     def baseline(self) -> DataFrame:
-        return index_baseline(self.index, self.profile)
+        return self.store.border("baseline", index_baseline(self.index, self.profile))
+
+    @cached_property
+    def population(self) -> DataFrame:
+        self.features("lab_profile", "diagnoses")
+        return self.store.border("population", population(self.baseline, self.diagnoses))
 
     @cached_property
     def wide(self) -> DataFrame:
-        tables = self.features(*FEATURES)
+        tables = self.features(*FEATURES)[:-1]
         return covariates(self.baseline, *tables)
 
     @cached_property
     def hist(self) -> DataFrame:
-        return self.store.border("history", history(self.wide, *self.features("flags")))
+        tables = self.features(*FEATURES)
+        flags = [tables[list(FEATURES).index(n)] for n in ("diagnoses", "other_flags", "treatments")]
+        return self.store.border("history", history(self.wide, self.population, flags, self.los_divisor))
 
     @cached_property
     def lookback(self) -> DataFrame:
-        return nadir_lookback(self.source, self.hist, self.profile)
+        return self.store.border("lookback", nadir_lookback(self.source, self.population, self.profile))
 
     @cached_property
     def ratios(self) -> DataFrame:
-        return platelet_ratios(self.source, self.hist)
+        return self.store.border("ratios", platelet_ratios(self.source, self.population, self.day_origin))
 
     def table(self, name: str) -> DataFrame:
         """A result table by name; see ``RESULTS``."""
@@ -632,26 +698,37 @@ class ClinicalStudy:
                 writer.saveAsTable(f"{schema}.{name}")
 
 
+def attrition_stages(study: ClinicalStudy) -> dict[str, DataFrame]:
+    """The stays left, or set apart, at each step that has a published count."""
+    platelets = study.profile.filter(F.col("measure") == "platelet")
+    excluded = study.diagnoses.filter(F.col("excluding_diagnosis") == 1)
+    lookback = study.lookback
+    return {
+        "stays": study.subjects.withColumnRenamed("patientunitstayid", STAY),
+        "cohort": study.index,
+        "platelet_reading": platelets,
+        "platelet_before_index": platelets.filter(F.col("last_value").isNotNull()),
+        "baseline": study.baseline,
+        "excluded_diagnosis": study.baseline.join(excluded.select(STAY), STAY, "left_semi"),
+        "history": study.population,
+        "hgb_nadir": lookback,
+        "hgb_before_nadir": lookback.filter(F.col("max_hgb").isNotNull()),
+        "hgb_before_nadir_72h": lookback.filter(F.col("max_hgb72").isNotNull()),
+    }
+
+
 RESULTS = {
-    "subject_detail": lambda s: s.subjects,
+    "subject_detail": lambda s: s.subjects.drop("hosp_los"),
     "cohort": lambda s: cohort_view(s.treated, s.index),
     "cohort_stays": lambda s: s.index.select(STAY),
     "index_baseline": lambda s: baseline_view(s.baseline),
     "covariates": lambda s: covariates_view(s.wide),
     "history": lambda s: history_view(s.hist),
     "nadir_lookback": lambda s: s.lookback,
-    "study_table": lambda s: study_table(s.hist, s.lookback),
+    "study_table": lambda s: study_table(s.hist, s.lookback, s.pressure_weights),
     "platelet_ratios": lambda s: s.ratios,
     "daily_coverage": lambda s: tl.daily_coverage(s.ratios, STAY, "day_offset"),
-    "attrition": lambda s: co.attrition(
-        {
-            "stays": s.subjects.withColumnRenamed("patientunitstayid", STAY),
-            "cohort": s.index,
-            "baseline": s.baseline,
-            "history": s.hist,
-        },
-        STAY,
-    ),
+    "attrition": lambda s: co.attrition(attrition_stages(s), STAY),
 }
 
 

@@ -36,11 +36,22 @@ def _events(spark, sf_dir, *types: str) -> DataFrame:
     return events.filter(F.col("event_type").isin(*types)) if types else events
 
 
-def _index(spark, sf_dir) -> DataFrame:
+def _index_plan(spark, sf_dir) -> DataFrame:
     first = tl.index_event(_events(spark, sf_dir, "purchase"), USER, TS, "event_id", ["value"])
     return first.select(USER, F.col(TS).alias(INDEX_TS), F.col("value").alias("index_value"))
 
 
+def _index(spark, sf_dir) -> DataFrame:
+    """The index as a stage table: it is computed once however many parts of a
+    query read it, and Spark knows its size instead of guessing it from the
+    events."""
+    return _staged(spark, "index", _index_plan(spark, sf_dir))
+
+
+def _staged(spark, name: str, df: DataFrame) -> DataFrame:
+    return StageStore.for_session(spark).border(name, df)
+
+
 def _span():
     return F.expr("INTERVAL 72 HOURS")
 
@@ -111,7 +122,8 @@ def pattern_similar_text(spark, sf_dir):
 
 
 def pattern_within(spark, sf_dir):
-    """Readings by name, restricted to listed subjects, with a value."""
+    """Readings by name, restricted to listed subjects, with a value. Users with
+    an error above 120 are listed."""
     subjects = _events(spark, sf_dir, "error").filter("value > 120").select(USER)
     rows = co.match_rule(
         _events(spark, sf_dir), "event_type", like("%i%"), subjects, USER, "value"
@@ -134,8 +146,9 @@ def _stays(spark, sf_dir) -> DataFrame:
 
 def cohort(spark, sf_dir):
     treatments = _treatments(spark, sf_dir, "l_linenumber").drop("l_partkey", "p_type")
+    stays = _staged(spark, "stays", _stays(spark, sf_dir))
     rows = co.select_cohort(
-        treatments, _stays(spark, sf_dir), "o_orderkey", "p_name", RED_WIDGETS, "c_acctbal", 18
+        treatments, stays, "o_orderkey", "p_name", RED_WIDGETS, "c_acctbal", 18
     )
     return rows.select("o_orderkey", "l_linenumber", "p_name", "o_custkey", "c_acctbal")
 
@@ -150,7 +163,8 @@ def exclude_ids(spark, sf_dir):
 
 
 def not_in_list(spark, sf_dir):
-    """NOT IN as SQL defines it, against a list that could hold NULLs."""
+    """NOT IN as SQL defines it, against a list that could hold NULLs: customers
+    without an order above 300,000."""
     orders = _table(spark, sf_dir, "orders", "o_custkey", "o_totalprice")
     listed = orders.filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     customers = _table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
@@ -168,11 +182,7 @@ def variant_count_literal(spark, sf_dir):
     """Grouped by key and variant each count is 1: what remains are the keys
     without the excluded variant."""
     lines = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag")
-    group = ["l_orderkey", "l_returnflag"]
-    removed = lines.filter("l_returnflag = 'R'")
-    single = co.keys_with_variant_count(lines, group, "l_returnflag", 1, "l_orderkey")
-    double = co.keys_with_variant_count(lines, group, "l_returnflag", 2, "l_orderkey")
-    return co.union_keys(co.exclude(single, removed, "l_orderkey", unique=True), double)
+    return co.keys_without(lines, "l_orderkey", F.col("l_returnflag") == "R")
 
 
 def baseline_threshold(spark, sf_dir):
@@ -180,6 +190,7 @@ def baseline_threshold(spark, sf_dir):
 
 
 def exclude_by_flag(spark, sf_dir):
+    """An error above 150 is the flag."""
     high = _events(spark, sf_dir, "error").filter("value > 150")
     return co.exclude(_index(spark, sf_dir).select(USER, "index_value"), high, USER, unique=True)
 
@@ -188,13 +199,13 @@ def exclude_by_flag(spark, sf_dir):
 
 
 def index_event(spark, sf_dir):
-    return _index(spark, sf_dir).select(USER, micros(INDEX_TS).alias("index_us"), "index_value")
+    return _index_plan(spark, sf_dir).select(USER, micros(INDEX_TS).alias("index_us"), "index_value")
 
 
-def _last_view(spark, sf_dir, method="aggregate"):
+def _last_view(spark, sf_dir, method="aggregate", index=None):
     return tl.last_before(
         _events(spark, sf_dir, "view"),
-        _index(spark, sf_dir),
+        _index(spark, sf_dir) if index is None else index,
         USER,
         TS,
         "value",
@@ -295,8 +306,8 @@ def change_pairs(spark, sf_dir):
     return fe.keep_pair(pair, "base_last", "base_max", "base")
 
 
-def _flagged_onset(spark, sf_dir, times):
-    out = _index(spark, sf_dir).select(USER).join(times, USER, "left")
+def _flagged_onset(index, times):
+    out = index.select(USER).join(times, USER, "left")
     return out.select(
         USER,
         F.col("first_time").isNotNull().cast("int").alias("flag"),
@@ -305,17 +316,17 @@ def _flagged_onset(spark, sf_dir, times):
 
 
 def first_event_after(spark, sf_dir):
+    """Errors above 60 are the event."""
     errors = _events(spark, sf_dir, "error").filter("value > 60")
-    return _flagged_onset(
-        spark, sf_dir, tl.first_event_after(errors, _index(spark, sf_dir), USER, TS, INDEX_TS)
-    )
+    index = _index(spark, sf_dir)
+    return _flagged_onset(index, tl.first_event_after(errors, index, USER, TS, INDEX_TS))
 
 
 def new_onset(spark, sf_dir):
+    """Errors above 60 are the event, before the index too."""
     errors = _events(spark, sf_dir, "error").filter("value > 60")
-    return _flagged_onset(
-        spark, sf_dir, tl.new_onset(errors, _index(spark, sf_dir), USER, TS, INDEX_TS)
-    )
+    index = _index(spark, sf_dir)
+    return _flagged_onset(index, tl.new_onset(errors, index, USER, TS, INDEX_TS))
 
 
 def merged_measurements(spark, sf_dir):
@@ -331,14 +342,14 @@ def merged_measurements(spark, sf_dir):
 
 def source_union(spark, sf_dir):
     """Set union of keys and values of three sources."""
-    kinds = {"view": "value > 20", "click": "value > 10", "signup": "value > 30"}
-    parts = [_events(spark, sf_dir, k).filter(c).select(USER, "value") for k, c in kinds.items()]
+    parts = [_events(spark, sf_dir, k).select(USER, "value") for k in ("view", "click", "signup")]
     return tl.merge_sources(parts, "value")
 
 
 def _nadir(spark, sf_dir):
     rows = _extreme(spark, sf_dir, "view", "min")
-    return rows.select(USER, F.col("min_value").alias("nadir"), F.col("extreme_ts").alias("nadir_ts"))
+    nadir = rows.select(USER, F.col("min_value").alias("nadir"), F.col("extreme_ts").alias("nadir_ts"))
+    return _staged(spark, "nadir", nadir)
 
 
 def prior_window_extreme(spark, sf_dir):
@@ -383,8 +394,8 @@ DOCUMENT_RULES = {
 def history_flags(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     names = list(DOCUMENT_RULES)
-    flags = fl.pivot_flags([fl.flag_rows(docs, "doc_id", "text", DOCUMENT_RULES)], "doc_id", names)
-    return fl.add_flags(docs.select("doc_id"), flags, "doc_id", names)
+    # The flagged table is the subject table too, so the flags need no join.
+    return fl.flag_columns(docs, "doc_id", "text", DOCUMENT_RULES).select("doc_id", *names)
 
 
 def ever_flag(spark, sf_dir):
@@ -402,8 +413,7 @@ def timed_flags(spark, sf_dir):
         "click_ever": (like("click"), None),
     }
     index = _index(spark, sf_dir)
-    events = _events(spark, sf_dir).filter("value > 60")
-    rows = fl.timed_flag_rows(events, index, USER, TS, INDEX_TS, "event_type", rules)
+    rows = fl.timed_flag_rows(_events(spark, sf_dir), index, USER, TS, INDEX_TS, "event_type", rules)
     flags = fl.pivot_flags([rows], USER, list(rules))
     return fl.add_flags(index.select(USER), flags, USER, list(rules))
 
@@ -422,9 +432,8 @@ def multi_source_flag(spark, sf_dir):
     treatments = _treatments(spark, sf_dir)
     listed = fl.any_source_flag(
         [
-            (treatments, "p_name", similar("%red%(ring|rod)%")),
-            (treatments, "p_type", like("promo")),
-            (orders, "o_orderpriority", like("%urgent%")),
+            (treatments, {"p_name": similar("%red%(ring|rod)%"), "p_type": like("promo")}),
+            (orders, {"o_orderpriority": like("%urgent%")}),
         ],
         "o_orderkey",
     )
@@ -462,7 +471,7 @@ def _feature_wide(spark, sf_dir, index=None, profile=None) -> DataFrame:
     onsets = tl.onset_times(_events(spark, sf_dir), index, USER, TS, INDEX_TS, high, ["error_time"])
     customer = _table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_acctbal")
     customer = customer.withColumnRenamed("c_custkey", USER)
-    return fe.assemble(index, USER, [customer, tl.pivot_profile(profile, USER, columns), onsets])
+    return fe.assemble(index, USER, [customer, tl.pivot_profile(profile, USER, columns), onsets], unique=True)
 
 
 def feature_matrix(spark, sf_dir):
@@ -501,9 +510,10 @@ def _ratios(spark, sf_dir) -> DataFrame:
     base = tl.last_before(
         _events(spark, sf_dir, "view"), index, USER, TS, "value", INDEX_TS, "event_id", out="base"
     )
-    base = index.select(USER, INDEX_TS).join(base, USER)
+    base = _staged(spark, "base", index.select(USER, INDEX_TS).join(base, USER))
+    readings = _events(spark, sf_dir, "view").select(USER, TS, "event_id", "value")
     return tl.ratio_series(
-        _events(spark, sf_dir, "view"), base, USER, TS, "value", INDEX_TS, "base"
+        readings, base, USER, TS, "value", INDEX_TS, "base"
     ).withColumns(
         {
             "ratio": round_to(divide("value", "base"), 3),
@@ -525,7 +535,7 @@ def event_pipeline(spark, sf_dir):
     user with a baseline and a nadir, in one row each. The index and the profile
     are stage tables: both have several readers, which then know their size."""
     store = StageStore.for_session(spark)
-    index = store.border("index", _index(spark, sf_dir))
+    index = store.border("index", _index_plan(spark, sf_dir))
     profile = store.border("profile", _profile_at(spark, sf_dir, index))
     wide = _feature_wide(spark, sf_dir, index, profile)
     nadir = profile.filter((F.col("measure") == "view") & F.col("min_value").isNotNull())
@@ -567,7 +577,7 @@ def event_pipeline(spark, sf_dir):
 
 def attrition(spark, sf_dir):
     index = _index(spark, sf_dir)
-    base = _last_view(spark, sf_dir)
+    base = _staged(spark, "base", _last_view(spark, sf_dir, index=index))
     return co.attrition(
         {
             "users": _events(spark, sf_dir).select(USER),

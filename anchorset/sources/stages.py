@@ -11,30 +11,43 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _is_local(master: str) -> bool:
+    """One machine: executors and driver share its disk."""
+    return master.split("[")[0] in ("local", "local-cluster")
+
+
 class StageStore:
     """Where a pipeline keeps its stage tables.
 
     Each stage is written as Parquet (overwriting what an earlier run left) and
     read back: it is computed once, its lineage ends at a table that outlives
-    any executor, and Spark knows the exact size of what it joins next.
+    any executor, and Spark knows the exact size of what it joins next. With
+    ``resume`` a stage that an earlier run has completed is read instead.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, resume: bool = False):
+        self.spark, self.folder, self.resume = spark, folder.rstrip("/"), resume
 
     @classmethod
-    def for_session(cls, spark: SparkSession) -> StageStore:
-        """A new folder below the session's shared checkpoint folder
-        (``spark.checkpoint.dir``).
+    def for_session(cls, spark: SparkSession, run_id: str | None = None) -> StageStore:
+        """A folder below the session's shared checkpoint folder
+        (``spark.checkpoint.dir``): a new one, or that of the named run, whose
+        completed stages are then used again.
 
-        Where that is unset, a local session gets a temporary folder that goes
-        away with the process. A cluster has to name a folder, because its
-        executors share no local disk.
+        Where the setting is unset, a local session gets a temporary folder that
+        goes away with the process. A cluster has to name a folder that all its
+        executors share, so a ``file:`` path is refused there unless
+        ``spark.anchorset.sharedFiles`` states that it is a shared mount.
         """
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        local = _is_local(spark.conf.get("spark.master", ""))
         if shared:
-            return cls(spark, f"{shared.rstrip('/')}/stages-{uuid.uuid4().hex}")
-        if not spark.conf.get("spark.master", "").startswith("local"):
+            own_disk = shared.startswith("file:") and spark.conf.get("spark.anchorset.sharedFiles", "") != "true"
+            if own_disk and not local:
+                raise ValueError("spark.checkpoint.dir is a local path, which executors do not share")
+            name = f"stages-{run_id or uuid.uuid4().hex}"
+            return cls(spark, f"{shared.rstrip('/')}/{name}", resume=run_id is not None)
+        if not local:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="stages-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -42,9 +55,26 @@ class StageStore:
 
     def border(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        if not (self.resume and self._complete(path)):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def _complete(self, path: str) -> bool:
+        """A job that ended well leaves a marker; one that broke off does not."""
+        marker = self._hadoop_path(f"{path}/_SUCCESS")
+        return marker.getFileSystem(self._hadoop_conf()).exists(marker)
+
+    def remove(self) -> None:
+        """Delete the run's folder; tables read from it are gone then."""
+        folder = self._hadoop_path(self.folder)
+        folder.getFileSystem(self._hadoop_conf()).delete(folder, True)
+
+    def _hadoop_path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _hadoop_conf(self):
+        return self.spark.sparkContext._jsc.hadoopConfiguration()
+
     def borders(self, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """Stages that do not depend on one another, written at the same time so
         that a short one does not leave the cluster idle."""

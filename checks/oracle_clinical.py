@@ -355,7 +355,8 @@ def _query(body: str) -> str:
             needed.add(name)
             text += " " + sql
     steps = ", ".join(f"{n} AS MATERIALIZED ({sql})" for n, sql in _STEPS.items() if n in needed)
-    return f"WITH {steps} {body}"
+    inner = body.lstrip()
+    return f"WITH {steps}, {inner[5:]}" if inner.startswith("WITH ") else f"WITH {steps} {body}"
 
 
 _BODIES = {
@@ -389,8 +390,24 @@ _BODIES = {
     "attrition": """
         SELECT 1 AS step, 'stays' AS stage, count(DISTINCT patientunitstayid) AS subjects FROM patient
         UNION ALL SELECT 2, 'cohort', count(DISTINCT icustay_id) FROM chosen
-        UNION ALL SELECT 3, 'baseline', count(DISTINCT icustay_id) FROM with_plt
-        UNION ALL SELECT 4, 'history', count(DISTINCT icustay_id) FROM hist""",
+        UNION ALL SELECT 3, 'platelet_reading', count(DISTINCT icustay_id) FROM readings
+          WHERE contains(name, 'platelet')
+        UNION ALL SELECT 4, 'platelet_before_index', count(DISTINCT icustay_id) FROM readings
+          WHERE contains(name, 'platelet') AND labresultoffset <= treatmentoffset
+        UNION ALL SELECT 5, 'baseline', count(DISTINCT icustay_id) FROM with_plt
+        UNION ALL SELECT 6, 'excluded_diagnosis', count(DISTINCT icustay_id) FROM with_plt
+          WHERE icustay_id NOT IN (SELECT icustay_id FROM hist)
+        UNION ALL SELECT 7, 'history', count(DISTINCT icustay_id) FROM hist
+        UNION ALL SELECT 8, 'hgb_nadir', count(DISTINCT icustay_id) FROM lookback
+        UNION ALL SELECT 9, 'hgb_before_nadir', count(DISTINCT icustay_id) FROM lookback WHERE max_hgb IS NOT NULL
+        UNION ALL SELECT 10, 'hgb_before_nadir_72h', count(DISTINCT icustay_id) FROM lookback
+          WHERE max_hgb72 IS NOT NULL""",
+    "cohort_intent": """
+        WITH v AS (SELECT icustay_id, count(DISTINCT treatmentstring) AS n,
+                          bool_or(contains(lower(treatmentstring), 'removal')) AS removed
+                   FROM treated GROUP BY icustay_id)
+        SELECT * EXCLUDE (hospitaladmitoffset, ethnicity) FROM treated
+        WHERE icustay_id IN (SELECT icustay_id FROM v WHERE n = 2 OR (n = 1 AND NOT removed))""",
 }
 
 ORACLES = {f"clinical_{name}": _query(body) for name, body in _BODIES.items()}

@@ -246,7 +246,20 @@ def test_ratios_and_coverage(study):
 
 def test_attrition_shrinks(study):
     got = [tuple(r) for r in study.table("attrition").orderBy("step").collect()]
-    assert got == [(1, "stays", 12), (2, "cohort", 6), (3, "baseline", 4), (4, "history", 3)]
+    # Stay 9 starts below the limit, 12 has no later reading, 10 is excluded, and
+    # only stay 1 has haemoglobin readings after the index.
+    assert got == [
+        (1, "stays", 12),
+        (2, "cohort", 6),
+        (3, "platelet_reading", 6),
+        (4, "platelet_before_index", 6),
+        (5, "baseline", 4),
+        (6, "excluded_diagnosis", 1),
+        (7, "history", 3),
+        (8, "hgb_nadir", 1),
+        (9, "hgb_before_nadir", 1),
+        (10, "hgb_before_nadir_72h", 1),
+    ]
 
 
 def test_results_survive_a_second_write(spark, data, tmp_path):
@@ -301,6 +314,69 @@ def test_stage_folder_of_a_session():
     assert StageStore.for_session(Session()).folder
 
 
+def test_a_local_path_is_refused_on_a_cluster():
+    class Session:
+        conf = _Conf({"spark.checkpoint.dir": "file:///tmp/x", "spark.master": "spark://a:7077"})
+
+    with pytest.raises(ValueError, match="local path"):
+        StageStore.for_session(Session())
+    Session.conf["spark.anchorset.sharedFiles"] = "true"
+    assert StageStore.for_session(Session(), "run7").folder == "file:///tmp/x/stages-run7"
+    Session.conf = _Conf({"spark.checkpoint.dir": "file:///tmp/x", "spark.master": "local-cluster[2,1,1024]"})
+    assert StageStore.for_session(Session()).folder.startswith("file:///tmp/x/stages-")
+
+
+def test_a_named_run_goes_on_where_it_stopped(spark, tmp_path):
+    first = StageStore(spark, f"{tmp_path}/run", resume=True)
+    assert first.border("a", spark.range(3)).count() == 3
+    again = StageStore(spark, f"{tmp_path}/run", resume=True)
+    assert again.border("a", spark.range(9)).count() == 3  # completed, so read
+    (tmp_path / "run" / "a" / "_SUCCESS").unlink()
+    assert again.border("a", spark.range(9)).count() == 9  # broken off, so written anew
+    again.remove()
+    assert not (tmp_path / "run").exists()
+
+
+def test_parameters_of_the_study(spark, data, tmp_path):
+    frames = {n: spark.createDataFrame(rows, SCHEMAS[n]) for n, rows in data.items()}
+    source = FrameSource(frames)
+    plain = clinical.ClinicalStudy(source, StageStore(spark, f"{tmp_path}/a"))
+    other = clinical.ClinicalStudy(
+        source, StageStore(spark, f"{tmp_path}/b"), day_origin="index", los_divisor=1440, pressure_weights=(1 / 3, 2 / 3)
+    )
+    days = [
+        sorted((r["icustay_id"], r["labresultoffseth"]) for r in s.table("platelet_ratios").collect())
+        for s in (plain, other)
+    ]
+    # Readings at minutes 1100 and 2500, index at 1000.
+    assert days[0][:2] == [(1, 18.0), (1, 41.0)] and days[1][:2] == [(1, 1.0), (1, 25.0)]
+    bp = [{r["icustay_id"]: r["map_bp"] for r in s.table("study_table").collect()} for s in (plain, other)]
+    assert bp[0][1] != bp[1][1]
+    with pytest.raises(ValueError):
+        clinical.ClinicalStudy(source, StageStore(spark, f"{tmp_path}/c"), day_origin="birth")
+
+
+def test_integer_pressures_divide_as_integers(spark):
+    from anchorset.functions.scores import weighted_pressure
+
+    df = spark.createDataFrame([(s, 70) for s in (120, 119, -119, 100, None)], "s int, d int")
+    got = [r[0] for r in df.select(weighted_pressure("s", "d", 1 / 3, 0.0, whole=True)).collect()]
+    assert got == [40.0, 39.0, -39.0, 33.0, None]
+    assert df.select(weighted_pressure("s", "d", 1 / 3, 0.0)).first()[0] == 40.0
+
+
+def test_features_with_several_rows_are_refused(spark):
+    from pyspark.sql import functions as F
+
+    from anchorset.operators.features import assemble
+
+    cohort = spark.createDataFrame([(1,), (2,)], "k int")
+    good = spark.createDataFrame([(1, "a"), (None, "x"), (None, "y")], "k int, v string")
+    assert sorted(map(tuple, assemble(cohort, "k", [good]).collect()), key=str) == [(1, "a"), (2, None)]
+    with pytest.raises(Exception, match="several feature rows"):
+        assemble(cohort, "k", [good.withColumn("k", F.lit(1))]).collect()
+
+
 def test_a_missing_column_is_named(spark, data, tmp_path):
     frames = {n: spark.createDataFrame(rows, SCHEMAS[n]) for n, rows in data.items()}
     frames["lab"] = frames["lab"].drop("labresult")

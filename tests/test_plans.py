@@ -3,10 +3,14 @@
 import pytest
 
 import __spark_entry__ as entry
+from anchorset.operators.joins import HOT_ROWS_SETTING
+from anchorset.plans import bindings, clinical, registry
 from anchorset.plans import event_orders as eo
+from anchorset.sources.stages import StageStore
+from anchorset.sources.tables import TableSource
 
 SF = "/root/testdata/sf0.01"
-EVENT_QUERIES = [n for n in entry.queries() if not n.startswith("clinical_")]
+EVENT_QUERIES = list(eo.QUERIES)
 
 
 def plan(df) -> str:
@@ -39,17 +43,66 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_split_joins_scan_only_what_is_used(no_broadcast):
-    """The split hashes whole rows, so operators cut them to what they read."""
-    text = plan(eo.cohort(no_broadcast, SF))
-    assert "xxhash64" in text
-    for unused in ("l_shipdate", "l_quantity", "o_orderdate", "p_type"):
-        assert unused not in text
-    text = plan(eo.last_before(no_broadcast, SF))
-    assert "xxhash64" in text and "props" not in text
-    text = plan(eo.extreme_after_min(no_broadcast, SF))
-    scans = [line for line in text.splitlines() if "FileScan" in line]
-    # Only the index event needs the event id.
-    assert len(scans) > 1 and sum("event_id" in line for line in scans) == 1
+    """Operators cut whole rows to what they read before a key is split."""
+    no_broadcast.conf.set(HOT_ROWS_SETTING, "1")
+    try:
+        text = plan(eo.cohort(no_broadcast, SF))
+        assert "xxhash64" in text
+        for unused in ("l_shipdate", "l_quantity", "o_orderdate", "p_type"):
+            assert unused not in text
+        text = plan(eo.last_before(no_broadcast, SF))
+        assert "xxhash64" in text and "props" not in text
+        text = plan(eo.extreme_after_min(no_broadcast, SF))
+        assert "xxhash64" in text and "event_id" not in text
+    finally:
+        no_broadcast.conf.unset(HOT_ROWS_SETTING)
+
+
+def test_a_cohort_of_known_size_is_broadcast(spark):
+    text = plan(eo.cohort(spark, "/root/testdata/sf0.1"))
+    assert "BroadcastHashJoin" in text and "xxhash64" not in text and "SortMergeJoin" not in text
+
+
+SCANS = {"variant_count_literal": ("lineitem", 1), "multi_source_flag": ("lineitem", 1), "history_flags": ("documents", 1)}
+
+
+@pytest.mark.parametrize("name", SCANS)
+def test_one_scan(spark, no_broadcast, name):
+    table, scans = SCANS[name]
+    text = plan(eo.QUERIES[name](spark, SF))
+    assert sum(f"{table}.parquet" in line for line in text.splitlines() if "FileScan" in line) == scans
+
+
+# Scans of each table in one build of all clinical results.
+STUDY_SCANS = {"treatment": 2, "patient": 1, "apachepatientresult": 1, "lab": 3, "diagnosis": 1, "medication": 1}
+
+
+def test_scans_of_the_whole_study(spark, tmp_path):
+    """Counted where plans run: every table is a folder of its own."""
+    # Plans show whole paths.
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    source = bindings.clinical_source(spark, "/root/testdata/sf0.001")
+    for name, columns in registry.TABLES.items():
+        source.table(name, columns).write.parquet(f"{tmp_path}/in/{name}.parquet")
+    queue = StageStore(spark, f"{tmp_path}/stages")
+    border = queue.border
+    paths = TableSource(spark, path=f"{tmp_path}/in")
+    counts = dict.fromkeys(STUDY_SCANS, 0)
+
+    def counted(name, df):
+        for table in counts:
+            counts[table] += plan(df).count(f"/in/{table}.parquet]")
+        return border(name, df)
+
+    queue.border = counted
+    study = clinical.ClinicalStudy(paths, queue)
+    for name in clinical.RESULTS:
+        result = study.table(name)
+        for table in counts:
+            counts[table] += plan(result).count(f"/in/{table}.parquet]")
+    spark.conf.set("spark.sql.maxMetadataStringLength", before)
+    assert counts == STUDY_SCANS
 
 
 def test_measures_are_pushed_down(spark):
