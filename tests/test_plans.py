@@ -99,7 +99,7 @@ def test_scans_of_the_whole_study(spark, tmp_path):
     for name in clinical.RESULTS:
         plans.append(plan(study.table(name)))
     spark.conf.set("spark.sql.maxMetadataStringLength", before)
-    assert {t: sum(p.count(f"/in/{t}.parquet]") for p in plans} for t in STUDY_SCANS} == STUDY_SCANS
+    assert {t: sum(p.count(f"/in/{t}.parquet]") for p in plans) for t in STUDY_SCANS} == STUDY_SCANS
 
 
 def test_measures_are_pushed_down(spark):
