@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .text import clash_free, slices
+from .text import clash_free, kind_of, slices
 
 # Memory of a worker is bounded: pieces live in two generations of this size, the
 # older of which is dropped when the younger is full; pairs are forgotten at once.
@@ -167,7 +167,7 @@ def _digests(batch: pa.RecordBatch, tok: Tokenizer) -> pa.RecordBatch:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the token ids of every text. ``path`` is the rank file's place
     on every worker."""
-    kind = docs.select(f"`{id_col}`").schema[0].dataType.simpleString()
+    kind = kind_of(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         tok = tokenizer(path, pattern)
@@ -181,7 +181,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text bytes) from token ids; null ids give empty bytes."""
-    kind = encoded.select(f"`{id_col}`").schema[0].dataType.simpleString()
+    kind = kind_of(encoded, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         tok = tokenizer(path, pattern)
@@ -198,7 +198,7 @@ def token_digests(
     """Encode and decode every text and return its token count and the SHA-256
     of its ids (decimal, joined by commas) and of the decoded bytes, without
     moving the ids between stages."""
-    kind = docs.select(f"`{id_col}`").schema[0].dataType.simpleString()
+    kind = kind_of(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         tok = tokenizer(path, pattern)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .text import clash_free
+from .text import clash_free, kind_of
 
 BLOCK_CHARS = 1 << 20
 
@@ -197,7 +197,7 @@ def format_conversations(
     """(id, block, formatted, ids, loss mask): the formatted text of every
     conversation with its tokens; block is 0 unless a conversation is longer
     than ``block_chars``. ``path`` is a tokenizer file on every worker."""
-    kind = rows.select(f"`{id_col}`").schema[0].dataType.simpleString()
+    kind = kind_of(rows, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         block = 0
@@ -221,7 +221,7 @@ def format_digests(
 ) -> DataFrame:
     """One row per conversation with what its formatted text and loss mask give
     when they are read back."""
-    kind = rows.select(f"`{id_col}`").schema[0].dataType.simpleString()
+    kind = kind_of(rows, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         done, digest = [], None

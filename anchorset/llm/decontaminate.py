@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stages import StageStore
-from .text import clash_free
+from .text import clash_free, place_of
 
 WIDTH = 5
 SHARE = (8, 10)
@@ -156,7 +156,7 @@ def clean_documents(
     and text, so of several rows with one id, or none, only those that match go."""
     found = _matches(docs, items, id_col, text_col, item_col, item_text_col, SHARE)
     places = [f"_{i}" for i in range(len(docs.columns))]
-    whose, text = (places[docs.columns.index(c)] for c in (id_col, text_col))
+    whose, text = (places[place_of(docs, c)] for c in (id_col, text_col))
     plain = docs.toDF(*places).withColumns({"k1": F.xxhash64(F.lit(1), whose), "k2": F.xxhash64(F.lit(2), text)})
     return plain.join(found.select(*_KEY).distinct(), _KEY, "left_anti").select(*places).toDF(*docs.columns)
 

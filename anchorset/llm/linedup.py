@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stages import StageStore
-from .text import _SPACE, clash_free, lines, list_array, slices, span_hashes, utf8
+from .text import _SPACE, clash_free, kind_of, lines, list_array, place_of, slices, span_hashes, utf8
 
 BLOCK_WORDS = 20
 
@@ -125,7 +125,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, id, lines, words): hashes and word counts of all lines."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = kind_of(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -224,7 +224,7 @@ def remove_repeated_lines(
     found = repeated_lines(docs, id_col, text_col, least_words)
     # By position, since columns may have names used here or names that need quotes.
     places = [f"_{i}" for i in range(len(docs.columns))]
-    whose, text = (places[docs.columns.index(c)] for c in (id_col, text_col))
+    whose, text = (places[place_of(docs, c)] for c in (id_col, text_col))
     # The list grows with the input: it is merged at every size, not broadcast while small.
     joined = _keyed(docs.toDF(*places), whose, text).join(found.hint("merge"), _KEY, "left")
     parts = F.split(F.col(text), "\n", -1)

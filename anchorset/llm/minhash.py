@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..sources.stages import StageStore
 from .linking import link_classes, parity_bits
-from .text import SLICE_BYTES, clash_free, distinct, list_array, mix, shingles, slices, stream, utf8, words
+from .text import SLICE_BYTES, clash_free, distinct, kind_of, list_array, mix, shingles, slices, stream, utf8, words
 
 WIDTH = 5
 PERMUTATIONS = 128
@@ -93,7 +93,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, n, set_a, set_b, keys, bits) with one key per band."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = kind_of(docs, id_col)
     rows_per_band = PERMUTATIONS // BANDS
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -124,7 +124,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = kind_of(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

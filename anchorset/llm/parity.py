@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..sources.stages import StageStore
 from .linking import link_classes, parity_bits
-from .text import clash_free, distinct, list_array, mix, shingles, slices, stream, utf8, words
+from .text import clash_free, distinct, kind_of, list_array, mix, shingles, slices, stream, utf8, words
 
 WIDTH = 3
 SHARE = (90, 100)
@@ -96,7 +96,7 @@ def _sets(part: pa.RecordBatch, at: int, width: int) -> tuple[np.ndarray, np.nda
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, share: tuple[int, int]) -> DataFrame:
     """(id, n, set_a, set_b, keys, bits): size, 128-bit digest, keys of the
     sketch parts and the short sketch."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = kind_of(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, share: t
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, values): the distinct shingle hashes of every text."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = kind_of(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

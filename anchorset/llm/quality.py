@@ -1,12 +1,14 @@
 """Quality classifier: importance resampling with hashed n-gram models.
 
-Words and runs of punctuation, alone and in pairs, are hashed into ``2**BITS``
-buckets. Two generative models are counted over whole texts: the target model
-over documents labelled good (quality 1, not toxic), the raw model over all
-documents. A document's weight is the log ratio of both models summed over its
-n-grams and divided by the square root of their number. Where the target count
-of a bucket lies within ``SIGMAS`` standard errors of what the raw model
-expects, the target model backs off to the raw one, so rare n-grams say nothing.
+Words and runs of punctuation are hashed into ``2**BITS`` buckets; one more
+bucket counts the pairs in which a word follows itself. Two generative models are
+counted over whole texts: the target model over documents labelled good (quality
+1, not toxic), the raw model over all documents. A document's weight is the log
+ratio of both models summed over its n-grams and divided by the square root of
+their number. A bucket only counts as evidence where the target count is at most
+``LEAST_RATIO`` of what the raw model expects and lies ``SIGMAS`` standard errors
+below it; elsewhere the target model backs off to the raw one. Ratios above one
+are cut to one, so long runs of common words do not outweigh bad ones.
 
 Documents are then drawn without replacement by Gumbel top-k: the key is
 weight / TEMPERATURE + Gumbel noise, and k is the number of documents whose
@@ -36,14 +38,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.stages import StageStore
-from .text import _FOLD, _SPACE, clash_free, shingles, slices, span_hashes, utf8
+from .text import _FOLD, _SPACE, clash_free, place_of, slices, span_hashes, utf8
 
-BITS = 18
+BITS = 20
 TARGET_ROWS = 1 << 18
 SIGMAS = 3.5
-PRIOR = 2.0
+LEAST_RATIO = 0.4
+PRIOR = 0.5
 TEMPERATURE = 0.01
 SEED = 7
+BUCKETS = (1 << BITS) + 1
 _BINS = 2048
 
 # Byte classes; 0 white space, 1 letters, digits and bytes beyond ASCII, 2 the rest.
@@ -52,9 +56,9 @@ _CLASS[:128] = [0 if _SPACE[b] else 1 if chr(b).isalnum() else 2 for b in range(
 
 
 def _ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of every n-gram (n = 1, 2)."""
+    """Bucket and row of every word, and of every word that repeats the one
+    before it."""
     data, offsets = utf8(column)
-    n_rows = len(offsets) - 1
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     kind = _CLASS[data]
@@ -66,10 +70,10 @@ def _ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inside = kind[starts] > 0
     starts, ends = starts[inside], ends[inside]
     row = np.searchsorted(offsets, starts, "right") - 1
-    single = span_hashes(_FOLD[data], starts, ends)
-    pair, pair_row = shingles(single, row, n_rows, 2)
-    buckets = np.concatenate([single, pair]) >> np.uint64(64 - BITS)
-    return buckets.astype(np.int64), np.concatenate([row, pair_row])
+    word = span_hashes(_FOLD[data], starts, ends)
+    again = row[1:][(word[1:] == word[:-1]) & (row[1:] == row[:-1])]
+    buckets = np.concatenate([(word >> np.uint64(64 - BITS)).astype(np.int64), np.full(len(again), 1 << BITS)])
+    return buckets, np.concatenate([row, again])
 
 
 def good_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -87,26 +91,32 @@ def ngram_models(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", te
     )
 
     def count(batches: Iterator[pa.RecordBatch]):
-        counts = np.zeros((2, 1 << BITS), np.int64)
+        counts = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             for part in slices(batch, text_col):
                 buckets, row = _ngrams(part.column(0))
-                counts[0] += np.bincount(buckets, minlength=1 << BITS)
+                counts[0] += np.bincount(buckets, minlength=BUCKETS)
                 chosen = part.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-                counts[1] += np.bincount(buckets[chosen[row]], minlength=1 << BITS)
+                counts[1] += np.bincount(buckets[chosen[row]], minlength=BUCKETS)
         seen = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, *counts[:, seen])], ["bucket", "raw", "target"])
 
     counted = flagged.select(text_col, "_target").mapInArrow(count, "bucket bigint, raw bigint, target bigint")
-    rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
+    rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    bucket = rows.column("bucket").to_numpy()
+    raw[bucket], target[bucket] = rows.column("raw").to_numpy(), rows.column("target").to_numpy()
+    return log_ratio(raw, target)
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The evidence of every bucket against a document, at most 0."""
     if target.sum() == 0:
-        return np.zeros(1 << BITS)
+        return np.zeros(len(raw), np.float32)
     expected = raw * (target.sum() / raw.sum())
-    ratio = np.log((target + PRIOR) / (expected + PRIOR))
-    ratio[np.abs(target - expected) < SIGMAS * np.sqrt(expected + 1)] = 0
-    return ratio
+    ratio = (target + PRIOR) / (expected + PRIOR)
+    clear = (expected - target >= SIGMAS * np.sqrt(expected + 1)) & (ratio <= LEAST_RATIO)
+    return np.where(clear, np.log(ratio), 0).astype(np.float32)
 
 
 def gumbel(seed: int, *columns: str):
@@ -225,7 +235,7 @@ def drawn_documents(
     draw = _Draw(docs, labels, id_col, text_col, target_rows, k)
     shared, least_key, columns = docs.sparkSession.sparkContext.broadcast(draw.ratio), draw.least_key, len(docs.columns)
     places = [f"_{i}" for i in range(columns)]
-    where, whose = (docs.columns.index(c) for c in (text_col, id_col))
+    where, whose = (place_of(docs, c) for c in (text_col, id_col))
 
     def choose(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stages import StageStore
-from .text import _BYTE, _INVERSE, _POWER, clash_free, list_array, mix, slices, stream, utf8
+from .text import _BYTE, _INVERSE, _POWER, clash_free, kind_of, list_array, mix, slices, stream, utf8
 
 LEAST = 400
 ANCHOR = 128
@@ -375,7 +375,7 @@ def remove_repeats(
     store = StageStore.for_session(docs.sparkSession)
     keyed = _keyed(clash_free(docs, id_col, text_col), id_col, text_col)
     lists = repeated_windows(keyed, text_col, store, least, min(anchor, least), hot_segments, bucket_bytes)
-    kind = docs.select(f"`{id_col}`").schema[0].dataType.simpleString()
+    kind = kind_of(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

@@ -186,10 +186,22 @@ def list_array(values: np.ndarray, rows: np.ndarray, n_rows: int, kind=None) ->
 def clash_free(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, found by exact name first; a table may carry any
     others, also ones that differ in case only or hold dots."""
-    out = []
-    for name in columns:
-        exact = [c for c in df.columns if c == name] or [c for c in df.columns if c.lower() == name.lower()]
-        if len(exact) != 1:
-            raise ValueError(f"column {name} is missing or given more than once")
-        out.append(F.col(f"`{exact[0]}`").alias(name))
-    return df.select(*out)
+    places = [f"_{i}" for i in range(len(df.columns))]
+    return df.toDF(*places).select(*(F.col(places[place_of(df, c)]).alias(c) for c in columns))
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """The position of a column, by exact name or else by the only name that
+    differs in case."""
+    for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        found = [i for i, c in enumerate(df.columns) if same(c)]
+        if len(found) == 1:
+            return found[0]
+        if found:
+            break
+    raise ValueError(f"column {name} is missing or given more than once")
+
+
+def kind_of(df: DataFrame, name: str) -> str:
+    """A column's type as it stands in a schema string."""
+    return df.schema[place_of(df, name)].dataType.simpleString()

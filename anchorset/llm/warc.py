@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import subject_join
 from ..sources.stages import StageStore
-from .text import clash_free
+from .text import clash_free, kind_of
 
 LEAST_SHARED = 1000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -390,7 +390,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str, texts:
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write all pages to archives in the shared folder and read them back."""
     spark = pages.sparkSession
-    kind = pages.select(f"`{id_col}`").schema[0].dataType.simpleString()
+    kind = kind_of(pages, id_col)
     store = StageStore.for_session(spark)
     folder = f"{store.folder}/archives"
     archives = store.border("archive_list", write_archives(pages, folder, id_col, url_col, payload_col))

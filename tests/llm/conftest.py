@@ -29,9 +29,8 @@ def clashing():
     def add(df):
         from pyspark.sql import functions as F
 
-        extra = ("k1", "k2", "n", "id", "m", "start", "keys", "a.b", "bucket", "_gumbel", "item", "weight")
-        for name in extra:
-            df = df.withColumn(name, F.lit("x"))
-        return df
+        extra = ("k1", "k2", "n", "id", "m", "start", "keys", "a.b", "bucket", "_gumbel", "item", "weight", "_0")
+        # One name differs from a real column in case only; withColumn would replace that.
+        return df.select("*", *(F.lit("x").alias(name) for name in (*extra, "TEXT")))
 
     return add

@@ -1,5 +1,7 @@
 """Importance resampling against a plain computation, and its accuracy."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,29 +38,33 @@ def test_unlabelled_documents_are_told_apart(labelled):
 def test_weights_equal_a_plain_computation(labelled):
     docs, labels = labelled
     good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and r["toxic"] == 0}
+    # Words, and one n-gram for all words that repeat the one before.
     grams = {}
     for r in docs.collect():
-        # Words only: the few other signs make tokens of their own.
         tokens = r["text"].split()
-        grams[r["doc_id"]] = [(t,) for t in tokens] + list(zip(tokens, tokens[1:]))
-    raw, target = {}, {}
-    for i, own in grams.items():
-        for g in own:
-            raw[g] = raw.get(g, 0) + 1
-            if i in good:
-                target[g] = target.get(g, 0) + 1
+        grams[r["doc_id"]] = tokens + ["again" for a, b in zip(tokens, tokens[1:]) if a == b]
+    raw = Counter(g for own in grams.values() for g in own)
+    target = Counter(g for i, own in grams.items() if i in good for g in own)
     share = sum(target.values()) / sum(raw.values())
 
-    def ratio(g):
-        t, e = target.get(g, 0), raw[g] * share
-        far = abs(t - e) >= quality.SIGMAS * np.sqrt(e + 1)
-        return np.log((t + quality.PRIOR) / (e + quality.PRIOR)) if far else 0.0
+    def evidence(g):
+        t, e = target[g], raw[g] * share
+        ratio = (t + quality.PRIOR) / (e + quality.PRIOR)
+        clear = e - t >= quality.SIGMAS * np.sqrt(e + 1) and ratio <= quality.LEAST_RATIO
+        return np.log(ratio) if clear else 0.0
 
     found = {r["doc_id"]: r["weight"] for r in quality.resample(docs, labels).collect()}
-    plain = {i: sum(map(ratio, own)) / np.sqrt(len(own)) for i, own in grams.items()}
-    # About 1,600 n-grams share 2**18 buckets, so a few may fall together.
-    close = [abs(found[i] - plain[i]) < 1e-9 for i in plain]
-    assert np.mean(close) > 0.9
+    plain = {i: sum(map(evidence, own)) / np.sqrt(len(own)) for i, own in grams.items()}
+    assert all(abs(found[i] - plain[i]) < 1e-5 for i in plain) and min(plain.values()) < -1
+
+
+def test_repeated_words_are_evidence(spark, docs_of):
+    rng = np.random.default_rng(2)
+    common = [f"w{i}" for i in range(60)]
+    texts = [" ".join([str(rng.choice(common))] * 50 if i % 4 == 0 else rng.choice(common, 50)) for i in range(1, 201)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(1, 101)], LABELS)
+    kept = {r["doc_id"]: r["keep"] for r in quality.resample(docs_of(texts), labels).collect()}
+    assert np.mean([kept[i] == (i % 4 != 0) for i in range(101, 201)]) > 0.95
 
 
 def test_k_is_kept_exactly(labelled):

@@ -66,5 +66,8 @@ def test_equal_spans_hash_alike_anywhere():
 def test_columns_are_found_by_exact_name(spark):
     df = spark.createDataFrame([(1, "x", "y")], "doc_id int, text string, `a.b` string")
     assert T.clash_free(df, "text", "a.b").columns == ["text", "a.b"]
+    twin = df.toDF("doc_id", "text", "TEXT")
+    assert T.clash_free(twin, "TEXT").first()[0] == "y" and T.clash_free(twin, "text").first()[0] == "x"
+    assert T.clash_free(df, "DOC_ID").first()[0] == 1 and T.kind_of(twin, "doc_id") == "int"
     with pytest.raises(ValueError):
         T.clash_free(df, "missing")
