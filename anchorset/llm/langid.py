@@ -103,9 +103,16 @@ def training_rows(
     """Presence rows and languages of the bounded sample."""
     rows = clash_free(docs, id_col, text_col, lang_col)
     usable = rows.filter(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    first = usable.select(id_col, lang_col).withColumn("rank", F.row_number().over(order))
-    ids = first.filter(F.col("rank") <= per_lang).select(id_col, lang_col).distinct()
+    # The first by hash. Hashes far behind the place that per_lang rows reach are
+    # dropped before rows are ranked, so a common language sends few rows.
+    span = 1 << 40
+    slot = F.pmod(F.xxhash64(id_col), F.lit(span)).alias("_slot")
+    number = usable.groupBy(lang_col).agg(F.count(F.lit(1)).alias("_number"))
+    near = usable.select(id_col, lang_col, slot).join(number, lang_col)
+    near = near.filter(F.col("_slot") < F.lit(span) * (4 * per_lang + 100) / F.col("_number"))
+    order = Window.partitionBy(lang_col).orderBy("_slot", id_col)
+    first = near.withColumn("_rank", F.row_number().over(order))
+    ids = first.filter(F.col("_rank") <= per_lang).select(id_col, lang_col).distinct()
 
     def pack(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

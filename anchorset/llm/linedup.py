@@ -169,6 +169,8 @@ def repeated_lines(
         .agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("holders"))
         .filter("holders > 1")
     )
+    # A table of its own, so that Spark can split a very common line in the join.
+    shared = store.border("shared", shared)
     pairs = (
         held.join(shared, "line")
         .filter(F.col("place") != F.col("first"))
