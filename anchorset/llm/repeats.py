@@ -319,6 +319,10 @@ def repeated_windows(
     texts = store.border("runs", text_runs(keyed, text_col, least, anchor))
     names = texts.select("row", *_KEY)
     found = texts.select("row", F.explode(F.arrays_zip("start", "n", "anchor", "segment")).alias("r")).select("row", "r.*")
+    # Most anchors are unique: their runs go first, by a count that is combined
+    # before the shuffle.
+    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
+    found = store.border("shared", found.join(store.border("anchors", twice), "anchor", "left_semi"))
     one = F.min(F.struct("row", "start", "n")).alias("one")
     kinds = found.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), one)
     kinds = store.border("kinds", kinds.select("anchor", "segment", "copies", "one.*"))
