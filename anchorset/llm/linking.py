@@ -4,7 +4,7 @@ Shared by the operators that link documents by sets of hashes. Links are found
 without forming all pairs of a group: each key compares its members with one
 pivot, classes are formed, and only members of different classes that still
 share a key are compared with each other afterwards, where parity sketches rule
-out most pairs. So no link between two classes is lost, and a large group of
+out most pairs, and sketches as wide as the sets those of large sets. So no link between two classes is lost, and a large group of
 copies costs one verification per member and pivot.
 """
 
@@ -73,6 +73,55 @@ def may_link(a: str, b: str, share: tuple[int, int]) -> Column:
     return fits & (apart * (den + num) <= (n_a + n_b) * (den - num))
 
 
+def wide_level(n: int) -> int:
+    """0 if a sketch of ``SKETCH_WORDS`` has a bit per value; each level has four times the bits."""
+    level = 0
+    while SKETCH_WORDS * 64 * 4**level < n:
+        level += 1
+    return level
+
+
+WIDE = "n bigint, level int, own boolean, wide array<bigint>"
+
+
+def wide_sketches(sets: pa.RecordBatch) -> pa.RecordBatch:
+    """(id, n, level, own, wide) of the large sets in (id, values): the parity
+    sketch of the set's own level and of those of its possible partners. Done in
+    the pass that makes the sets, so that no task needs a second Python worker."""
+    at, sizes, levels, own, wide = [], [], [], [], []
+    for i, values in enumerate(sets.column(1)):
+        values = values.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        n = len(values)
+        for level in sorted({wide_level(n // 2), wide_level(n), wide_level(2 * n)} - {0}):
+            places = SKETCH_WORDS * 64 * 4**level
+            place = (mix(values + np.uint64(places)) % np.uint64(places)).astype(np.int64)
+            odd = np.bincount(place, minlength=places).astype(np.uint8) & 1
+            at.append(i)
+            sizes.append(n)
+            levels.append(level)
+            own.append(level == wide_level(n))
+            wide.append(np.packbits(odd).view(np.int64))
+    return pa.RecordBatch.from_arrays(
+        [sets.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int64()), pa.array(levels, pa.int32()),
+         pa.array(own, pa.bool_()), pa.array(wide, pa.list_(pa.int64()))],
+        ["id", "n", "level", "own", "wide"],
+    )
+
+
+def plausible(pairs: DataFrame, wide: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) but those of large sets that differ in too many bits of
+    their wide sketches. Linked sets never do."""
+    num, den = share
+    a = wide.filter("own").select(F.col("id").alias("a"), F.col("n").alias("n_a"), "level", F.col("wide").alias("w_a"))
+    b = wide.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("level").alias("level_b"), F.col("wide").alias("w_b"))
+    beside = pairs.join(a, "a").join(b, "b").filter("level = level_b")
+    apart = F.aggregate(
+        F.zip_with("w_a", "w_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+    )
+    unlike = beside.filter(apart * (den + num) > (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
+    return pairs.join(unlike, ["a", "b"], "left_anti")
+
+
 def side(sketches: DataFrame, name: str) -> DataFrame:
     return sketches.select(
         F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}")
@@ -94,7 +143,7 @@ def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataF
 def link_classes(
     keys: DataFrame,
     sketches: DataFrame,
-    sets_of: Callable[[DataFrame], DataFrame],
+    sets_of: Callable[..., DataFrame],
     share: tuple[int, int],
     store: StageStore,
     known: DataFrame | None = None,
@@ -104,9 +153,15 @@ def link_classes(
     ``keys`` has (key, id) rows; linked documents share at least one key.
     ``sketches`` has (id, n, bits) with sizes and parity sketches; pairs that
     these rule out are dropped inside the join that forms them. ``sets_of``
-    returns (id, values) for a table of ids. ``known`` holds links (a, b) that
+    returns (id, values) for a table of ids, or with True their ``wide_sketches``. ``known`` holds links (a, b) that
     need no check. A key with very many members is split by Spark's skew-join
     handling; its pairs are compared, but only plausible ones leave the join."""
+
+    def likely(pairs: DataFrame, name: str) -> DataFrame:
+        large = _ids(pairs).join(sketches.filter(F.col("n") * 2 > SKETCH_WORDS * 64).select("id"), "id", "left_semi")
+        wide = store.border(f"{name}_wide", sets_of(large, True))
+        return store.border(f"{name}_likely", plausible(pairs, wide, share))
+
     by_key = Window.partitionBy("key")
     shared = (
         keys.withColumn("low", F.min("id").over(by_key))
@@ -118,8 +173,9 @@ def link_classes(
     pairs = shared.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").filter(may_link("a", "b", share))
     pairs = store.border("pivot_pairs", pairs.select("a", "b").distinct())
-    sets = store.border("pivot_sets", sets_of(_ids(pairs)))
-    edges = verified(pairs, sets, share)
+    near = likely(pairs, "pivot")
+    sets = store.border("pivot_sets", sets_of(_ids(near)))
+    edges = verified(near, sets, share)
     edges = store.border("pivot_links", edges if known is None else edges.unionByName(known.select("a", "b")))
     found = components(edges, store, "pivot_classes")
 
@@ -147,6 +203,9 @@ def link_classes(
     )
     more = every.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
     more = store.border("open_pairs", more.join(pairs, ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return found
+    more = likely(more, "open")
     if more.isEmpty():
         return found
     sets = store.border("open_sets", sets_of(_ids(more)))

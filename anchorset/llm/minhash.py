@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stages import StageStore
-from .linking import link_classes, parity_bits
+from .linking import WIDE, link_classes, parity_bits, wide_sketches
 from .text import SLICE_BYTES, clash_free, distinct, kind_of, list_array, mix, shingles, slices, stream, utf8, words
 
 WIDTH = 5
@@ -123,16 +123,17 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     return docs.mapInArrow(run, f"`{id_col}` {kind}, {schema}")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, wide: bool = False) -> DataFrame:
     kind = kind_of(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch, text_col):
                 values, row = distinct(*shingle_hashes(part.column(1), width))
-                yield pa.RecordBatch.from_arrays([part.column(0), list_array(values, row, part.num_rows)], ["id", "values"])
+                sets = pa.RecordBatch.from_arrays([part.column(0), list_array(values, row, part.num_rows)], ["id", "values"])
+                yield wide_sketches(sets) if wide else sets
 
-    return docs.mapInArrow(run, f"id {kind}, values array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, {WIDE if wide else 'values array<bigint>'}")
 
 
 def near_duplicate_classes(
@@ -155,9 +156,9 @@ def near_duplicate_classes(
     )
     nodes = store.border("nodes", nodes.select("set_a", "set_b", "n", "first.*"))
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def sets_of(ids: DataFrame, wide: bool = False) -> DataFrame:
         some = rows.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi")
-        return _sets(some.select(id_col, text_col), id_col, text_col, width)
+        return _sets(some.select(id_col, text_col), id_col, text_col, width, wide)
 
     keys = nodes.select(F.explode("keys").alias("key"), "id")
     member = known.select(id_col, "set_a", "set_b", "n").join(

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stages import StageStore
-from .linking import link_classes, parity_bits
+from .linking import WIDE, link_classes, parity_bits, wide_sketches
 from .text import clash_free, distinct, kind_of, list_array, mix, shingles, slices, stream, utf8, words
 
 WIDTH = 3
@@ -126,19 +126,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, share: t
     return docs.mapInArrow(run, f"`{id_col}` {kind}, {schema}")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, values): the distinct shingle hashes of every text."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, wide: bool = False) -> DataFrame:
+    """(id, values): the distinct shingle hashes of every text; or their wide sketches."""
     kind = kind_of(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch, text_col):
                 values, row = _sets(part, 1, width)
-                yield pa.RecordBatch.from_arrays(
+                sets = pa.RecordBatch.from_arrays(
                     [part.column(0), list_array(values, row, part.num_rows)], ["id", "values"]
                 )
+                yield wide_sketches(sets) if wide else sets
 
-    return docs.mapInArrow(run, f"id {kind}, values array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, {WIDE if wide else 'values array<bigint>'}")
 
 
 def jaccard_classes(
@@ -159,9 +160,9 @@ def jaccard_classes(
     nodes = store.border("nodes", nodes.select("set_a", "set_b", "n", "first.*"))
     keys = nodes.select(F.explode("keys").alias("key"), "id")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def sets_of(ids: DataFrame, wide: bool = False) -> DataFrame:
         some = rows.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi")
-        return shingle_sets(some.select(id_col, text_col), id_col, text_col, width)
+        return shingle_sets(some.select(id_col, text_col), id_col, text_col, width, wide)
 
     member = known.select(id_col, "set_a", "set_b", "n").join(
         nodes.select("set_a", "set_b", "n", F.col("id").alias("node")), ["set_a", "set_b", "n"]

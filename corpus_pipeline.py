@@ -17,6 +17,10 @@ from anchorset.llm import bpe, decontaminate, linedup, parity, quality
 from anchorset.llm.queries import RANKS, table
 from anchorset.sources.stages import StageStore
 
+# Near copies share 8 of 10 of their five-word shingles; op6's own limits hold for its query only.
+NEAR_WIDTH = 5
+NEAR_SHARE = (8, 10)
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that importance resampling does not draw."""
@@ -34,7 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays.
     Rows without an id all stay; exact repeats of a row with an id stay once."""
-    classes = parity.jaccard_classes(docs)
+    classes = parity.jaccard_classes(docs, width=NEAR_WIDTH, share=NEAR_SHARE)
     first = classes.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

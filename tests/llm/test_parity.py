@@ -116,6 +116,23 @@ def test_sketch_distance_is_a_lower_bound():
         assert 0 < distance <= apart + apart // 3
 
 
+def test_large_sets(docs_of):
+    """Sets larger than the short sketch, linked and unlinked, across its levels."""
+    rng, docs, at = random.Random(12), [], 0
+    for size in (900, 1000, 1100, 1300, 3900, 4200, 5000):
+        words = [f"s{size}w{j}" for j in range(size)]
+        for changes in (0, size // 70, size // 12, size // 4):
+            edited = list(words)
+            for _ in range(changes):
+                edited[rng.randrange(size)] = f"n{rng.random()}"
+            docs.append((at, " ".join(edited)))
+            at += 1
+        docs.append((at, " ".join(words[: int(size * 0.93)])))
+        at += 1
+    docs += [(at + i, " ".join(f"{i}v{j}" if j % 40 else f"p{j}" for j in range(4000))) for i in range(6)]
+    assert result(docs_of(docs)) == brute(docs)
+
+
 def test_odd_rows(docs_of, clashing):
     docs = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "one two"), (8, "a b c"),
             (9, "A  b\tc"), (8, "a b c"), (10, "w " * 80_000), (11, "w " * 70_000)]

@@ -1,6 +1,8 @@
 """The pipeline's stages, each against its operator's plain meaning."""
 
 import hashlib
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +83,41 @@ def test_near_duplicate_stage(spark):
     assert out == [0, 3, 8, 9, 10]
 
 
+def test_near_duplicate_stage_against_brute_force(spark):
+    """Five-word Jaccard of 0.8 over all pairs, many of them between 0.8 and 0.9."""
+    rng, texts = random.Random(6), {}
+    for group in range(60):
+        words = [f"g{group}w{j}" for j in range(rng.choice((6, 30, 60, 120, 250)))]
+        texts[10 * group] = " ".join(words)
+        for copy in range(1, 4):
+            edited = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 40))):
+                edited[rng.randrange(len(words))] = f"n{rng.random()}"
+            texts[10 * group + copy] = " ".join(edited)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    held = {}
+    for i, s in sets.items():
+        for g in s:
+            held.setdefault(g, []).append(i)
+    both = Counter((a, b) for group in held.values() for a in group for b in group if a < b)
+    label, between = {i: i for i in texts}, 0
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for (a, b), k in both.items():
+        union = len(sets[a]) + len(sets[b]) - k
+        between += 8 * union <= 10 * k < 9 * union
+        if 10 * k >= 8 * union:
+            low, high = sorted((top(a), top(b)))
+            label[high] = low
+    assert between > 20
+    docs = table(spark, list(texts.items()))
+    assert ids(cp.drop_near_duplicates(spark, docs, SF)) == {i for i in texts if label[i] == i}
+
+
 def test_decontamination_stage(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
     docs = table(spark, [(1, f"before {item} after"), (2, "clean words only here now"), (None, item), (None, "clean too"), (3, None)])
