@@ -5,8 +5,12 @@ documents hold pairs each later document with the first one that holds it,
 rarest lines first. So the number of pairs follows the number of lines, however
 common a line is. Each pair is aligned with a patience diff (lines that occur
 once on both sides, their longest increasing sequence, and the same again
-between them; matches grow over equal neighbours). Aligned common blocks of at
-least ``BLOCK_WORDS`` words are deleted from the later document.
+between them; matches grow over equal neighbours; where no line occurs once,
+equal occurrences are matched in order). Aligned common blocks of at least
+``BLOCK_WORDS`` words are deleted from the later document, and so are the blocks
+of that size that the partner holds elsewhere (moved or repeated passages). Of a
+line that follows itself more often than anywhere in the partner, one stays
+unless it is aligned.
 
 Documents are ordered by id (nulls last), then by a hash of the text. The first
 holder of a line always keeps it. Blocks are judged on the input texts, each pair
@@ -78,6 +82,16 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         at_b = {b[j]: j for j in range(b0, b1) if in_b[b[j]] == 1}
         once = [(i, at_b[a[i]]) for i in range(a0, a1) if in_a[a[i]] == 1 and a[i] in at_b]
         chosen = [once[k] for k in increasing([j for _, j in once])]
+        if not chosen:
+            # No line occurs once on both sides: the k-th occurrences of equal lines are matched.
+            places, used = {}, Counter()
+            for j in range(b0, b1):
+                places.setdefault(b[j], []).append(j)
+            for i in range(a0, a1):
+                if used[a[i]] < len(places.get(a[i], ())):
+                    once.append((i, places[a[i]][used[a[i]]]))
+                    used[a[i]] += 1
+            chosen = [once[k] for k in increasing([j for _, j in once])]
         if not chosen:
             continue
         matched.extend(chosen)
@@ -101,6 +115,73 @@ def common_blocks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return found
 
 
+def longest_held(a: list[int], b: list[int]) -> list[int]:
+    """For every line of ``b``, how many lines up to it stand as consecutive
+    lines anywhere in ``a`` (suffix automaton; linear)."""
+    step: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for line in a:
+        new, p = len(step), last
+        step.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        while p >= 0 and line not in step[p]:
+            step[p][line] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][line]
+            if length[q] != length[p] + 1:
+                twin = len(step)
+                step.append(dict(step[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and step[p].get(line) == q:
+                    step[p][line] = twin
+                    p = link[p]
+                link[q], q = twin, twin
+            link[new] = q
+        last = new
+    out, state, size = [], 0, 0
+    for line in b:
+        while state and line not in step[state]:
+            state = link[state]
+            size = length[state]
+        if line in step[state]:
+            state, size = step[state][line], size + 1
+        out.append(size)
+    return out
+
+
+def _runs(lines: list[int]) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    cuts = [0, *(j for j in range(1, len(lines)) if lines[j] != lines[j - 1]), len(lines)]
+    return [(s, e) for s, e in zip(cuts, cuts[1:], strict=False) if s < e]
+
+
+def elsewhere(a: list[int], b: list[int], b_words: list[int], gone: set[int], least_words: int) -> set[int]:
+    """Lines of ``b`` in any block of enough words that ``a`` holds as
+    consecutive lines, but one of equal neighbours that are more than in ``a``."""
+    total = [0]
+    for number in b_words:
+        total.append(total[-1] + number)
+    found: set[int] = set()
+    covered = len(b)
+    held = longest_held(a, b)
+    # From the end, so that each line is added once.
+    for end in range(len(b), 0, -1):
+        start = end - held[end - 1]
+        if total[end] - total[start] >= least_words and start < covered:
+            found.update(range(start, min(end, covered)))
+            covered = start
+    longest: dict[int, int] = {}
+    for start, end in _runs(a):
+        longest[a[start]] = max(longest.get(a[start], 0), end - start)
+    for start, end in _runs(b):
+        if end - 1 in found and end - start > max(longest.get(b[start], 0), 1) and not gone.issuperset(range(start, end)):
+            found.discard(max(set(range(start, end)) - gone))
+    return found
+
+
 def deleted_lines(b: list[int], b_words: list[int], partners, least_words: int = BLOCK_WORDS) -> set[int]:
     """Lines of ``b`` in blocks of enough words that it shares with a partner."""
     gone: set[int] = set()
@@ -108,9 +189,21 @@ def deleted_lines(b: list[int], b_words: list[int], partners, least_words: int =
         held = set(a)
         if all(j in gone or line not in held for j, line in enumerate(b)):
             continue
+        aligned: set[int] = set()
         for start, end in common_blocks(a, b):
             if sum(b_words[start:end]) >= least_words:
-                gone.update(range(start, end))
+                aligned.update(range(start, end))
+        # Runs of held lines with a line that is left and enough words.
+        words, left = 0, False
+        for j, line in enumerate([*b, None]):
+            if line in held:
+                words, left = words + b_words[j], left or (j not in aligned and b_words[j] > 0)
+            elif left and words >= least_words:
+                aligned |= elsewhere(a, b, b_words, aligned, least_words)
+                break
+            else:
+                words, left = 0, False
+        gone |= aligned
     return gone
 
 

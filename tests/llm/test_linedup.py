@@ -60,6 +60,32 @@ def plain(docs, least):
     return left
 
 
+def held_lines(a, b, words, least):
+    """Lines of b in a block of enough words that a holds, by all blocks."""
+    gone = set()
+    for s in range(len(b)):
+        for e in range(s + 1, len(b) + 1):
+            if sum(words[s:e]) >= least and any(a[k : k + e - s] == b[s:e] for k in range(len(a))):
+                gone.update(range(s, e))
+    return gone
+
+
+@pytest.mark.parametrize("a, b, gone", [
+    ("xPyPz", "uPv", {1}), ("xPz", "uPvPw", {1, 3}), ("xPQz", "uQvPw", {1, 3}), ("xabyz", "zuabvab", {2, 3, 5, 6}),
+])
+def test_repeated_and_moved_passages(a, b, gone):
+    words = [20 if c in "PQ" else 10 if c in "ab" else 1 for c in b]
+    assert LD.deleted_lines(list(b), words, [list(a)]) == gone == held_lines(list(a), list(b), words, 20)
+
+
+@settings(max_examples=400, deadline=None)
+@given(LINES, LINES, st.integers(1, 4))
+def test_no_held_block_is_left(a, b, least):
+    """But for one of equal neighbours, everything the partner holds goes."""
+    b = [x for j, x in enumerate(b) if j == 0 or x != b[j - 1]]
+    assert LD.deleted_lines(b, [1] * len(b), [a], least) == held_lines(a, b, [1] * len(b), least)
+
+
 def test_whole_table(sample):
     docs, texts = sample
     found = {r["doc_id"]: r["text"] for r in LD.remove_repeated_lines(docs).collect()}
