@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, linedup, minhash, parity, quality, repeats, warc
+from . import bktree, bpe, chat, decontaminate, langid, linedup, minhash, parity, quality, repeats, warc
 from .ship import ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -75,6 +75,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bktree.near_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_decontamination": op2_decontamination,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_alignment": op9_line_alignment,
     "op10_language_id": op10_language_id,
+    "op12_bk_tree": op12_bk_tree,
 }
 
 _TURNS = """
