@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bktree, bpe, chat, decontaminate, langid, linedup, minhash, parity, quality, repeats, warc
+from . import bktree, bpe, chat, decontaminate, langid, linedup, minhash, parity, prefixtrie, quality, repair, repeats, warc
+from ..sources.stages import StageStore
 from .ship import ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -75,10 +76,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_double_array_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation takes its first turns, eight at the most, from the one
+    whose id is the next lower multiple of five."""
+    turns = prefixtrie.turns_of(table(spark, sf_dir, "conversations"))
+    turns = StageStore.for_session(spark).border("turns", turns)
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    return prefixtrie.trie_nodes(prefixtrie.shared_heads(turns, head, base, 8))
+
+
 def op12_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bktree.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_decontamination": op2_decontamination,
@@ -90,7 +105,9 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_alignment": op9_line_alignment,
     "op10_language_id": op10_language_id,
+    "op11_double_array_trie": op11_double_array_trie,
     "op12_bk_tree": op12_bk_tree,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _TURNS = """
