@@ -109,6 +109,9 @@ class DoubleArray:
             some = self._free[self._at : self._at + n]
             self._at += len(some)
             some = some[self.check[some] < 0]
+            if len(some):
+                self.check[some] = 0  # no longer free; the parents follow
+                self.top = max(self.top, int(some.max()) + 1)
             found.append(some)
             n -= len(some)
         return np.concatenate([np.zeros(0, np.int64), *found])

@@ -105,13 +105,15 @@ def test_heads(spark):
     assert result(got) == plain(rebuilt(conversations(rows)))
 
 
-PATHS = st.lists(st.lists(st.integers(0, 5), max_size=6).map(tuple), min_size=1, max_size=40, unique=True)
+PATHS = st.integers(2, 60).flatmap(
+    lambda most: st.lists(st.lists(st.integers(0, most), max_size=6).map(tuple), min_size=1, max_size=150, unique=True)
+)
 
 
 @settings(max_examples=200, deadline=None)
 @given(PATHS)
 def test_double_array_holds_exactly_its_paths(paths):
-    digests = {v: hashlib.md5(str(v).encode()).digest() for v in range(6)}
+    digests = {v: hashlib.md5(str(v).encode()).digest() for v in range(61)}
     paths = sorted(b"".join(digests[v] for v in p) for p in paths)
     lengths = np.array([len(p) // 16 for p in paths], np.int64)
     starts = np.cumsum(lengths) - lengths
@@ -125,5 +127,5 @@ def test_double_array_holds_exactly_its_paths(paths):
         for code in prefix:
             state = trie.step(state, np.array([code]))
             assert state[0] > 0
-        for code in range(1, 8):
+        for code in range(1, 62):
             assert (trie.step(state, np.array([code]))[0] > 0) == ((*prefix, code) in every)
