@@ -16,6 +16,7 @@ from ..functions.patterns import like, similar
 from ..operators import cohort as co
 from ..operators import features as fe
 from ..operators import flags as fl
+from ..operators import sweep as sw
 from ..operators import timeline as tl
 from ..operators.joins import attach_index, on_side, subject_join
 from ..sources.stages import StageStore
@@ -378,6 +379,46 @@ def lookback_readings(spark, sf_dir):
     return rows.select(USER, "event_id", "value")
 
 
+# --- every purchase as an index event --------------------------------------------
+
+
+def _purchases(spark, sf_dir) -> DataFrame:
+    return _events(spark, sf_dir, "purchase").select(USER, "event_id", F.col(TS).alias(INDEX_TS))
+
+
+def every_last_before(spark, sf_dir):
+    """The last view at or before each purchase."""
+    picks = {"last": sw.latest(TS, "event_id", "value")}
+    found = sw.sweep(_purchases(spark, sf_dir), _events(spark, sf_dir, "view"), USER, INDEX_TS, TS, picks)
+    return found.select(USER, "event_id", F.col("last.value").alias("last_value"), micros("last.at").alias("last_us"))
+
+
+def every_extreme_after(spark, sf_dir):
+    """Lowest and highest view at or after each purchase."""
+    views = _events(spark, sf_dir, "view")
+    picks = {"low": sw.lowest(TS, "value"), "high": sw.highest(views, TS, "value")}
+    found = sw.sweep(_purchases(spark, sf_dir), views, USER, INDEX_TS, TS, picks, "from")
+    return found.select(
+        USER,
+        "event_id",
+        F.col("low.value").alias("min_value"),
+        micros("low.at").alias("min_us"),
+        F.col("high.value").alias("max_value"),
+        micros("high.at").alias("max_us"),
+    )
+
+
+def every_prior_window(spark, sf_dir):
+    """Highest view in the 72 hours before each purchase; the spans overlap."""
+    views = _events(spark, sf_dir, "view")
+    spans = _purchases(spark, sf_dir).withColumn("start", F.col(INDEX_TS) - _span())
+    picks = {"high": sw.highest(views, TS, "value")}
+    found = sw.window_extremes(spans, views, USER, "event_id", "start", INDEX_TS, TS, picks)
+    return found.select(
+        USER, "event_id", F.col("high.value").alias("max_window"), micros("high.at").alias("max_window_us")
+    )
+
+
 # --- flags ---------------------------------------------------------------------
 
 DOCUMENT_RULES = {
@@ -628,6 +669,9 @@ QUERIES = {
         composite_scores,
         prior_window_extreme,
         lookback_readings,
+        every_last_before,
+        every_extreme_after,
+        every_prior_window,
         exclude_by_flag,
         ratio_series,
         daily_coverage,

@@ -146,6 +146,13 @@ def _bands(col: str, edges, closed: str, labels, default, open_top=True) -> str:
     return f"CASE {cases}{top} ELSE {default} END"
 
 
+# Purchases, views, and of views at one instant the one with the highest id.
+EVERY = (
+    "p AS (SELECT * FROM events WHERE event_type = 'purchase'),"
+    " v1 AS (SELECT * FROM events WHERE event_type = 'view' AND value IS NOT NULL),"
+    " v AS (" + _top("user_id, ts, value", "v1", "user_id, ts", "event_id DESC") + ")"
+)
+
 ORACLES = {
     "subject_detail": f"""
         SELECT c_custkey, r_name AS region, CASE {SEGMENT_CASES} END AS segment_code,
@@ -303,6 +310,22 @@ ORACLES = {
           {rounded("mw.value - nadir", 4)} AS delta_window, {rounded("mp.value - nadir", 4)} AS delta_prior
         FROM nadir n LEFT JOIN mw ON mw.user_id = n.user_id LEFT JOIN mp ON mp.user_id = n.user_id""",
     "lookback_readings": f"WITH {INDEX}, {NADIR}, {PRIOR}, {RECENT} SELECT user_id, event_id, value FROM recent",
+    "every_last_before": f"""
+        WITH {EVERY} SELECT p.user_id, p.event_id, v.value AS last_value, epoch_us(v.ts) AS last_us
+        FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""",
+    "every_extreme_after": f"""
+        WITH {EVERY}, s AS (SELECT p.event_id, v.value, v.ts FROM p JOIN v1 AS v ON p.user_id = v.user_id AND v.ts >= p.ts),
+             low AS ({_top("event_id, value, ts", "s", "event_id", "value, ts")}),
+             high AS ({_top("event_id, value, ts", "s", "event_id", "value DESC, ts")})
+        SELECT p.user_id, p.event_id, low.value AS min_value, epoch_us(low.ts) AS min_us,
+          high.value AS max_value, epoch_us(high.ts) AS max_us
+        FROM p LEFT JOIN low ON low.event_id = p.event_id LEFT JOIN high ON high.event_id = p.event_id""",
+    "every_prior_window": f"""
+        WITH {EVERY}, s AS (SELECT p.event_id, v.value, v.ts FROM p JOIN v1 AS v ON p.user_id = v.user_id
+               AND v.ts < p.ts AND v.ts >= p.ts - INTERVAL 72 HOURS),
+             high AS ({_top("event_id, value, ts", "s", "event_id", "value DESC, ts")})
+        SELECT p.user_id, p.event_id, high.value AS max_window, epoch_us(high.ts) AS max_window_us
+        FROM p LEFT JOIN high ON high.event_id = p.event_id""",
     "exclude_by_flag": f"""
         WITH {INDEX} SELECT user_id, index_value FROM idx
         WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)""",
