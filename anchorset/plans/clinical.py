@@ -633,7 +633,7 @@ class ClinicalStudy:
     @cached_property
     def index(self) -> DataFrame:
         treated = self.treated if self.removal == "literal" else intended_cohort(self.treated)
-        return self.store.border("index", index_table(treated, self.removal == "literal"))
+        return self.store.border("index", index_table(treated, self.removal == "literal"), removal=self.removal)
 
     def features(self, *names: str) -> list[DataFrame]:
         """Feature tables keyed by the stay; those not built yet are written
@@ -671,7 +671,8 @@ class ClinicalStudy:
     def hist(self) -> DataFrame:
         tables = self.features(*FEATURES)
         flags = [tables[list(FEATURES).index(n)] for n in ("diagnoses", "other_flags", "treatments")]
-        return self.store.border("history", history(self.wide, self.population, flags, self.los_divisor))
+        wide = history(self.wide, self.population, flags, self.los_divisor)
+        return self.store.border("history", wide, los_divisor=self.los_divisor)
 
     @cached_property
     def lookback(self) -> DataFrame:
@@ -679,7 +680,8 @@ class ClinicalStudy:
 
     @cached_property
     def ratios(self) -> DataFrame:
-        return self.store.border("ratios", platelet_ratios(self.source, self.population, self.day_origin))
+        series = platelet_ratios(self.source, self.population, self.day_origin)
+        return self.store.border("ratios", series, day_origin=self.day_origin)
 
     def table(self, name: str) -> DataFrame:
         """A result table by name; see ``RESULTS``."""
