@@ -21,6 +21,7 @@ from ..operators import timeline as tl
 from ..operators.joins import attach_index, on_side, subject_join
 from ..sources.stages import StageStore
 from ..sources.tables import TableSource
+from .refresh import ProfileAroundIndex
 
 USER, TS, INDEX_TS = "user_id", "ts", "index_ts"
 BASELINE_LIMIT = 10.0
@@ -419,6 +420,26 @@ def every_prior_window(spark, sf_dir):
     )
 
 
+def refreshed_profile(spark, sf_dir):
+    """The profile built on the first half of the time, then refreshed with the
+    events of the second half, then with those above 150 withdrawn."""
+    events = _events(spark, sf_dir)
+    span = events.agg(F.min(TS).alias("low"), F.max(TS).alias("high"))
+    middle = span.select(F.expr("timestampadd(MICROSECOND, timestampdiff(MICROSECOND, low, high) div 2, low)")).first()[0]
+    study = ProfileAroundIndex(StageStore.for_session(spark), "purchase", "view")
+    if middle is not None:
+        middle = F.lit(middle).cast("timestamp_ntz")
+        study.build(events.filter(F.col(TS) <= middle))
+        study.fold(events.filter((F.col(TS) > middle) | F.col(TS).isNull()), events)
+    else:
+        study.build(events)
+    withdrawn = F.coalesce(F.col("value") > 150, F.lit(False))
+    study.retract(events.filter(withdrawn), events.filter(~withdrawn))
+    return study.table().select(
+        USER, micros(INDEX_TS).alias("index_us"), "index_value", "last_value", "min_value", micros("min_ts").alias("min_us"), "max_value"
+    )
+
+
 # --- flags ---------------------------------------------------------------------
 
 DOCUMENT_RULES = {
@@ -672,6 +693,7 @@ QUERIES = {
         every_last_before,
         every_extreme_after,
         every_prior_window,
+        refreshed_profile,
         exclude_by_flag,
         ratio_series,
         daily_coverage,

@@ -326,6 +326,13 @@ ORACLES = {
              high AS ({_top("event_id, value, ts", "s", "event_id", "value DESC, ts")})
         SELECT p.user_id, p.event_id, high.value AS max_window, epoch_us(high.ts) AS max_window_us
         FROM p LEFT JOIN high ON high.event_id = p.event_id""",
+    "refreshed_profile": f"""
+        WITH every AS (SELECT * FROM events), events AS (SELECT * FROM every WHERE NOT coalesce(value > 150, false)),
+             {INDEX}, last AS ({_last("view")}), low AS ({_extreme("view", "min")}), high AS ({_extreme("view", "max")})
+        SELECT i.user_id, epoch_us(index_ts) AS index_us, index_value, last_value, min_value,
+          low.extreme_us AS min_us, max_value
+        FROM idx i LEFT JOIN last ON last.user_id = i.user_id LEFT JOIN low ON low.user_id = i.user_id
+        LEFT JOIN high ON high.user_id = i.user_id""",
     "exclude_by_flag": f"""
         WITH {INDEX} SELECT user_id, index_value FROM idx
         WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)""",
