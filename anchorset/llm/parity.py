@@ -12,9 +12,11 @@ Hamming distance before their sets are compared.
 
 Sizes fall into bands that grow by half; a document is sketched for its own band
 and, near the lower end, for the band below. A part without any odd bit would be
-equal for unrelated documents: such a part is joined only for documents that
-have too many of them for the pigeonhole among the others. Everything is exact:
-no group is capped, candidates are verified on the whole sets.
+equal for unrelated documents, so a band has so many parts that even its smallest
+sets fill more of them than linked sets can differ in, by ``SPARE`` standard
+deviations: the pigeonhole then holds among filled parts alone. A set that still
+fills fewer (one in 30,000) joins its empty parts too. Everything is exact: no
+group is capped, candidates are verified on the whole sets.
 
 Rows: null, empty and blank texts have an empty set and no links. Rows with equal
 id count as one document with the links of all their texts. A null id is linked
@@ -23,7 +25,9 @@ with nothing and has a null component. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,7 @@ from .text import clash_free, distinct, kind_of, list_array, mix, shingles, slic
 WIDTH = 3
 SHARE = (90, 100)
 GROWTH = 1.5
+SPARE = 4
 _SEEDS = stream(4, 71)
 
 
@@ -55,10 +60,25 @@ def most_different(n: int, share: tuple[int, int] = SHARE) -> int:
     return (n + larger) * (den - num) // (den + num)
 
 
-def parts_of_band(upper: int, share: tuple[int, int] = SHARE) -> tuple[int, int]:
-    """Parts and largest distance for a band whose sizes are below ``upper``."""
+def filled_parts(n: int, parts: int) -> tuple[float, float]:
+    """Expected number of parts that n values fill, and its standard deviation."""
+    load = n / parts
+    empty = math.exp(-load)
+    return parts * (1 - empty), math.sqrt(max(parts * (empty - (1 + load) * empty**2), 0))
+
+
+@lru_cache(maxsize=1024)
+def parts_of_band(lower: int, upper: int, share: tuple[int, int] = SHARE) -> tuple[int, int]:
+    """Parts and largest distance for a band of sizes from ``lower`` to below
+    ``upper``. A single part is always filled."""
     distance = most_different(upper - 1, share)
-    return distance + 1 + (distance + 19) // 20, distance
+    parts = distance + 1 + (distance + 19) // 20
+    while parts > 1:
+        mean, deviation = filled_parts(lower, parts)
+        if mean - SPARE * deviation > distance:
+            break
+        parts += 1 + parts // 32
+    return parts, distance
 
 
 def sketch_keys(values: np.ndarray, share: tuple[int, int] = SHARE) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +90,7 @@ def sketch_keys(values: np.ndarray, share: tuple[int, int] = SHARE) -> tuple[np.
         # The band below holds partners with at least num / den times as many shingles.
         if band < 0 or (band < own and (edges[own] - 1) * share[1] < n * share[0]):
             continue
-        parts, distance = parts_of_band(edges[band + 1], share)
+        parts, distance = parts_of_band(edges[band], edges[band + 1], share)
         word = mix(values ^ _SEEDS[0])
         part = (word % np.uint64(parts)).astype(np.int64)
         bit = (mix(values ^ _SEEDS[1]) >> np.uint64(32)) + _SEEDS[2]

@@ -92,6 +92,28 @@ def test_linked_sets_share_a_part(n):
             assert set(parity.sketch_keys(a[np.sort(order)])) & set(parity.sketch_keys(b))
 
 
+@pytest.mark.parametrize("share", [(8, 10), (90, 100)])
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 9, 13, 30, 100, 500, 2000])
+def test_unrelated_sets_share_no_key(n, share):
+    """Empty parts are no keys, so unrelated sets of a size do not meet."""
+    keys = [parity.sketch_keys(stream(n, 1000 + i), share) for i in range(300)]
+    every = np.concatenate([np.unique(k) for k in keys])
+    held = Counter(every.tolist())
+    assert sum(k * (k - 1) // 2 for k in held.values()) <= 3
+    assert len(every) <= 300 * max(2 * n, 1)
+
+
+@pytest.mark.parametrize("n", [4, 5, 8, 10, 20, 40, 100, 333, 1000])
+def test_sets_linked_at_four_fifths_share_a_part(n):
+    rng = np.random.default_rng(n)
+    for extra in range(40):
+        values = stream(3 * n + 2, n + 77 * extra)
+        m = int(rng.integers(-(-n * 8 // 10), n * 10 // 8 + 1))
+        both = next(k for k in range(min(n, m) + 1) if 10 * k >= 8 * (n + m - k))
+        a, b = np.unique(values[:n]), np.unique(np.concatenate([values[:both], values[n : n + m - both]]))
+        assert set(parity.sketch_keys(a, (8, 10))) & set(parity.sketch_keys(b, (8, 10)))
+
+
 def test_bands_cover_each_other():
     """A document is sketched for the band of every possible smaller partner."""
     edges = parity.band_edges(5000)
@@ -102,7 +124,7 @@ def test_bands_cover_each_other():
         assert own - partner <= 1
         if partner < own:
             assert (edges[own] - 1) * 100 >= n * 90
-        parts, distance = parity.parts_of_band(edges[own + 1] if own + 1 < len(edges) else edges[own] * 2)
+        parts, distance = parity.parts_of_band(edges[own], edges[own + 1] if own + 1 < len(edges) else edges[own] * 2)
         assert parts > distance >= parity.most_different(n)
 
 
