@@ -3,6 +3,7 @@
 import hashlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -60,12 +61,38 @@ def test_empty_table(docs_of):
 
 
 def test_kept_pieces_are_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_PIECES", 3)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 800)
     monkeypatch.setattr(bpe, "KEPT_PAIRS", 3)
     tokenizer = bpe.Tokenizer(MINE.ranks, P.PATTERN)
-    text = " ".join(f"word{i}x" for i in range(50))
+    text = " ".join(f"word{i}x" for i in range(50)) + " " + "y" * 500
     assert tokenizer.encode(text) == THEIRS.encode_ordinary(text)
-    assert len(tokenizer.pieces) <= 3
+    assert 0 < len(tokenizer.pieces) <= 4 and len(tokenizer.pairs) <= 3
+    assert "y" * 500 not in tokenizer.pieces  # long pieces are not kept
+    tokenizer.forget()
+    assert not tokenizer.pieces and not tokenizer.pieces.older and not tokenizer.pairs
+    assert tokenizer.encode(text) == THEIRS.encode_ordinary(text)
+
+
+def test_tasks_leave_no_pieces_behind(docs_of):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"]})
+    held = []
+
+    def work(part, tok):
+        yield bpe._digests(part, tok)
+        held.append(len(tok.pieces))
+
+    assert len(list(bpe._forgetting(PATH, P.PATTERN, work)(iter([batch])))) == 1
+    assert held == [2] and not bpe.tokenizer(PATH, P.PATTERN).pieces
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 49_999), st.integers(0, 49_999))
+def test_neighbours_stand_as_their_merges_say(left, right):
+    tokens = sorted(MINE.token)
+    left, right = tokens[left % len(tokens)], tokens[right % len(tokens)]
+    data = MINE.token[left] + MINE.token[right]
+    plain = tiktoken.Encoding("pair", pat_str=r"(?s:.+)", mergeable_ranks=MINE.ranks, special_tokens={})
+    assert MINE.stands(left, right) == (plain._encode_bytes(data) == [left, right])
 
 
 def test_ranks_without_a_byte():
