@@ -21,9 +21,10 @@ Finding the strings takes three steps.
    one task; its windows are hashed (128 bits) and counted one by one in Spark.
 
 Rows: null text is empty. Texts shorter than ``LEAST`` keep all bytes. Repeated
-rows are copies of each other, so all their windows are repeated. Equal texts
-have equal results. Rows are recognised by hashes of id and text; null ids are
-allowed. Memory follows the longest text and ``BUCKET_BYTES``.
+rows are copies of each other, so all their windows are repeated: they are known
+by a count of ids and texts, and one of them stands for all in the search. Equal
+texts have equal results. Rows are recognised by hashes of id and text; null ids
+are allowed. Memory follows the longest text and ``BUCKET_BYTES``.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import subject_join
 from ..sources.stages import StageStore
 from .text import _BYTE, _INVERSE, _POWER, clash_free, kind_of, list_array, mix, slices, stream, utf8
 
@@ -135,6 +137,21 @@ def text_runs(docs: DataFrame, text_col: str, least: int, anchor: int) -> DataFr
     return found.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
+def one_of_each(keyed: DataFrame, text_col: str, least: int, store: StageStore) -> tuple[DataFrame, DataFrame]:
+    """The rows with one for all that repeat id and text, and for those (k1, k2,
+    start, n): all windows of the text, which its other rows repeat."""
+    twice = keyed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*_KEY)
+    twice = store.border("repeated_rows", twice)
+    if twice.isEmpty():
+        return keyed, twice.select(*_KEY, F.lit(0).alias("start"), F.lit(0).alias("n"))
+    first = subject_join(keyed, twice, _KEY, "left_semi").groupBy(*_KEY).agg(F.first(text_col).alias(text_col))
+    first = store.border("repeated_texts", first)
+    once = subject_join(keyed, twice, _KEY, "left_anti").select(*_KEY, text_col)
+    windows = F.octet_length(text_col) - (least - 1)
+    every = first.filter(windows > 0).select(*_KEY, F.lit(0).alias("start"), windows.alias("n"))
+    return once.unionByName(first), every
+
+
 # -- suffixes of a bucket ------------------------------------------------------
 
 
@@ -316,6 +333,7 @@ def repeated_windows(
     keyed: DataFrame, text_col: str, store: StageStore, least: int, anchor: int, hot_segments: int, bucket_bytes: int
 ) -> DataFrame:
     """(k1, k2, runs): consecutive starts (start, n) of repeated windows."""
+    keyed, every = one_of_each(keyed, text_col, least, store)
     texts = store.border("runs", text_runs(keyed, text_col, least, anchor))
     names = texts.select("row", *_KEY)
     found = texts.select("row", F.explode(F.arrays_zip("start", "n", "anchor", "segment")).alias("r")).select("row", "r.*")
@@ -342,9 +360,9 @@ def repeated_windows(
     if not hot.isEmpty():
         dealt = hot.select("row", F.lit(0).cast("long").alias("bucket"), "start", "n")
         parts.append(_by_counting(_segments(keyed, names, text_col, dealt, least), least, store))
-    # Rows that repeat id and text have one list.
     repeated = store.border("repeated", _union(parts))
-    return repeated.join(names, "row").groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    listed = repeated.join(names, "row").select(*_KEY, "start", "n").unionByName(every)
+    return listed.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Repeated byte strings against brute force."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -111,5 +112,24 @@ def test_odd_rows(docs_of, clashing):
         (6, 300_000, 300_000, 1), (7, 400, 400, 1), (7, 400, 400, 1)]
 
 
+def test_repeated_rows_cost_little(docs_of):
+    """Many equal rows, with and without an id, next to others that share a passage with them."""
+    rng = random.Random(3)
+    text = " ".join(str(rng.random()) for _ in range(420))
+    others = [(2, "start " + text[1000:2500] + " end"), (3, " ".join(str(rng.random()) for _ in range(60))), (4, text[:300])]
+    took = []
+    for copies in (200, 200, 800):
+        rows = [(None, text)] * copies + [(1, text)] * copies + others + [(8, "short")] * copies
+        start = time.perf_counter()
+        found = R.remove_repeats(docs_of(rows)).collect()
+        took.append(time.perf_counter() - start)
+        got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], len(r["kept"])) for r in found}
+        n, third = len(text), len(others[1][1])
+        clean = (3, third, 0, 0, third)
+        assert len(found) == len(rows)
+        assert got == {(None, n, n, 1, 0), (1, n, n, 1, 0), (2, 1510, 1500, 1, 10), clean, (4, 300, 0, 0, 300), (8, 5, 0, 0, 5)}
+    assert took[2] < 2 * max(took[:2]) + 2
+
+
 def test_empty_table(docs_of):
     assert R.remove_repeats(docs_of([])).collect() == []
