@@ -13,9 +13,11 @@ role name. Rows with null conversation id form one conversation. Repeated rows
 are repeated turns.
 
 Conversations are streamed through tasks that hold them sorted. One of more than
-``BLOCK_CHARS`` characters is rendered and encoded in blocks cut between turns,
-which gives the same text and mask since no token spans two turns; memory is
-bounded by that or by the longest turn.
+``BLOCK_CHARS`` characters is rendered in blocks of whole turns and encoded as it
+goes on. A token can span two turns, but never two pieces of the tokenizer's
+pre-tokenizer, and text that follows changes at most the last pieces; these wait
+for the next block. So ids and mask are those of the whole conversation. Memory is
+bounded by a block or by the longest turn.
 """
 
 from __future__ import annotations
@@ -123,11 +125,61 @@ def encode(formatted: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(found.ids, np.int32), np.array(found.offsets, np.int64).reshape(-1, 2)
 
 
+class Encoder:
+    """Ids and character offsets of a text that arrives in parts."""
+
+    def __init__(self, path: str):
+        self.path, self.text, self.start = path, "", 0
+
+    def _settled(self) -> int:
+        """Characters in front that further text cannot change: all but the last
+        two pieces. The split looks one character beyond a piece."""
+        tokenizer = _tokenizer(self.path)
+        if tokenizer.normalizer is not None or tokenizer.pre_tokenizer is None:
+            return 0
+        pieces = tokenizer.pre_tokenizer.pre_tokenize_str(self.text)
+        return pieces[-2][1][0] if len(pieces) > 2 else 0
+
+    def add(self, more: str, last: bool) -> tuple[str, int, np.ndarray, np.ndarray]:
+        """The text that is settled now, its place, its ids and their offsets."""
+        self.text += more
+        cut = len(self.text) if last else self._settled()
+        done, start = self.text[:cut], self.start
+        ids, offsets = encode(done, self.path)
+        self.text, self.start = self.text[cut:], start + cut
+        return done, start, ids, offsets + start
+
+
+class Masked:
+    """One conversation, block by block: its formatted text, tokens and mask, and
+    the texts under the mask."""
+
+    def __init__(self, path: str):
+        self.encoder, self.chars = Encoder(path), 0
+        self.spans, self.open = np.zeros((0, 2), np.int64), []
+
+    def add(self, turns: list[tuple[str, str]], last: bool) -> tuple[str, np.ndarray, np.ndarray, list[str]]:
+        formatted, spans = render(turns)
+        self.spans = np.concatenate([self.spans, spans + self.chars])
+        self.chars += len(formatted)
+        done, start, ids, offsets = self.encoder.add(formatted, last)
+        mask, pieces = loss_spans(self.spans, offsets[:, 0], offsets[:, 1])
+        # An escape may lie across two tokens: put a turn's pieces together first.
+        said = [self.open, *([] for _ in self.spans[1:])] if len(self.spans) else []
+        for turn, a, b in pieces.tolist():
+            said[turn].append(done[a - start : b - start])
+        ended = int(np.searchsorted(self.spans[:, 1], start + len(done), "right"))
+        self.open = said[ended] if ended < len(said) else []
+        self.spans = self.spans[ended:]
+        return formatted, ids, mask, [unescape("".join(parts)) for parts in said[:ended]]
+
+
 @dataclass
 class _Digest:
     """What is read back from the blocks of one conversation."""
 
     conv_id: object
+    masked: Masked
     n_turns: int = 0
     turns: object = field(default_factory=hashlib.sha256)
     loss_chars: int = 0
@@ -136,19 +188,14 @@ class _Digest:
     n_tokens: int = 0
     loss_tokens: int = 0
 
-    def add(self, turns: list[tuple[str, str]], path: str) -> None:
-        formatted, spans = render(turns)
-        _, offsets = encode(formatted, path)
-        mask, pieces = loss_spans(spans, offsets[:, 0], offsets[:, 1])
+    def add(self, turns: list[tuple[str, str]], last: bool) -> None:
+        formatted, _, mask, said = self.masked.add(turns, last)
         for role, text in parse(formatted):
             self.n_turns += 1
             self.turns.update(f"{role}\n{text}\n".encode())
-        # An escape may lie across two tokens: put a turn's pieces together first.
-        cuts = np.flatnonzero(np.diff(pieces[:, 0])) + 1
-        for group in np.split(pieces, cuts):
-            said = unescape("".join(formatted[a:b] for _, a, b in group))
-            self.loss_chars += len(said)
-            self.loss.update(said.encode())
+        for text in said:
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
         self.formatted_chars += len(formatted)
         self.n_tokens += len(mask)
         self.loss_tokens += int(mask.sum())
@@ -196,20 +243,20 @@ def format_conversations(
 ) -> DataFrame:
     """(id, block, formatted, ids, loss mask): the formatted text of every
     conversation with its tokens; block is 0 unless a conversation is longer
-    than ``block_chars``. ``path`` is a tokenizer file on every worker."""
+    than ``block_chars``. The tokens of a block's last pieces come with the next
+    block, so that all ids in order are those of the whole text. ``path`` is a
+    tokenizer file on every worker."""
     kind = kind_of(rows, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        block = 0
+        block, masked = 0, Masked(path)
         for conv_id, turns, ends in _blocks(batches, block_chars):
-            formatted, spans = render(turns)
-            ids, offsets = encode(formatted, path)
-            mask, _ = loss_spans(spans, offsets[:, 0], offsets[:, 1])
+            formatted, ids, mask, _ = masked.add(turns, ends)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([conv_id], id_type), pa.array([block], pa.int32()), pa.array([formatted]), pa.array([ids]), pa.array([mask])],
                 [id_col, "block", "formatted", "ids", "loss_mask"],
             )
-            block = 0 if ends else block + 1
+            block, masked = (0, Masked(path)) if ends else (block + 1, masked)
 
     id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
     schema = f"`{id_col}` {kind}, block int, formatted string, ids array<int>, loss_mask array<boolean>"
@@ -226,8 +273,8 @@ def format_digests(
     def run(batches: Iterator[pa.RecordBatch]):
         done, digest = [], None
         for conv_id, turns, ends in _blocks(batches, block_chars):
-            digest = digest or _Digest(conv_id)
-            digest.add(turns, path)
+            digest = digest or _Digest(conv_id, Masked(path))
+            digest.add(turns, ends)
             if ends:
                 done.append(digest.row())
                 digest = None

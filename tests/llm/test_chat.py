@@ -47,6 +47,32 @@ def test_tokens_that_span_turns():
     assert pieces.tolist() == [[0, 2, 3], [0, 3, 4], [1, 6, 8], [1, 8, 9]]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TURNS, min_size=1, max_size=5))
+def test_blocks_give_the_tokens_of_the_whole(blocks):
+    """Ids, mask and texts under the mask, however the turns are cut into blocks."""
+    turns = [turn for block in blocks for turn in block]
+    whole, spans = chat.render(turns)
+    ids, offsets = chat.encode(whole, PATH)
+    mask, _ = chat.loss_spans(spans, offsets[:, 0], offsets[:, 1])
+    masked = chat.Masked(PATH)
+    parts = [masked.add(block, i == len(blocks) - 1) for i, block in enumerate(blocks)]
+    assert "".join(p[0] for p in parts) == whole
+    assert np.concatenate([p[1] for p in parts]).tolist() == ids.tolist()
+    assert np.concatenate([p[2] for p in parts]).tolist() == mask.tolist()
+    assert [t for p in parts for t in p[3]] == [text for role, text in turns if role == "assistant"]
+
+
+def test_a_token_may_span_two_turns():
+    turns = [("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", "d")]
+    ids, _ = chat.encode(chat.render(turns)[0], PATH)
+    alone = sum(len(chat.encode(chat.render([t])[0], PATH)[0]) for t in turns)
+    assert len(ids) < alone
+    masked = chat.Masked(PATH)
+    parts = [masked.add([t], t is turns[-1]) for t in turns]
+    assert [i for p in parts for i in p[1].tolist()] == ids.tolist()
+
+
 def digests(rows):
     """What the contract asks for, without formatting anything."""
     held = {}
@@ -78,11 +104,15 @@ def test_odd_rows(spark, clashing, block):
 def test_formatted_output(spark):
     df = spark.createDataFrame(ODD, ROWS)
     blocks = chat.format_conversations(df, PATH, block_chars=10).collect()
+    whole = {r["conv_id"]: r for r in chat.format_conversations(df, PATH).collect()}
     for conv in (1, 2, 3):
         own = sorted((r["block"], r["formatted"]) for r in blocks if r["conv_id"] == conv)
         assert [b for b, _ in own] == list(range(len(own)))
         turns = chat.parse("".join(text for _, text in own))
         assert len(turns) == sum(r[0] == conv for r in ODD)
+        held = sorted((r["block"], r["ids"], r["loss_mask"]) for r in blocks if r["conv_id"] == conv)
+        for place, column in ((1, "ids"), (2, "loss_mask")):
+            assert [x for row in held for x in row[place]] == list(whole[conv][column])
     assert all(len(r["ids"]) == len(r["loss_mask"]) for r in blocks)
 
 
