@@ -2,19 +2,21 @@
 
 The kernel of two texts is the number of hashed byte n-grams (n = 1 to 3, ASCII
 lower-cased) present in both, divided by the geometric mean of their numbers of
-n-grams: a blended-spectrum presence kernel. ``LANDMARKS`` texts span the
-Nyström feature space, in which one ridge regression per language is fitted.
-Scoring a batch takes two matrix products: presence times landmarks, kernel
-values times coefficients.
+n-grams: a blended-spectrum presence kernel. ``LANDMARKS`` texts, dealt evenly to
+the languages and two of each at least, span the Nyström feature space, in which
+one ridge regression per language is fitted. Scoring a batch takes two matrix
+products: presence times landmarks, kernel values times coefficients.
 
 Learning uses at most ``SAMPLE_PER_LANG`` labelled texts of each language (those
-with the smallest id hash; a bound on what reaches the driver, as presence bits)
-and skips every held-out document: crc32 of the id as text modulo 5 is 0. A null
-id counts as empty text there. Every row is predicted, from its whole text only.
+with the smallest id hash) and skips every held-out document: crc32 of the id as
+text modulo 5 is 0. A null id counts as empty text there. The normal equations
+are summed up in tasks; the driver gets the landmarks and ``SUMS`` partial sums.
+Every row is predicted, from its whole text only.
 
 Rows: a null text and a text without any letter get ``und`` with score 0.
-Repeated rows get repeated results. Ties go to the language that sorts first.
-Without any labelled text every row gets ``und``.
+Repeated rows get repeated results; in learning, an id counts once per language,
+with the least of its texts. Ties go to the language that sorts first. Without
+any labelled text every row gets ``und``.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import StageStore
 from .text import _FOLD, clash_free, slices, stream
 
 BITS = 14
@@ -36,6 +39,7 @@ LANDMARKS = 128
 RIDGE = 1e-2
 SHARPNESS = 4.0
 BATCH = 64
+SUMS = 16
 
 _LETTER = re.compile(r"[^\W\d_]")
 _FACTORS = stream(3, 41) | np.uint64(1)
@@ -66,27 +70,38 @@ class Model:
         return (presence @ self.landmarks / norm) @ self.coefficients
 
 
-def fit(presence: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Nyström features and one-versus-rest ridge regression on presence rows;
-    landmarks are taken from the languages in turn."""
-    names = sorted(set(langs))
-    label = np.array([names.index(x) for x in langs])
-    turn = np.zeros(len(langs), np.int64)
-    for i in range(len(names)):
-        turn[label == i] = np.arange((label == i).sum())
-    chosen = np.lexsort((label, turn))[:landmarks]
-    scaled = presence / np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
-    basis = scaled[chosen]
+@dataclass
+class Space:
+    """The Nyström space of some landmarks: scaled presence rows, and what turns
+    kernel values with them into features."""
+
+    basis: np.ndarray
+    root: np.ndarray
+
+    def features(self, presence: np.ndarray) -> np.ndarray:
+        scaled = presence / np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
+        return (scaled @ self.basis.T).astype(np.float64) @ self.root
+
+
+def space_of(presence: np.ndarray) -> Space:
+    basis = presence / np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
     values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
     kept = values > 1e-6 * values.max()
-    root = vectors[:, kept] / np.sqrt(values[kept])
-    features = (scaled @ basis.T) @ root
-    wanted = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
-    # Languages weigh the same, whatever their number of texts.
-    weight = (1 / np.bincount(label))[label][:, None]
-    normal = features.T @ (features * weight) + ridge * np.eye(features.shape[1])
-    solved = np.linalg.solve(normal, features.T @ (wanted * weight))
-    return Model(names, np.ascontiguousarray(basis.T, np.float32), (root @ solved).astype(np.float32))
+    return Space(basis.astype(np.float32), vectors[:, kept] / np.sqrt(values[kept]))
+
+
+def equations(space: Space, presence: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides of the normal equations for some rows: features by features,
+    and features by languages (1 for the row's own, -1 for others)."""
+    features = space.features(presence)
+    wanted = np.where(label[:, None] == np.arange(len(weight)), 1.0, -1.0)
+    heavy = features * weight[label][:, None]
+    return features.T @ heavy, heavy.T @ wanted
+
+
+def solve(names: list[str], space: Space, left: np.ndarray, right: np.ndarray, ridge: float = RIDGE) -> Model:
+    solved = np.linalg.solve(left + ridge * np.eye(len(left)), right)
+    return Model(names, np.ascontiguousarray(space.basis.T, np.float32), (space.root @ solved).astype(np.float32))
 
 
 def held_out(id_col: str):
@@ -97,40 +112,86 @@ def _texts(column: pa.Array) -> list[str]:
     return [text or "" for text in column.to_pylist()]
 
 
+def _unpack(bits: list[bytes]) -> np.ndarray:
+    packed = np.frombuffer(b"".join(map(bytes, bits)), np.uint8).reshape(len(bits), (1 << BITS) // 8)
+    return np.unpackbits(packed, axis=1).astype(np.float32)
+
+
 def training_rows(
-    docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str
-) -> tuple[np.ndarray, list[str]]:
-    """Presence rows and languages of the bounded sample."""
+    docs: DataFrame, per_lang: int, store: StageStore, id_col: str, text_col: str, lang_col: str
+) -> DataFrame:
+    """(id, lang, bits, place): the bounded sample as packed presence rows, with
+    the place of each in its language, from 1."""
     rows = clash_free(docs, id_col, text_col, lang_col)
     usable = rows.filter(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    # The first by hash. Hashes far behind the place that per_lang rows reach are
-    # dropped before rows are ranked, so a common language sends few rows.
+    # Ids count once, however often their rows are repeated.
     span = 1 << 40
     slot = F.pmod(F.xxhash64(id_col), F.lit(span)).alias("_slot")
-    number = usable.groupBy(lang_col).agg(F.count(F.lit(1)).alias("_number"))
-    near = usable.select(id_col, lang_col, slot).join(number, lang_col)
+    known = store.border("labelled", usable.select(id_col, lang_col).distinct())
+    # The first by hash. Hashes far behind the place that per_lang ids reach are
+    # dropped before ids are ranked, so a common language sends few rows.
+    number = store.border("languages", known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("_number")))
+    near = known.select(id_col, lang_col, slot).join(number, lang_col)
     near = near.filter(F.col("_slot") < F.lit(span) * (4 * per_lang + 100) / F.col("_number"))
     order = Window.partitionBy(lang_col).orderBy("_slot", id_col)
-    first = near.withColumn("_rank", F.row_number().over(order))
-    ids = first.filter(F.col("_rank") <= per_lang).select(id_col, lang_col).distinct()
+    first = near.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_lang)
+    first = store.border("first_ids", first.select(id_col, lang_col, "_place"))
 
     def pack(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch, text_col):
                 bits = []
-                for text in _texts(part.column(1)):
+                for text in _texts(part.column(2)):
                     row = np.zeros(1 << BITS, np.uint8)
                     present(text.encode("utf-8"), row)
                     bits.append(np.packbits(row).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits, pa.binary()), part.column(2)], ["id", "bits", "lang"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(bits, pa.binary()), part.column(3)], ["id", "lang", "bits", "place"]
+                )
 
     kind = rows.schema[0].dataType.simpleString()
-    sample = usable.join(F.broadcast(ids), [id_col, lang_col]).select(id_col, text_col, lang_col)
-    packed = sample.mapInArrow(pack, f"id {kind}, bits binary, lang string")
-    # A repeated id counts once, so the sample keeps its bound.
-    found = packed.groupBy("id", "lang").agg(F.min("bits").alias("bits")).orderBy(F.xxhash64("id"), "id", "lang").collect()
-    bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), (1 << BITS) // 8)
-    return np.unpackbits(bits, axis=1).astype(np.float32), [r["lang"] for r in found]
+    # A null id is an id like any other here.
+    same = usable[id_col].eqNullSafe(first[id_col]) & (usable[lang_col] == first[lang_col])
+    texts = usable.join(first, same).select(usable[id_col], usable[lang_col], usable[text_col], first["_place"])
+    one = texts.groupBy(id_col, lang_col, "_place").agg(F.min(text_col).alias(text_col))
+    return one.select(id_col, lang_col, text_col, "_place").mapInArrow(pack, f"id {kind}, lang string, bits binary, place int")
+
+
+def learn(sample: DataFrame, landmarks: int = LANDMARKS) -> Model | None:
+    """The model of a stored sample; None without labelled texts."""
+    counted = sorted(tuple(r) for r in sample.groupBy("lang").count().collect())
+    if not counted:
+        return None
+    names, weight = [n for n, _ in counted], np.array([1 / n for _, n in counted])
+    # Landmarks are taken from the languages in turn, two of each at least.
+    landmarks, turns = max(landmarks, 2 * len(names)), 2
+    while sum(min(n, turns) for _, n in counted) < min(landmarks, sum(n for _, n in counted)):
+        turns += 1
+    chosen = sample.filter(F.col("place") <= turns).select("place", "lang", "bits").collect()
+    chosen = sorted(chosen, key=lambda r: (r["place"], r["lang"]))[:landmarks]
+    space = space_of(_unpack([r["bits"] for r in chosen]))
+    shared = sample.sparkSession.sparkContext.broadcast((names, weight, space))
+
+    def add(batches: Iterator[pa.RecordBatch]):
+        names, weight, space = shared.value
+        size = space.root.shape[1]
+        left, right = np.zeros((size, size)), np.zeros((size, len(names)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                label = np.searchsorted(names, part.column(0).to_pylist())
+                a, b = equations(space, _unpack(part.column(1).to_pylist()), label, weight)
+                left, right = left + a, right + b
+        sums = [pa.array([x.tobytes()], pa.binary()) for x in (left, right)]
+        yield pa.RecordBatch.from_arrays(sums, ["left", "right"])
+
+    # Languages weigh the same, whatever their number of texts.
+    dealt = sample.repartition(SUMS, "id").sortWithinPartitions("id", "lang").select("lang", "bits")
+    sums = dealt.mapInArrow(add, "left binary, right binary").collect()
+    size = space.root.shape[1]
+    left = sum(np.frombuffer(r["left"]).reshape(size, size) for r in sums)
+    right = sum(np.frombuffer(r["right"]).reshape(size, len(names)) for r in sums)
+    return solve(names, space, left, right)
 
 
 def identify(
@@ -141,8 +202,9 @@ def identify(
     per_lang: int = SAMPLE_PER_LANG,
 ) -> DataFrame:
     """(id, held_out, lang_pred, score) for every row."""
-    presence, langs = training_rows(docs, per_lang, id_col, text_col, lang_col)
-    model = fit(presence, langs) if langs else None
+    store = StageStore.for_session(docs.sparkSession)
+    sample = store.border("sample", training_rows(docs, per_lang, store, id_col, text_col, lang_col))
+    model = learn(sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]):
