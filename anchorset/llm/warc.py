@@ -383,8 +383,9 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str, texts:
 
     schema = "id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
     schema += ", payload binary" if texts else ""
+    # A task per archive: the few short paths would otherwise be put together.
     paths = archives.select("path").distinct()
-    return paths.mapInArrow(run, schema)
+    return paths.repartition(max(1, paths.count())).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:

@@ -8,6 +8,7 @@ import zipfile
 
 import pyarrow.fs as pafs
 import pytest
+from pyspark.sql import functions as F
 
 from anchorset.llm import warc
 
@@ -71,6 +72,18 @@ def test_payload_comes_back(spark, tmp_path):
             assert gzip.decompress(archive.read(warc.DATA)).startswith(b"WARC/1.1")
 
 
+def test_each_archive_is_read_by_its_own_task(spark, tmp_path):
+    folder, listed = str(tmp_path / "archives"), []
+    for k in range(6):
+        rows = [(10 * k + i, f"http://x/{i}", f"page {k} {i}") for i in range(5)]
+        listed += warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), folder).collect()
+    archives = spark.createDataFrame(listed)
+    paths = archives.select("path").distinct().count()
+    found = warc.read_archives(spark, archives, folder).withColumn("task", F.spark_partition_id())
+    assert paths >= 6 and found.select("task").distinct().count() == paths
+    assert found.count() == 30
+
+
 def test_many_archives_per_task(spark, monkeypatch, tmp_path):
     rows = [(i, "u", f"{i}" * 500) for i in range(40)]
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 200)
