@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.stages import StageStore
 from .linking import WIDE, link_classes, parity_bits, wide_sketches
@@ -188,6 +189,19 @@ def _bucket(column: Column, bounds: list, low: int = 0, high: int | None = None)
     )
 
 
+def _bounds(ids: DataFrame, id_col: str, parts: int) -> list:
+    """Values that cut the known ids into about equal ranges, ascending."""
+    if parts < 2:
+        return []
+    if isinstance(ids.schema[0].dataType, T.NumericType):
+        shares = [i / parts for i in range(1, parts)]
+        return sorted(set(ids.agg(F.percentile_approx(id_col, shares, 20 * parts)).first()[0] or []))
+    # Quantiles are for numbers only; a range partitioning of the ids orders any.
+    ranges = ids.filter(F.col(id_col).isNotNull()).repartitionByRange(parts, id_col)
+    least = ranges.groupBy(F.spark_partition_id().alias("range")).agg(F.min(id_col).alias("least")).collect()
+    return sorted({r["least"] for r in least})[1:]
+
+
 def in_order_with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(bucket, id, text, guest): rows dealt by ranges of descending id and
     sorted within tasks. Each bucket ends with a guest row, a copy of the row
@@ -195,9 +209,7 @@ def in_order_with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     spark = docs.sparkSession
     rows = docs.withColumn(text_col, F.coalesce(text_col, F.lit("")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / parts for i in range(1, parts)]
-    bounds = docs.agg(F.percentile_approx(id_col, shares, 20 * parts)).first()[0] if shares else None
-    bounds = sorted(set(bounds or []))
+    bounds = _bounds(docs.select(id_col), id_col, parts)
     bucket = F.when(F.col(id_col).isNull(), F.lit(len(bounds) + 1)).otherwise(_bucket(F.col(id_col), bounds))
     rows = rows.withColumn("bucket", bucket)
     # One row per range reaches the driver.

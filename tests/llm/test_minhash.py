@@ -91,6 +91,22 @@ def test_odd_rows(docs_of, clashing, rows):
     assert all(0 <= r[c] <= 1 for r in found for c in ("near_edited", "near_next"))
 
 
+def test_text_ids(spark):
+    """Ids of any type that has an order."""
+    rows = [(None if i % 17 == 0 else f"id{i * 7919 % 100:02}é", f"text number {i} of many") for i in range(60)]
+    found = minhash.neighbour_fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    order = sorted(rows, key=lambda r: r[1])
+    order = sorted((r for r in order if r[0]), key=lambda r: r[0], reverse=True) + [r for r in order if r[0] is None]
+    want = {}
+    for (i, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        edited = minhash.edited(text, following)
+        want.setdefault(i, []).append((len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    got = {}
+    for r in found:
+        got.setdefault(r["doc_id"], []).append((r["n_chars"], r["edited_sha256"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_empty_table(docs_of):
     assert minhash.neighbour_fingerprints(docs_of([])).collect() == []
     assert minhash.near_duplicate_classes(docs_of([])).collect() == []
