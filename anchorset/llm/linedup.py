@@ -1,19 +1,21 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through shared lines: every line that several
-documents hold pairs each later document with the first one that holds it,
-rarest lines first. So the number of pairs follows the number of lines, however
-common a line is. Each pair is aligned with a patience diff (lines that occur
-once on both sides, their longest increasing sequence, and the same again
-between them; matches grow over equal neighbours; where no line occurs once,
-equal occurrences are matched in order). Aligned common blocks of at least
-``BLOCK_WORDS`` words are deleted from the later document, and so are the blocks
-of that size that the partner holds elsewhere (moved or repeated passages). Of a
-line that follows itself more often than anywhere in the partner, one stays
-unless it is aligned.
+Documents that overlap are found through shared rare runs of lines: for every
+line the shortest run of ``BLOCK_WORDS`` words that begins or ends with it (often
+the line alone), known by the hashes of its lines. A run that several documents
+hold pairs each later one with the first that holds it. Every shared block of that
+size is covered by such runs, so each line of it meets a partner that holds it,
+and the number of pairs follows the number of lines, however common a run is.
+Each pair is aligned with a patience diff (lines that occur once on both sides,
+their longest increasing sequence, and the same again between them; matches grow
+over equal neighbours; where no line occurs once, equal occurrences are matched in
+order). Aligned common blocks of at least ``BLOCK_WORDS`` words are deleted from
+the later document, and so are the blocks of that size that the partner holds
+elsewhere (moved or repeated passages). Of a line that follows itself more often
+than anywhere in the partner, one stays unless it is aligned.
 
 Documents are ordered by id (nulls last), then by a hash of the text. The first
-holder of a line always keeps it. Blocks are judged on the input texts, each pair
+holder of a block always keeps it. Blocks are judged on the input texts, each pair
 by itself, so results do not depend on the order of pairs.
 
 Rows: null text is left null, and an empty text stays empty. Lines end at line
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stages import StageStore
-from .text import _SPACE, clash_free, kind_of, lines, list_array, place_of, slices, span_hashes, utf8
+from .text import _INVERSE, _POWER, _SPACE, clash_free, distinct, kind_of, lines, list_array, mix, place_of, slices, span_hashes, utf8
 
 BLOCK_WORDS = 20
 
@@ -216,8 +218,29 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k1, k2, id, lines, words): hashes and word counts of all lines."""
+def run_keys(hashes: np.ndarray, words: np.ndarray, row: np.ndarray, n_rows: int, least_words: int):
+    """Key and row of the distinct shortest runs of enough words that begin or
+    end with a line that is not blank."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    ends = np.cumsum(np.bincount(row, minlength=n_rows))
+    begins = np.concatenate([[0], ends[:-1]])
+    line = np.flatnonzero(words)
+    # Runs that begin with a line, then those that end with one; ``upto`` is the line behind the run.
+    upto = np.searchsorted(total, total[line] + least_words, "left")
+    start = np.searchsorted(total, total[line + 1] - least_words, "right") - 1
+    first, last = np.concatenate([line, start]), np.concatenate([upto, line + 1])
+    owner = row[np.concatenate([line, line])]
+    inside = (first >= begins[owner]) & (last <= ends[owner])
+    first, last, owner = first[inside], last[inside], owner[inside]
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _POWER.upto(len(hashes)), out=sums[1:])
+    keys = mix((sums[last] - sums[first]) * _INVERSE.upto(len(hashes) + 1)[first] + (last - first).astype(np.uint64))
+    return distinct(keys, owner)
+
+
+def line_table(docs: DataFrame, id_col: str, text_col: str, least_words: int = BLOCK_WORDS) -> DataFrame:
+    """(k1, k2, id, lines, words, keys): hashes and word counts of all lines, and
+    the keys of runs of lines."""
     kind = kind_of(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -231,14 +254,17 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 begins[starts[(starts < ends)]] = inside[starts[(starts < ends)]]
                 counted = np.concatenate([[0], np.cumsum(begins)])
                 number = (counted[ends] - counted[starts]).astype(np.int32)
+                hashes = span_hashes(data, starts, ends)
+                keys, owner = run_keys(hashes, number, row, part.num_rows, least_words)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(3)),
-                     list_array(span_hashes(data, starts, ends), row, part.num_rows),
-                     list_array(number, row, part.num_rows, pa.int32())],
-                    ["k1", "k2", "id", "lines", "words"],
+                     list_array(hashes, row, part.num_rows),
+                     list_array(number, row, part.num_rows, pa.int32()),
+                     list_array(keys, owner, part.num_rows)],
+                    ["k1", "k2", "id", "lines", "words", "keys"],
                 )
 
-    schema = f"k1 bigint, k2 bigint, id {kind}, lines array<bigint>, words array<int>"
+    schema = f"k1 bigint, k2 bigint, id {kind}, lines array<bigint>, words array<int>, keys array<bigint>"
     return docs.select(*_KEY, id_col, text_col).mapInArrow(run, schema)
 
 
@@ -249,23 +275,21 @@ def repeated_lines(
     of the documents they were aligned with, for documents that lose lines."""
     store = StageStore.for_session(docs.sparkSession)
     rows = _keyed(clash_free(docs, id_col, text_col), id_col, text_col).filter(F.col(text_col).isNotNull())
-    table = store.border("lines", line_table(rows, id_col, text_col)).dropDuplicates(_KEY)
+    table = store.border("lines", line_table(rows, id_col, text_col, least_words)).dropDuplicates(_KEY)
     table = store.border("documents", table)
 
-    # The first holder of every shared line, and how many documents hold it.
+    # The first holder of every shared run, and how many documents hold it.
     place = F.struct(F.col("id").isNull().alias("last"), "id", *_KEY)
-    held = table.select(*_KEY, "id", F.explode(F.arrays_zip("lines", "words")).alias("l"))
-    held = held.filter("l.words > 0").select(*_KEY, place.alias("place"), F.col("l.lines").alias("line")).distinct()
-    held = store.border("held", held)
+    held = table.select(*_KEY, place.alias("place"), F.explode("keys").alias("key"))
     shared = (
-        held.groupBy("line")
+        held.groupBy("key")
         .agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("holders"))
         .filter("holders > 1")
     )
-    # A table of its own, so that Spark can split a very common line in the join.
+    # A table of its own, so that Spark can split a very common run in the join.
     shared = store.border("shared", shared)
     pairs = (
-        held.join(shared, "line")
+        held.join(shared, "key")
         .filter(F.col("place") != F.col("first"))
         .groupBy(*_KEY, F.col("first.k1").alias("p1"), F.col("first.k2").alias("p2"))
         .agg(F.min("holders").alias("holders"))

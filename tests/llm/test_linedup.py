@@ -41,23 +41,48 @@ def test_alignment_of_moved_and_changed_lines():
     assert LD.common_blocks(["r", "r", "q"], ["r", "q", "r"]) in ([(0, 1), (1, 2)], [(0, 2)], [(0, 1)])
 
 
+def common_lines(a, b, least):
+    """Lines of b in blocks of enough words that stand as consecutive lines in a."""
+    places, ending = {}, {}
+    for i, line in enumerate(a):
+        places.setdefault(line, []).append(i)
+    for j, line in enumerate(b):
+        for i in places.get(line, ()):
+            ending[i, j] = ending.get((i - 1, j - 1), 0) + 1
+    gone = set()
+    for (i, j), n in ending.items():
+        if (i + 1, j + 1) not in ending and sum(len(x.split()) for x in b[j - n + 1 : j + 1]) >= least:
+            gone.update(range(j - n + 1, j + 1))
+    return gone
+
+
 def plain(docs, least):
-    """(id, text) rows in order: what is left, by first holders of lines."""
-    texts = {i: t.split("\n") for i, t in docs}
-    first = {}
-    for i in sorted(texts):
-        for line in texts[i]:
-            if line.split():
-                first.setdefault(line, i)
-    left = {}
-    for i, own in texts.items():
-        gone = set()
-        for p in {first[line] for line in own if line.split()} - {i}:
-            for start, end in LD.common_blocks(texts[p], own):
-                if sum(len(line.split()) for line in own[start:end]) >= least:
-                    gone.update(range(start, end))
-        left[i] = "\n".join(line for j, line in enumerate(own) if j not in gone)
-    return left
+    """Per id, the lines that any earlier document holds in a block of enough
+    words, and those of them that may stay because they follow themselves."""
+    held, out = {}, {}
+    for i, text in sorted(docs):
+        own, gone = text.split("\n"), set()
+        for k in {k for line in own if line.split() for k in held.get(line, ())}:
+            gone |= common_lines(dict(docs)[k].split("\n"), own, least)
+        same = {j for j in gone if own[j] in (own[j - 1 : j] or [None]) + own[j + 1 : j + 2]}
+        for line in set(own):
+            held.setdefault(line, []).append(i)
+        out[i] = own, gone, same
+    return out
+
+
+def check(docs, found, least):
+    """Texts and removed lines are as they should be; returns the ids that lose lines."""
+    want = plain(docs, least)
+    for i, (own, gone, same) in want.items():
+        text, removed = found[i]
+        assert gone - same <= set(removed) <= gone
+        assert text == "\n".join(line for j, line in enumerate(own) if j not in set(removed))
+    return {i for i, (_, gone, same) in want.items() if gone - same}
+
+
+def rows_of(df, **options):
+    return {r["doc_id"]: (r["text"], r["_lines"]["removed"]) for r in LD.remove_repeated_lines(df, **options).collect()}
 
 
 def held_lines(a, b, words, least):
@@ -88,9 +113,34 @@ def test_no_held_block_is_left(a, b, least):
 
 def test_whole_table(sample):
     docs, texts = sample
-    found = {r["doc_id"]: r["text"] for r in LD.remove_repeated_lines(docs).collect()}
-    assert found == plain(list(texts.items()), LD.BLOCK_WORDS)
-    assert found != texts
+    assert check(list(texts.items()), rows_of(docs), LD.BLOCK_WORDS)
+
+
+def test_blocks_whose_lines_have_other_first_holders(docs_of):
+    """No line of the block pairs its two holders; its runs do."""
+    short = [f"line {i} has six words each" for i in range(6)]
+    docs = [(i, f"{short[i]}\nown text {i}") for i in range(6)]
+    docs += [(10, "\n".join(["start", *short, "end"])), (11, "\n".join(["other", *short, "close"])), (12, "\n".join(["x", *short[:3], "y"]))]
+    found = rows_of(docs_of(docs))
+    assert check(docs, found, LD.BLOCK_WORDS) == {11}
+    assert found[11][0] == "other\nclose" and found[12][0] == docs[-1][1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixtures(docs_of, seed):
+    """Blocks of short lines copied between documents, with lines of their own and blank ones."""
+    rng = random.Random(seed)
+    pool = [" ".join(f"p{i}w{j}" for j in range(rng.randint(1, 9))) for i in range(30)] + ["", " "]
+    docs = []
+    for i in range(60):
+        own = [rng.choice(pool) for _ in range(rng.randint(0, 8))]
+        if docs and rng.random() < 0.6:
+            other = docs[rng.randrange(len(docs))][1].split("\n")
+            at = rng.randrange(len(other))
+            place = rng.randint(0, len(own))
+            own[place:place] = other[at : at + rng.randint(1, 9)]
+        docs.append((i, "\n".join(own)))
+    check(docs, rows_of(docs_of(docs), least_words=12), 12)
 
 
 def test_hot_lines_and_copies(spark, docs_of):
@@ -101,8 +151,9 @@ def test_hot_lines_and_copies(spark, docs_of):
         own = [" ".join(f"d{i}w{j}" for j in range(rng.randint(1, 12))) for _ in range(4)]
         docs.append((i, "\n".join([*own[:2], passage, "short", *own[2:]] if i % 2 else own)))
     docs += [(200 + i, docs[1][1]) for i in range(30)]
-    found = {r["doc_id"]: r["text"] for r in LD.remove_repeated_lines(docs_of(docs)).collect()}
-    assert found == plain(docs, LD.BLOCK_WORDS)
+    found = rows_of(docs_of(docs))
+    check(docs, found, LD.BLOCK_WORDS)
+    found = {i: text for i, (text, _) in found.items()}
     # The passage stays once, in its first document; copies lose everything.
     assert [i for i, t in found.items() if passage in t] == [1]
     assert all(found[200 + i] == "" for i in range(30))
