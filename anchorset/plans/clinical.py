@@ -602,7 +602,10 @@ class ClinicalStudy:
     definition computes; ``intent`` follows its comments (``intended_cohort``).
     ``day_origin`` counts the days of the ratio series from unit ``admission``
     or from the ``index``; ``los_divisor`` and ``pressure_weights`` are described
-    at ``history`` and ``study_table``. Defaults are as published.
+    at ``history`` and ``study_table``. Defaults are as published. With
+    ``buckets``, the baseline and the features are stored in as many buckets by
+    stay, so that the wide tables are put together without a shuffle where they
+    are too large to be broadcast.
     """
 
     def __init__(
@@ -613,6 +616,7 @@ class ClinicalStudy:
         day_origin: str = "admission",
         los_divisor: int = 60,
         pressure_weights: tuple[float, float] = reg.PRESSURE_WEIGHTS,
+        buckets: int = 0,
     ):
         if removal not in ("literal", "intent"):
             raise ValueError("removal must be 'literal' or 'intent'")
@@ -620,6 +624,7 @@ class ClinicalStudy:
             raise ValueError("day_origin must be 'admission' or 'index'")
         self.source, self.store, self.removal = source, store, removal
         self.day_origin, self.los_divisor, self.pressure_weights = day_origin, los_divisor, pressure_weights
+        self.buckets = buckets
         self._features: dict[str, DataFrame] = {}
 
     @cached_property
@@ -642,7 +647,7 @@ class ClinicalStudy:
         if missing:
             index = self.index
             plans = {n: FEATURES[n](self.source, index) for n in missing}
-            self._features.update(self.store.borders(plans))
+            self._features.update(self.store.borders(plans, STAY, self.buckets))
         return [self._features[n] for n in names]
 
     @property
@@ -655,7 +660,10 @@ class ClinicalStudy:
 
     @cached_property
     def baseline(self) -> DataFrame:
-        return self.store.border("baseline", index_baseline(self.index, self.profile))
+        baseline = index_baseline(self.index, self.profile)
+        if self.buckets:
+            return self.store.bucketed("baseline", baseline, STAY, self.buckets)
+        return self.store.border("baseline", baseline)
 
     @cached_property
     def population(self) -> DataFrame:

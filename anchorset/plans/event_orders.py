@@ -14,10 +14,14 @@ from ..functions import scores
 from ..functions.numeric import divide, micros, round_to
 from ..functions.patterns import like, similar
 from ..operators import cohort as co
+from ..operators import dictionary as di
 from ..operators import features as fe
 from ..operators import flags as fl
+from ..operators import sketches as sk
 from ..operators import sweep as sw
+from ..operators import ties
 from ..operators import timeline as tl
+from ..operators.bounds import within_bounds
 from ..operators.joins import attach_index, on_side, subject_join
 from ..sources.stages import StageStore
 from ..sources.tables import TableSource
@@ -440,8 +444,63 @@ def refreshed_profile(spark, sf_dir):
     )
 
 
+def lookback_bounded(spark, sf_dir):
+    """The look-back readings from a scan cut to the span of all windows."""
+    nadir = _nadir(spark, sf_dir)
+    views = within_bounds(_events(spark, sf_dir, "view"), TS, nadir, F.col("nadir_ts") - _span(), "nadir_ts")
+    rows = attach_index(views, nadir, USER, "nadir_ts")
+    rows = rows.filter(on_side(TS, "nadir_ts", "before"))
+    rows = rows.filter(F.col(TS) >= F.col("nadir_ts") - _span())
+    return rows.select(USER, "event_id", "value")
+
+
+def tie_audit(spark, sf_dir):
+    """Users whose last view by the hour could be one of several values."""
+    hour = F.date_trunc("hour", TS).cast("timestamp_ntz").alias("hour")
+    views = _events(spark, sf_dir, "view").select(USER, hour, "value")
+    return ties.open_picks(views, USER, "hour", "value").select(USER, micros("hour").alias("hour_us"), "n_rows")
+
+
+def coverage_sketches(spark, sf_dir):
+    """Users with an event per day and kind, from merged sketches of the hours."""
+    hours = _events(spark, sf_dir).select(USER, "event_type", F.date_trunc("hour", TS).cast("timestamp_ntz").alias("hour"))
+    hourly = _staged(spark, "hourly_sketches", sk.sketched(hours, USER, "event_type", "hour"))
+    days = hourly.withColumn("day", F.datediff(F.col("hour"), F.lit("2024-01-01").cast("date")))
+    return sk.coverage(sk.merged(days, "event_type", "day"), "event_type", "day")
+
+
+def attrition_overlap(spark, sf_dir):
+    """Users that two steps of the selection share."""
+    base = _staged(spark, "base", _last_view(spark, sf_dir))
+    return sk.stage_overlap(
+        {
+            "index": _index(spark, sf_dir),
+            "baseline": base,
+            "limit": co.baseline_at_least(base, "last_value", BASELINE_LIMIT),
+            "error": _events(spark, sf_dir, "error").filter("value > 60"),
+        },
+        USER,
+    )
+
+
 # --- flags ---------------------------------------------------------------------
 
+TREATMENT_RULES = {
+    "has_red": like("red %"),
+    "has_widget": like("%widget%"),
+    "has_ring_or_rod": similar("%(ring|rod)"),
+    "has_plain_gear": like("%gear%", none_of=("%small%", "%old%")),
+    "has_cold": similar("col[cd] %|%new%d%t"),
+}
+
+
+def dictionary_flags(spark, sf_dir):
+    """Rules over the part names of all line items, run once per distinct name."""
+    store = StageStore.for_session(spark)
+    treatments = _treatments(spark, sf_dir).select("o_orderkey", "p_name")
+    return di.flags_by_dictionary(treatments, "o_orderkey", "p_name", TREATMENT_RULES, store)
+
+
 DOCUMENT_RULES = {
     "has_and": like("% and %"),
     "has_number": similar("%[0-9][0-9][0-9]%"),
@@ -694,6 +753,11 @@ QUERIES = {
         every_extreme_after,
         every_prior_window,
         refreshed_profile,
+        lookback_bounded,
+        tie_audit,
+        coverage_sketches,
+        attrition_overlap,
+        dictionary_flags,
         exclude_by_flag,
         ratio_series,
         daily_coverage,

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 MANIFESTS = "manifests"
 
+_UNNAMED: list[StageStore] = []
+
 
 def _is_local(master: str) -> bool:
     """One machine: executors and driver share its disk."""
@@ -44,6 +46,7 @@ class StageStore:
         self.spark, self.folder, self.resume = spark, folder.rstrip("/"), resume
         self.used: set[str] = set()  # keyed folders of this run
         self.written: list[str] = []  # names of stages that were not there
+        self.tables: list[str] = []  # bucketed stages are known to the catalog
 
     @classmethod
     def for_session(cls, spark: SparkSession, run_id: str | None = None) -> StageStore:
@@ -63,12 +66,26 @@ class StageStore:
             if own_disk and not local:
                 raise ValueError("spark.checkpoint.dir is a local path, which executors do not share")
             name = f"stages-{run_id or uuid.uuid4().hex}"
-            return cls(spark, f"{shared.rstrip('/')}/{name}", resume=run_id is not None)
+            store = cls(spark, f"{shared.rstrip('/')}/{name}", resume=run_id is not None)
+            if run_id is None:
+                _UNNAMED.append(store)
+            return store
         if not local:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="stages-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        return cls(spark, folder)
+        store = cls(spark, folder)
+        _UNNAMED.append(store)
+        return store
+
+    @staticmethod
+    def remove_all() -> int:
+        """Remove the folders of all unnamed runs of this process, once their
+        results are written or no longer needed; returns how many there were."""
+        number = len(_UNNAMED)
+        while _UNNAMED:
+            _UNNAMED.pop().remove()
+        return number
 
     def border(self, name: str, df: DataFrame, **params) -> DataFrame:
         """The stage as a stored table. ``params`` are values that shape it and
@@ -95,6 +112,16 @@ class StageStore:
         df.write.mode("overwrite").parquet(f"{self.folder}/{place}")
         return self.read(place)
 
+    def bucketed(self, name: str, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """The stage as a table of the session's catalog, dealt to buckets by key
+        and sorted in them: joins and aggregates of such tables on the key need no
+        shuffle, however large they are. One shuffle writes it, a file a bucket."""
+        table = f"stage_{uuid.uuid4().hex}_{name}"
+        dealt = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+        dealt.option("path", f"{self.folder}/{name}").mode("overwrite").saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def read(self, place: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{place}")
 
@@ -173,6 +200,8 @@ class StageStore:
 
     def remove(self) -> None:
         """Delete the run's folder; tables read from it are gone then."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS `{table}`")
         folder = self._hadoop_path(self.folder)
         folder.getFileSystem(self._hadoop_conf()).delete(folder, True)
 
@@ -182,9 +211,11 @@ class StageStore:
     def _hadoop_conf(self):
         return self.spark.sparkContext._jsc.hadoopConfiguration()
 
-    def borders(self, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def borders(self, frames: dict[str, DataFrame], key: str = "", buckets: int = 0) -> dict[str, DataFrame]:
         """Stages that do not depend on one another, written at the same time so
-        that a short one does not leave the cluster idle."""
+        that a short one does not leave the cluster idle; with ``buckets``, each
+        ``bucketed`` by the key."""
+        write = (lambda name, df: self.bucketed(name, df, key, buckets)) if buckets else self.border
         with ThreadPoolExecutor(len(frames)) as pool:
-            done = {name: pool.submit(self.border, name, df) for name, df in frames.items()}
+            done = {name: pool.submit(write, name, df) for name, df in frames.items()}
             return {name: job.result() for name, job in done.items()}

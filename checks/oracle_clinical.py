@@ -411,3 +411,5 @@ _BODIES = {
 }
 
 ORACLES = {f"clinical_{name}": _query(body) for name, body in _BODIES.items()}
+# The same table from bucketed stages.
+ORACLES["clinical_covariates_bucketed"] = ORACLES["clinical_covariates"]

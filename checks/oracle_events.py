@@ -333,6 +333,32 @@ ORACLES = {
           low.extreme_us AS min_us, max_value
         FROM idx i LEFT JOIN last ON last.user_id = i.user_id LEFT JOIN low ON low.user_id = i.user_id
         LEFT JOIN high ON high.user_id = i.user_id""",
+    "lookback_bounded": f"WITH {INDEX}, {NADIR}, {PRIOR}, {RECENT} SELECT user_id, event_id, value FROM recent",
+    "tie_audit": """
+        WITH v AS (SELECT user_id, date_trunc('hour', ts) AS hour, value FROM events WHERE event_type = 'view'),
+             r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY hour DESC) AS place FROM v WHERE hour IS NOT NULL)
+        SELECT user_id, epoch_us(hour) AS hour_us, count(*) AS n_rows FROM r WHERE place = 1
+        GROUP BY user_id, hour HAVING count(DISTINCT value) > 1""",
+    # Within the size up to which sketches are exact.
+    "coverage_sketches": """
+        SELECT event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, count(DISTINCT user_id) AS subjects
+        FROM events GROUP BY ALL""",
+    "attrition_overlap": f"""
+        WITH {INDEX}, base AS ({_last("view")}),
+             s AS (SELECT DISTINCT 1 AS step, 'index' AS stage, user_id FROM idx
+                   UNION SELECT 2, 'baseline', user_id FROM base
+                   UNION SELECT 3, 'limit', user_id FROM base WHERE last_value >= 10
+                   UNION SELECT 4, 'error', user_id FROM events WHERE event_type = 'error' AND value > 60),
+             n AS (SELECT DISTINCT step, stage FROM s)
+        SELECT a.stage, b.stage AS other, (SELECT count(*) FROM s x JOIN s y ON x.user_id = y.user_id
+            WHERE x.step = a.step AND y.step = b.step) AS subjects FROM n a JOIN n b ON a.step <= b.step""",
+    "dictionary_flags": f"""
+        WITH {TREATMENTS}, t AS (SELECT l_orderkey, lower(p_name) AS n FROM treatments),
+             m AS (SELECT l_orderkey, n LIKE 'red %' AS a, n LIKE '%widget%' AS b, n LIKE '%ring' OR n LIKE '%rod' AS c,
+                     n LIKE '%gear%' AND n NOT LIKE '%small%' AND n NOT LIKE '%old%' AS d,
+                     regexp_full_match(n, 'col[cd] .*|.*new.*d.*t') AS e FROM t)
+        SELECT l_orderkey AS o_orderkey, max(a::INT) AS has_red, max(b::INT) AS has_widget, max(c::INT) AS has_ring_or_rod,
+          max(d::INT) AS has_plain_gear, max(e::INT) AS has_cold FROM m GROUP BY l_orderkey""",
     "exclude_by_flag": f"""
         WITH {INDEX} SELECT user_id, index_value FROM idx
         WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)""",

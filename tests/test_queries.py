@@ -21,7 +21,7 @@ def engine():
 
 
 def test_every_query_has_checking_sql():
-    every = {*event_orders.QUERIES, *(f"clinical_{n}" for n in (*clinical.RESULTS, "cohort_intent"))}
+    every = {*event_orders.QUERIES, *(f"clinical_{n}" for n in (*clinical.RESULTS, "cohort_intent", "covariates_bucketed"))}
     assert every <= set(QUERIES) and set(QUERIES) == set(ORACLES) == set(OWN)
 
 
