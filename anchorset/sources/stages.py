@@ -79,13 +79,14 @@ class StageStore:
         return store
 
     @staticmethod
-    def remove_all() -> int:
-        """Remove the folders of all unnamed runs of this process, once their
-        results are written or no longer needed; returns how many there were."""
-        number = len(_UNNAMED)
-        while _UNNAMED:
-            _UNNAMED.pop().remove()
-        return number
+    def remove_all(spark: SparkSession) -> int:
+        """Remove the folders of a session's unnamed runs, once their results are
+        written or no longer needed; returns how many there were."""
+        own = [store for store in _UNNAMED if store.spark is spark]
+        for store in own:
+            _UNNAMED.remove(store)
+            store.remove()
+        return len(own)
 
     def border(self, name: str, df: DataFrame, **params) -> DataFrame:
         """The stage as a stored table. ``params`` are values that shape it and

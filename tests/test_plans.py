@@ -92,9 +92,9 @@ def test_scans_of_the_whole_study(spark, tmp_path):
     paths = TableSource(spark, path=f"{tmp_path}/in")
     plans = []  # stages are written from several threads
 
-    def counted(name, df):
+    def counted(name, df, **params):
         plans.append(plan(df))
-        return border(name, df)
+        return border(name, df, **params)
 
     queue.border = counted
     study = clinical.ClinicalStudy(paths, queue)

@@ -114,19 +114,19 @@ def test_the_study_rebuilds_what_a_table_changes(spark, tmp_path):
 
 
 def test_unnamed_runs_are_removed(spark):
-    StageStore.remove_all()
+    StageStore.remove_all(spark)
     stores = [StageStore.for_session(spark) for _ in range(2)]
     for store in stores:
         store.border("a", spark.range(3))
     assert all(store.has("a") for store in stores)
-    assert StageStore.remove_all() == 2 and StageStore.remove_all() == 0
+    assert StageStore.remove_all(spark) == 2 and StageStore.remove_all(spark) == 0
     assert not any(store.has("a") for store in stores)
 
 
 def test_named_runs_are_kept(spark):
     store = StageStore.for_session(spark, f"test-{uuid.uuid4().hex}")
     store.border("a", spark.range(3))
-    StageStore.remove_all()
+    StageStore.remove_all(spark)
     assert store.has("a")
     store.remove()
     assert not store.has("a")
